@@ -4,5 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import page_plans, record_plans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**page_plans.QUERIES, **record_plans.QUERIES}
+ORACLE_SQL: dict[str, str] = {**page_plans.ORACLE_SQL, **record_plans.ORACLE_SQL}
