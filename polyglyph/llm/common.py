@@ -49,12 +49,19 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Rows up to which a table of group sizes is broadcast; a larger one is joined by shuffle.
+BROADCAST_GROUPS = 10_000
+
+
 def bounded_sample(df: DataFrame, by: list[str], most: int, key: str = "doc_id") -> DataFrame:
     """About `most` rows of each group at most, the same ones at every run: those whose key hashes below most / size.
 
-    The group sizes are counted over all rows; nothing is collected but one number a group, joined by size.
+    The group sizes are counted over all rows and broadcast if they are few, so that df stays where it is.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], "_n")
+    sizes = materialize(sizes, "group_sizes")
+    if sizes.count() <= BROADCAST_GROUPS:
+        sizes = F.broadcast(sizes)
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     share = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return df.join(sizes, on).where(share * F.col("_n") < most).select(*[df[c] for c in df.columns])
