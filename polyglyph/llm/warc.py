@@ -22,6 +22,7 @@ from .common import materialize, scratch, table
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
 BLOCK = 1 << 16
+MOST_TASKS = 20_000
 #: Payloads of at least so many bytes become revisits of equal ones.
 REVISIT_FROM = 0
 _NAMES = uuid.UUID("6f0a5f8e-3c51-4b0e-9a55-2d1f2c6d9b10")
@@ -157,7 +158,9 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, wit
     """Records of the files (file, bytes) in folder. A response's payload is hashed again; a wrong digest fails the task."""
     last = F.greatest(F.col("bytes") - 1, F.lit(0))
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.withColumn("part", F.xxhash64("file", "start")).repartition("part")
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    # as many tasks as ranges: rows this small would otherwise be taken together in one
+    ranges = ranges.repartition(min(int(n), MOST_TASKS), "file", "start")
 
     def run(batches):
         import hashlib
