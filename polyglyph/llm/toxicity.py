@@ -26,7 +26,7 @@ STEMS = (3, 4, 5)
 PER_CLASS, TERMS = 10_000, 4096
 #: Least chi-squared of a bucket that is kept.
 CHI2 = 25.0
-FACTORS, EPOCHS, RATE, RIDGE = 6, 60, 0.1, 1e-4
+FACTORS, EPOCHS, RATE, RIDGE = 6, 25, 0.3, 1e-5
 TOXIC = 0.5
 _WORDS = re.compile(r"\w+")
 #: Entries of a worker's cache from words to buckets; it is emptied when full.
@@ -75,34 +75,33 @@ class ToxicityModel:
         return lambda texts: 1 / (1 + np.exp(-np.clip([one(t) for t in texts] or np.zeros(0), -30, 30)))
 
 
-def train_machine(rows: list[list[int]], y: np.ndarray, n: int, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE, seed: int = 7):
-    """Adagrad on the logistic loss of a factorization machine, in small batches."""
+def train_machine(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, n: int, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE, seed: int = 7):
+    """Adagrad on the weighted logistic loss of a factorization machine, in small batches."""
     rng = np.random.default_rng(seed)
     bias, w, v = 0.0, np.zeros(n), rng.normal(0, 0.05, (n, factors))
     gb, gw, gv = 1e-8, np.full(n, 1e-8), np.full((n, factors), 1e-8)
+    sizes = np.array([len(r) for r in rows])
+    flat, first = np.array([t for r in rows for t in r], dtype=np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    summed = lambda at, x, m: np.stack([np.bincount(at, x[:, f], m) for f in range(factors)], axis=1)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
-            doc = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
-            term = np.array([t for i in batch for t in rows[i]], dtype=np.int64)
-            s = np.zeros((len(batch), factors))
-            np.add.at(s, doc, v[term])
-            squares = np.bincount(doc, (v[term] ** 2).sum(axis=1), len(batch)) if len(term) else np.zeros(len(batch))
-            linear = np.bincount(doc, w[term], len(batch)) if len(term) else np.zeros(len(batch))
-            z = bias + linear + 0.5 * ((s**2).sum(axis=1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
+            n_terms, m = sizes[batch], len(batch)
+            doc = np.repeat(np.arange(m), n_terms)
+            term = flat[np.repeat(first[batch] - np.cumsum(n_terms) + n_terms, n_terms) + np.arange(n_terms.sum())]
+            vt = v[term]
+            s = summed(doc, vt, m)
+            z = bias + np.bincount(doc, w[term], m) + 0.5 * ((s**2).sum(axis=1) - np.bincount(doc, (vt**2).sum(axis=1), m))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * weight[batch] / weight[batch].sum()
             db = g.sum()
             gb += db * db
             bias -= rate * db / np.sqrt(gb)
-            if len(term):
-                used, at = np.unique(term, return_inverse=True)
-                dw = np.bincount(at, g[doc], len(used)) + ridge * w[used]
-                dv = np.zeros((len(used), factors))
-                np.add.at(dv, at, g[doc, None] * (s[doc] - v[term]))
-                dv += ridge * v[used]
-                gw[used] += dw**2
-                gv[used] += dv**2
-                w[used] -= rate * dw / np.sqrt(gw[used])
-                v[used] -= rate * dv / np.sqrt(gv[used])
+            used, at = np.unique(term, return_inverse=True)
+            dw = np.bincount(at, g[doc], len(used)) + ridge * w[used]
+            dv = summed(at, g[doc, None] * (s[doc] - vt), len(used)) + ridge * v[used]
+            gw[used] += dw**2
+            gv[used] += dv**2
+            w[used] -= rate * dw / np.sqrt(gw[used])
+            v[used] -= rate * dv / np.sqrt(gv[used])
     return bias, w, v
 
 
@@ -128,9 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
     chi2 = top / (F.lit(float(ones) * float(n - ones)) * m * (F.lit(float(n)) - m + 1e-9))
     kept = [r.t for r in both.withColumn("chi2", chi2).where((F.col("chi2") >= CHI2) & (m < n)).orderBy(F.desc("chi2"), "t").limit(TERMS).select("t").collect()]
     place = {t: i for i, t in enumerate(kept)}
-    got = rows.select("y", F.array_sort(F.array_intersect("x", F.array(*[F.lit(t) for t in kept]).cast("array<int>"))).alias("x")).collect() if kept else rows.select("y", F.array().cast("array<int>").alias("x")).collect()
-    got = sorted((tuple(place[t] for t in r.x), r.y) for r in got)
-    return ToxicityModel(place, *train_machine([list(x) for x, _ in got], np.array([float(y) for _, y in got]), len(kept)))
+    own = F.array_sort(F.array_intersect("x", F.array(*[F.lit(t) for t in kept]).cast("array<int>")))
+    # few documents hold any kept term: those alike are one row with a weight
+    got = rows.select("y", own.alias("x")).groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = sorted((tuple(place[t] for t in r.x), r.y, r.n) for r in got)
+    y, weight = np.array([float(g[1]) for g in got]), np.array([float(g[2]) for g in got])
+    return ToxicityModel(place, *train_machine([list(g[0]) for g in got], y, weight, len(kept)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "score") -> DataFrame:
