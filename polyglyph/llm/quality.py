@@ -22,6 +22,8 @@ from .labelled import FOLDS, HELD_OUT, training_rows
 PER_CLASS, EXCERPT, DICTIONARY = 4000, 1000, 1_000_000
 SEGMENT, LEVEL = 2048, 3
 ACCEPT = 0.3
+#: log2 of the length from which on a text counts as equally long: that of the excerpts the scale is fitted on.
+LONGEST_TOLD = 9.8
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ def _differences(sizes, texts):
 
 def _features(d: np.ndarray, n: np.ndarray) -> np.ndarray:
     x = np.clip(d / np.maximum(n, 1), -0.1, 0.1) * 20
-    size = np.clip(np.log2(1 + n), 0, 12) / 4
+    size = np.clip(np.log2(1 + n), 0, LONGEST_TOLD) / 4
     return np.stack([np.ones_like(x), x, x * size, size, size * size], axis=1)
 
 
@@ -93,7 +95,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, excerpt:
     if not all(parts) or len(set(y)) < 2:
         return QualityModel(*parts, (0.0,) * 5)
     d, n = _differences([_compressor(p) for p in parts], [r.text for r in for_scale])
-    return QualityModel(*parts, tuple(_logistic(_features(d, n), y)))
+    w = _logistic(_features(d, n), y)
+    # the sample holds the classes in other shares than the labels do: the intercept makes up for it
+    learned = labels.where(F.col("quality").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
+    of_good, of_bad = learned.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
+    here = sum(r.y for r in got)
+    w[0] += np.log(max(of_good, 1) / here) - np.log(max(of_bad, 1) / (len(got) - here))
+    return QualityModel(*parts, tuple(w))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", to: str = "score") -> DataFrame:
