@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def plain_key(name: Column) -> Column:
@@ -11,6 +13,30 @@ def plain_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
 
 
+@F.pandas_udf(StringType())
+def _decomposed(name: pd.Series) -> pd.Series:
+    return name.str.normalize("NFKD")
+
+
+def folded_key(name: Column) -> Column:
+    """plain_key with accented letters as their base letters. Spark has no Unicode normalisation, so Arrow does it."""
+    return plain_key(_decomposed(name))
+
+
+def in_box(lat: Column, lon: Column, south: Column, west: Column, north: Column, east: Column) -> Column:
+    """Inside, borders included; without coordinates or without a box: true."""
+    return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(True))
+
+
+def iso_candidates(code: Column) -> Column:
+    """Codes that a shape's code may stand for, the likeliest first: as it is, with dots as dashes, its country cut to two letters."""
+    code = F.coalesce(code, F.lit(""))
+    cut = lambda c: F.regexp_replace(F.upper(c), r"^([A-Z]{2})[A-Z]-([^-]*).*$", "$1-$2")
+    dashed = F.translate(code, ".", "-")
+    forms = F.transform(F.array(code, cut(code), dashed, cut(dashed)), lambda c: iso_code(c))
+    return F.array_distinct(F.filter(forms, lambda c: c != ""))
+
+
 def iso_code(code: Column) -> Column:
     """An ISO 3166-2 code in its usual form, else the empty string."""
     return F.regexp_extract(F.upper(F.translate(code, "_", "-")), r"^[A-Z]{2}-[A-Z0-9]{1,3}$", 0)

@@ -170,3 +170,19 @@ def primary_language(pages: DataFrame, packs: list[Pack], key: str = "id", html:
     best = F.when(F.size("scores") > 0, F.array_max(ranked)["k"])
     several = F.coalesce(trusted(F.col("path_lang")), trusted(F.col("declared")), best, "declared", "path_lang", F.get("languages", F.lit(0)))
     return all_.select(key, F.when(F.size("languages") == 1, F.col("languages")[0]).when(F.size("languages") > 1, several).alias("primary"))
+
+
+def early_languages(pages: DataFrame, packs: list[Pack], key: str = "id", html: str = "html", *, step: int = 16384, most: int = 192_000) -> DataFrame:
+    """(key, n_chars, languages): the shortest prefix, in steps, that decides a page and what it says; no row if none does.
+
+    Two languages in switchers decide at once; else a body with all the words that are read and any language.
+    """
+    text = F.substring(F.coalesce(F.col(html), F.lit("")), 1, most)
+    cuts = F.sequence(F.lit(1), F.greatest(F.ceil(F.length(text) / step).cast("int"), F.lit(1)))
+    cut = pages.select(F.col(key).alias("_key"), text.alias("_text"), F.explode(cuts).alias("_n"))
+    cut = cut.select(F.struct("_key", "_n").alias("id"), F.expr(f"substring(_text, 1, _n * {step})").alias("html"))
+    full = cut.select("id", F.length("html").alias("n_chars"), (cut.html.rlike("(?i)<body") & (F.size(H.visible_words(F.col("html"))) == H.MOST_WORDS)).alias("_full"))
+    found = classify(cut, packs).join(full, "id")
+    said = F.when(F.size("by_switch") >= 2, F.col("by_switch")).when(F.col("_full") & (F.size("languages") > 0), F.col("languages"))
+    decided = found.select(F.col("id._key").alias(key), F.col("id._n").alias("_n"), "n_chars", said.alias("languages")).where("languages is not null")
+    return decided.groupBy(key).agg(F.min_by(F.struct("n_chars", "languages"), "_n").alias("_best")).select(key, "_best.*")

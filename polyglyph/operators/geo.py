@@ -88,8 +88,11 @@ def way_centroids(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.join(nodes, "node_id").groupBy("way_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def _keep(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which points of a line remain: a span whose farthest point is beyond the tolerance is split there."""
+def _keep(points: np.ndarray, tolerance: float, segment: bool = False) -> np.ndarray:
+    """Which points of a line remain: a span whose farthest point is beyond the tolerance is split there.
+
+    Distances are from the line through the span's ends, or from the segment between them.
+    """
     keep = np.zeros(len(points), bool)
     keep[[0, -1]] = True
     spans = [(0, len(points) - 1)]
@@ -99,7 +102,11 @@ def _keep(points: np.ndarray, tolerance: float) -> np.ndarray:
             continue
         a, d, between = points[i], points[j] - points[i], points[i + 1 : j]
         long = np.hypot(*d)
-        far = np.hypot(*(between - a).T) if long == 0 else np.abs(d[0] * (between - a)[:, 1] - d[1] * (between - a)[:, 0]) / long
+        if segment and long > 0:
+            along = np.clip((between - a) @ d / long**2, 0, 1)
+            far = np.hypot(*(between - a - along[:, None] * d).T)
+        else:
+            far = np.hypot(*(between - a).T) if long == 0 else np.abs(d[0] * (between - a)[:, 1] - d[1] * (between - a)[:, 0]) / long
         k = int(far.argmax())
         if far[k] > tolerance:
             keep[i + 1 + k] = True
@@ -119,13 +126,45 @@ def simplify_ring(ring: list, tolerance: float, places: int = 4) -> list:
     return []
 
 
-def simplify(areas: DataFrame, tolerance: float) -> DataFrame:
-    """areas with their rings simplified; a lost hole goes, a lost outer ring empties the area."""
+def shorten_ring(ring: list, most: int, tolerance: float = 0.003, places: int = 4) -> list:
+    """The ring simplified and, if it still has more than `most` points, every so-manieth of them; its first four if too few are left."""
+    points = np.array([list(p) for p in ring], float)
+    kept = points[_keep(points, tolerance)] if len(points) > 4 else points
+    if len(kept) > most:
+        kept = kept[(np.arange(most - 1) * ((len(kept) - 1) / (most - 1))).astype(int)]
+        kept = np.concatenate([kept, kept[:1]])
+    out = np.round(kept, places).tolist()
+    out = [p for i, p in enumerate(out) if i == 0 or p != out[i - 1]]
+    if len(out) < 4:
+        return np.round(points[:4], places).tolist()
+    return out if out[0] == out[-1] else [*out, out[0]]
+
+
+def thin_ring(ring: list, tolerance: float = 0.003, near: float = 1e-9) -> list:
+    """The open ring simplified by distance from segments, then closed; every n/20-th corner if fewer than three remain."""
+    points = np.array([list(p) for p in ring], float)
+    body = points[:-1] if len(points) > 1 and np.abs(points[0] - points[-1]).max() <= near else points
+    kept = body[_keep(body, tolerance, segment=True)] if len(body) > 2 else body
+    out = (kept if len(kept) >= 3 else body[:: max(1, len(body) // 20)]).tolist()
+    return [*out, out[0]] if out and out[0] != out[-1] else out
+
+
+def simplify(areas: DataFrame, tolerance: float, how: str = "close") -> DataFrame:
+    """areas with their rings simplified; a lost hole goes, a lost outer ring empties the area.
+
+    how: close (simplify_ring), short (shorten_ring: 180 points, a hole 48) or thin (thin_ring).
+    """
+    ways = {
+        "close": lambda r, i: simplify_ring(r, tolerance),
+        "short": lambda r, i: shorten_ring(r, 48 if i else 180, tolerance),
+        "thin": lambda r, i: thin_ring(r, tolerance),
+    }
+    way = ways[how]
 
     def run(frames):
         for pdf in frames:
             def one(rings):
-                done = [simplify_ring(r, tolerance) for r in rings]
+                done = [way(r, i) for i, r in enumerate(rings)]
                 return [done[0], *[h for h in done[1:] if h]] if done and done[0] else []
 
             yield pdf.assign(rings=[one(r) for r in pdf["rings"]])
@@ -160,13 +199,59 @@ def stitch(lines: list[list], near: float = 1e-9) -> list[list]:
 
 
 def stitch_relations(pieces: DataFrame) -> DataFrame:
-    """pieces (relation_id, role, line) -> (relation_id, role, ring): the rings of each relation's pieces."""
+    """pieces (relation_id, role, line) -> (relation_id, role, n, ring): the rings of each relation's pieces, numbered from 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = [(pdf["relation_id"].iloc[0], role, ring) for role, part in pdf.groupby("role", sort=True) for ring in stitch(part["line"].tolist())]
-        return pd.DataFrame(r, columns=["relation_id", "role", "ring"])
+        r = [(pdf["relation_id"].iloc[0], role, n, ring) for role, part in pdf.groupby("role", sort=True) for n, ring in enumerate(stitch(part["line"].tolist()))]
+        return pd.DataFrame(r, columns=["relation_id", "role", "n", "ring"])
+
+    return pieces.groupBy("relation_id").applyInPandas(run, "relation_id long, role string, n int, ring array<array<double>>")
+
+
+def assemble(rings: DataFrame) -> DataFrame:
+    """Rings of stitch_relations -> (relation_id, n, rings), a polygon a row: a hole goes to the first outer ring around its first corner.
 
-    return pieces.groupBy("relation_id").applyInPandas(run, "relation_id long, role string, ring array<array<double>>")
+    Holes in no outer ring go, a relation without outer rings has no row.
+    """
+    outer = rings.where("role = 'outer'").select("relation_id", "n", F.col("ring").alias("outer"))
+    inner = rings.where("role = 'inner'").select("relation_id", F.col("n").alias("hole_n"), F.col("ring").alias("hole"))
+    inside = outer.join(inner, "relation_id").where(in_ring(F.col("outer"), F.col("hole")[0][0], F.col("hole")[0][1]))
+    homes = inside.groupBy("relation_id", "hole_n").agg(F.min("n").alias("n"), F.first("hole").alias("hole"))
+    holes = homes.groupBy("relation_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole_n", "hole"))), lambda h: h["hole"]).alias("holes"))
+    none = F.array().cast("array<array<array<double>>>")
+    return outer.join(holes, ["relation_id", "n"], "left").select("relation_id", "n", F.concat(F.array("outer"), F.coalesce("holes", none)).alias("rings"))
+
+
+def move_by_box(areas: DataFrame, giver: str, taker: str, box: tuple[float, float, float, float], key: str = "iso") -> DataFrame:
+    """areas (key, polygons, ...) where the giver's polygons inside the box (west, south, east, north) are the taker's.
+
+    The taker's stay as they are if it has polygons in the box already; without the taker nothing moves.
+    """
+    west, south, east, north = box
+
+    def lies_in(rings: Column) -> Column:
+        b = bbox(rings[0])
+        return (b["west"] >= west) & (b["south"] >= south) & (b["east"] <= east) & (b["north"] <= north)
+
+    given = areas.where(F.col(key) == giver).select(F.lit(taker).alias("_to"), F.filter("polygons", lies_in).alias("_given"))
+    takes = areas.where(F.col(key) == taker).select(F.lit(giver).alias("_from"), F.lit(True).alias("_taken")).distinct()
+    out = areas.join(F.broadcast(given), F.col(key) == F.col("_to"), "left").join(F.broadcast(takes), F.col(key) == F.col("_from"), "left")
+    got = F.when(F.exists("polygons", lies_in), F.col("polygons")).otherwise(F.concat("polygons", F.coalesce("_given", F.array().cast("array<array<array<array<double>>>>"))))
+    polygons = F.when(F.col("_taken"), F.filter("polygons", lambda p: ~lies_in(p))).when(F.col(key) == taker, got).otherwise(F.col("polygons"))
+    return out.select(*[polygons.alias(c) if c == "polygons" else F.col(c) for c in areas.columns])
+
+
+def assign(children: DataFrame, parents: DataFrame, *, within: float = 5.0, cell: float = 1.0) -> DataFrame:
+    """(child_id, parent_id): the parent around a child's vertex mean, else the one whose own mean is nearest and closer than `within`.
+
+    children (child_id, polygons), parents (parent_id, polygons). A child without a parent near it has no row.
+    """
+    mean = vertex_mean(F.flatten("polygons"))
+    points = children.where(F.size(F.flatten("polygons")) > 0).select(F.col("child_id").alias("point_id"), mean.alias("c")).select("point_id", "c.lon", "c.lat")
+    inside = locate(points, parents.select(F.col("parent_id").alias("area_id"), F.explode("polygons").alias("rings")), cell)
+    rest = points.join(inside, "point_id", "left_anti")
+    near = nearest_area(rest, parents.select(F.col("parent_id").alias("area_id"), F.flatten("polygons").alias("rings")), within)
+    return inside.unionByName(near).select(F.col("point_id").alias("child_id"), F.col("area_id").alias("parent_id"))
 
 
 def top_areas(areas: DataFrame, key: str, query: str, rank: Column, limit: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,3 +81,96 @@ def timeline(spans: DataFrame, key: list[str], first: int, last: int) -> DataFra
     months = F.sequence(F.greatest(month_index(F.col("from")), F.lit(first)), F.least(month_index(F.col("to")), F.lit(last)))
     inside = spans.where((month_index(F.col("from")) <= last) & (month_index(F.col("to")) >= first))
     return inside.select(*key, "primary", F.explode(months).alias("month"))
+
+
+def name_intervals(df: DataFrame, key: list[str], order: list[str], at: str) -> DataFrame:
+    """Runs of equal (primary, available): key, run, from, to, primary, available, observations.
+
+    Rows that have neither are left out before runs are formed.
+    """
+    with_runs = runs(df.where(F.col("primary").isNotNull() | (F.size("available") > 0)), key, order, ["primary", "available"])
+    return with_runs.groupBy(*key, "run").agg(
+        F.min(at).alias("from"), F.max(at).alias("to"), F.first("primary").alias("primary"), F.first("available").alias("available"), F.count(F.lit(1)).alias("observations")
+    )
+
+
+def with_current_names(snapshots: DataFrame, current: DataFrame, key: list[str], today: str, classify) -> DataFrame:
+    """snapshots (key, date, name, primary, available) with a row of today for each key of current (key, name) that has any.
+
+    An unchanged name keeps what its last snapshot said, so that name tags are not lost; a changed one is classified
+    alone, and left out if that decides nothing.
+    """
+    last = snapshots.groupBy(*key).agg(F.max_by(F.struct("name", "primary", "available"), "date").alias("_last"))
+    said = classify(F.col("name"))
+    alone = F.struct(F.col("name"), said.alias("primary"), F.array_compact(F.array(said)).alias("available"))
+    same = F.coalesce("name", F.lit("")) == F.coalesce("_last.name", F.lit(""))
+    now = current.select(*key, "name").join(last, key).select(*key, F.when(same, F.col("_last")).when(said.isNotNull(), alone).alias("_now")).where("_now is not null")
+    return snapshots.select(*key, "date", "name", "primary", "available").unionByName(now.select(*key, F.lit(today).alias("date"), "_now.*"))
+
+
+def tracked(spans: DataFrame, key: list[str], language: str) -> DataFrame:
+    """(change, n): histories of several intervals that gained or lost a language between the first and the last."""
+    has = F.array_contains("available", language) | F.col("primary").eqNullSafe(language)
+    ends = spans.groupBy(*key).agg(F.min_by(has, "run").alias("before"), F.max_by(has, "run").alias("after"), F.max("run").alias("runs")).where("runs > 1")
+    change = F.when(~F.col("before") & F.col("after"), "gained").when(F.col("before") & ~F.col("after"), "lost")
+    return ends.select(change.alias("change")).where("change is not null").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def moved(spans: DataFrame, key: list[str]) -> DataFrame:
+    """(key, moved): whether a history of several intervals landed on more than one path."""
+    each = spans.groupBy(*key).agg(F.max("run").alias("runs"), F.min("landing_path").alias("a"), F.max("landing_path").alias("b"), F.count_if(F.col("landing_path").isNull()).alias("none"))
+    return each.where("runs > 1").select(*key, ((F.col("a") != F.col("b")) | ((F.col("none") > 0) & F.col("b").isNotNull())).alias("moved"))
+
+
+def _visited(months: dict[int, tuple[str, str | None]], first: int, last: int, coarse: int, deepest: int = 8) -> set[str]:
+    """Snapshots that a change-point search looks at. months: month -> (its nearest snapshot, its state, None if unusable).
+
+    A coarse grid first. Only spans with different states at their ends are halved, down to single months; a midpoint
+    without a usable snapshot lets both halves be tried for the first three levels.
+    """
+    seen: set[str] = set()
+
+    def state(m: int) -> str | None:
+        at, s = months.get(m, (None, None))
+        if at is not None:
+            seen.add(at)
+        return s
+
+    grid = [*range(first, last, coarse), last]
+    states = [state(m) for m in grid]
+    open_spans = [(a, b, s, t, 0) for a, b, s, t in zip(grid, grid[1:], states, states[1:]) if s is not None and t is not None and s != t]
+    while open_spans:
+        a, b, s, t, depth = open_spans.pop()
+        if b - a <= 1 or depth > deepest or (a in months and b in months and months[a][0] == months[b][0]):
+            continue
+        mid = (a + b) // 2
+        m = state(mid)
+        if m is None:
+            halves = [(a, mid, s, t), (mid, b, s, t)] if depth < 3 else []
+        else:
+            halves = [h for h in ((a, mid, s, m), (mid, b, m, t)) if h[2] != h[3]]
+        open_spans += [(*h, depth + 1) for h in halves]
+    return seen if any(x is not None for x in states) else set()
+
+
+def search_changes(snapshots: DataFrame, key: str, first: int, last: int, *, coarse: int = 84, drift: int = 9) -> DataFrame:
+    """(key, snapshot): the snapshots that a change-point search of each history looks at; none without a usable grid point.
+
+    snapshots: key, snapshot (stamp), state (null where unusable). A history is cut down to the snapshot nearest each
+    month before it is searched, so that a group has no more rows than there are months.
+    """
+    if first > last or coarse < 1:
+        raise ValueError("the months must be in order and the step positive")
+    stamped = snapshots.where(F.col("snapshot").isNotNull()).groupBy(key, "snapshot").agg(F.max("state").alias("state"))
+    stamped = stamped.withColumn("seen", month_index(F.col("snapshot"))).groupBy(key, "seen").agg(F.min(F.struct("snapshot", "state")).alias("at"))
+    reach = F.sequence(F.greatest(F.col("seen") - drift, F.lit(first)), F.least(F.col("seen") + drift, F.lit(last)))
+    inside = stamped.where((F.col("seen") + drift >= first) & (F.col("seen") - drift <= last))
+    near = inside.withColumn("month", F.explode(reach)).groupBy(key, "month").agg(F.min_by("at", F.struct(F.abs(F.col("seen") - F.col("month")), "seen")).alias("at"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        months = {int(m): (s, t) for m, s, t in zip(pdf["month"], pdf["snapshot"], pdf["state"].where(pdf["state"].notna(), None))}
+        found = sorted(_visited(months, first, last, coarse))
+        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]] * len(found), dtype=pdf[key].dtype), "snapshot": pd.Series(found, dtype=object)})
+
+    flat = near.select(key, "month", "at.snapshot", "at.state")
+    return flat.groupBy(key).applyInPandas(run, flat.select(key, "snapshot").schema)
