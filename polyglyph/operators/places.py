@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.areas import child_levels, folded_key, iso_candidates
+from ..functions.areas import child_levels, folded_key, iso_candidates, plain_key
 from ..functions.names import Region, site_languages
 
 # Tags that name what a place is, the first that is there wins.
@@ -147,3 +147,36 @@ def order_extracts(extracts: DataFrame, continents: list[str], *, skip=(), witho
     keys = [listed(last), place(F.col("id"), last) if last else F.lit(0), place(F.col("parent"), continents), ~listed(early), place(F.col("id"), early) if early else F.lit(0), listed(late)]
     shown = F.trim(F.split("name", r"\(")[0])
     return wanted.select("id", shown.alias("name"), "parent", (F.row_number().over(W.orderBy(*keys, shown, "id")) - 1).alias("position"))
+
+
+def resolve_extract(wanted: DataFrame, extracts: DataFrame) -> DataFrame:
+    """(id, extract, score): the finest extract that covers a place; the first by ord of equals, no row without any.
+
+    wanted: id, query, name, country, iso2 (codes of its parts); extracts: extract, name, iso1, iso2, depth, ord. A shared
+    subdivision code counts most, then the name that was asked for, the name that was found, the country; depth adds to
+    each. All are equal keys of one join.
+    """
+    def keys(df: DataFrame, columns: list[str], *parts: tuple[str, Column, int]) -> DataFrame:
+        tell = lambda kind, n: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), F.lit(n).alias("n"))
+        each = F.flatten(F.array(*[F.transform(v, tell(kind, n)) for kind, v, n in parts]))
+        return df.select(*columns, F.inline(each)).where("key is not null and key <> ''")
+
+    up = lambda c: F.transform(c, lambda v: F.upper(v))
+    leaf = F.element_at(F.split("extract", "/"), -1)
+    asked = keys(wanted, ["id"], ("part", up(F.col("iso2")), 400), ("name", F.array(plain_key(F.col("query"))), 350), ("name", F.array(plain_key(F.col("name"))), 320), ("country", F.array(F.upper("country")), 200))
+    offered = keys(extracts, ["extract", "depth", "ord"], ("part", up(F.col("iso2")), 0), ("name", F.array(plain_key(leaf), plain_key(F.col("name"))), 0), ("country", up(F.col("iso1")), 0)).drop("n")
+    hits = asked.join(offered, ["kind", "key"]).withColumn("score", F.col("n") + F.col("depth"))
+    return hits.groupBy("id").agg(F.max_by("extract", F.struct("score", -F.col("ord"))).alias("extract"), F.max("score").alias("score"))
+
+
+def area_number(kind: Column, osm_id: Column) -> Column:
+    """The id of the area of a relation or a way; an error for anything else."""
+    known = F.when(kind == "relation", osm_id + 3_600_000_000).when(kind == "way", osm_id + 2_400_000_000)
+    return known.otherwise(F.raise_error(F.concat(F.lit("no area for "), F.coalesce(kind, F.lit("null")))).cast("long"))
+
+
+def padded_boxes(sites: DataFrame, key: str, pad: float = 0.02) -> DataFrame:
+    """(key, south, west, north, east) around each key's sites, with a margin."""
+    return sites.groupBy(key).agg(
+        (F.min("lat") - pad).alias("south"), (F.min("lon") - pad).alias("west"), (F.max("lat") + pad).alias("north"), (F.max("lon") + pad).alias("east")
+    )

@@ -66,3 +66,28 @@ def presence_counts(df: DataFrame, languages: str) -> DataFrame:
     """(language, n): how many rows have each language in their list."""
     some = F.when(F.size(languages) > 0, F.col(languages)).otherwise(F.array(F.lit("unknown")))
     return df.select(F.explode(some).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unlabelled(languages: Column) -> Column:
+    """Whether a list says nothing: null, empty, or only labels of failures."""
+    said = F.filter(languages, lambda v: ~F.lower(F.trim(v)).isin(*UNLABELLED))
+    return F.coalesce(F.size(said) <= 0, F.lit(True))
+
+
+def previous_labels(sites: DataFrame, url: str, languages: str, row: str) -> DataFrame:
+    """(url, languages): of each URL the first list, by row, that is not empty."""
+    some = sites.where(F.col(url).isNotNull() & (F.size(languages) > 0))
+    return some.groupBy(F.col(url).alias("url")).agg(F.min_by(languages, row).alias("languages"))
+
+
+def annotate(sites: DataFrame, labels: DataFrame, url: str, languages: str) -> DataFrame:
+    """sites with the languages that labels (url, languages) have for their URL, laid over their own by merge_label."""
+    found = labels.select(F.col("url").alias("_url"), F.col("languages").alias("_languages"))
+    joined = sites.join(found, F.col(url) == F.col("_url"), "left")
+    merged = merge_label(F.coalesce("_languages", F.array().cast("array<string>")), F.col(languages) if languages in sites.columns else F.lit(None).cast("array<string>"))
+    return joined.withColumn(languages, merged).drop("_url", "_languages")
+
+
+def site_sample(sites: DataFrame, most: int, key: list[str], order: str) -> DataFrame:
+    """The first `most` sites by an explicit order, each key once: a sampling operator for quick looks at a region."""
+    return first_per_key(sites, key, [order]).orderBy(order).limit(most)

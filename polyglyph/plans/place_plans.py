@@ -10,6 +10,7 @@ from ..operators import classify as C
 from ..operators import geo as G
 from ..operators import history as Hi
 from ..operators import places as P
+from ..operators import records as R
 from .page_plans import PACKS, table
 from .record_plans import _AREAS_SQL, _CENTRE, _LOCATE_SQL, _RUNS_SQL, _areas, _points
 
@@ -128,9 +129,36 @@ def ring_assemble(spark, sf_dir):
     return made.select("relation_id", "n", F.size("rings").alias("n_rings"), F.col("rings")[0][0][0].alias("west"), F.col("rings")[0][0][1].alias("south"))
 
 
+def extract_resolve(spark, sf_dir):
+    """Nations ask for extracts that are regions or nations: by part, name or country."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    k = F.col("n_nationkey")
+    none = F.array().cast("array<string>")
+    wanted = n.select(k.cast("long").alias("id"), F.when(k % 3 == 0, F.lower("n_name")).alias("query"), F.when(k % 3 == 1, F.col("n_name")).alias("name"), F.concat(F.lit("c"), F.col("n_regionkey")).alias("country"), F.when(k % 5 == 0, F.array(F.concat(F.lit("p"), k))).otherwise(none).alias("iso2"))
+    small = n.select(F.concat(F.lit("x/"), F.lower("n_name")).alias("extract"), F.lit("-").alias("name"), none.alias("iso1"), F.array(F.concat(F.lit("P"), k)).alias("iso2"), F.lit(2).alias("depth"), (k + 10).cast("long").alias("ord"))
+    large = r.select(F.lower("r_name").alias("extract"), F.col("r_name").alias("name"), F.array(F.concat(F.lit("C"), "r_regionkey")).alias("iso1"), none.alias("iso2"), F.lit(1).alias("depth"), F.col("r_regionkey").cast("long").alias("ord"))
+    return P.resolve_extract(wanted, small.unionByName(large))
+
+
+def previous_language(spark, sf_dir):
+    sites = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("url"), F.when(F.col("o_orderkey") % 3 == 0, F.array("o_orderstatus")).otherwise(F.array().cast("array<string>")).alias("languages"), F.col("o_orderkey").alias("row"))
+    found = R.previous_labels(sites, "url", "languages", "row")
+    merged = R.annotate(sites.where("row % 2 = 0").withColumn("languages", F.array().cast("array<string>")), found, "url", "languages")
+    return merged.select("row", F.array_join("languages", ",").alias("languages"), R.unlabelled(F.col("languages")).alias("unlabelled"))
+
+
+def nation_boxes(spark, sf_dir):
+    return P.padded_boxes(_points(spark, sf_dir), "c_nationkey", 0.25)
+
+
+def area_numbers(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k, P.area_number(F.when(k % 2 == 0, "way").otherwise("relation"), k).alias("area"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (doc_name_languages, region_tags, folded_keys, element_sites, children_select, children_choose, children_served, parent_match, area_ids, child_assign, event_name_intervals, order_search_changes, page_early_languages, ring_assemble)
+    for f in (doc_name_languages, region_tags, folded_keys, element_sites, children_select, children_choose, children_served, parent_match, area_ids, child_assign, event_name_intervals, order_search_changes, page_early_languages, ring_assemble, extract_resolve, previous_language, nation_boxes, area_numbers)
 }
 
 
@@ -205,4 +233,12 @@ ORACLE_SQL = {
     "event_name_intervals": "WITH e AS (SELECT user_id AS k, ts, event_id AS id, strftime(ts, '%Y-%m-%d') AS day, {'p': CASE WHEN event_id % 4 <> 0 THEN event_type END, 'a': CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END} AS state FROM events WHERE event_id % 4 <> 0 OR event_id % 3 = 0), "
     + _RUNS_SQL + " SELECT k AS user_id, run, first_day, last_day, state.p AS primary, state.a AS available, observations FROM spans",
     "ring_assemble": f"WITH {_AREAS_SQL} SELECT area_id AS relation_id, 0 AS n, CASE WHEN area_id % 2 = 1 THEN 2 ELSE 1 END AS n_rings, x AS west, y AS south FROM areas",
+    "extract_resolve": """WITH e AS (SELECT 'x/' || lower(n_name) AS extract, lower(n_name) AS leaf, NULL AS c, 'P' || n_nationkey AS p, 2 AS depth, n_nationkey + 10 AS ord FROM nation UNION ALL SELECT lower(r_name), lower(r_name), 'C' || r_regionkey, NULL, 1, r_regionkey FROM region),
+      s AS (SELECT n_nationkey::BIGINT AS id, extract, ord, CASE WHEN n_nationkey % 5 = 0 AND p = 'P' || n_nationkey THEN 400 + depth WHEN n_nationkey % 3 = 0 AND regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') = regexp_replace(leaf, '[^a-z0-9]', '', 'g') THEN 350 + depth
+       WHEN n_nationkey % 3 = 1 AND regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') = regexp_replace(leaf, '[^a-z0-9]', '', 'g') THEN 320 + depth WHEN c = 'C' || n_regionkey THEN 200 + depth END::INT AS score FROM nation, e),
+      r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS rn FROM s WHERE score IS NOT NULL) SELECT id, extract, score FROM r WHERE rn = 1""",
+    "previous_language": """WITH f AS (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS l FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+      SELECT o_orderkey AS row, coalesce(l, '') AS languages, l IS NULL AS unlabelled FROM orders LEFT JOIN f USING (o_custkey) WHERE o_orderkey % 2 = 0""",
+    "nation_boxes": "WITH p AS (SELECT c_custkey * 37 % 340 - 169.75::DOUBLE AS lon, c_custkey * 53 % 140 - 69.75::DOUBLE AS lat, c_nationkey FROM customer) SELECT c_nationkey, min(lat) - 0.25 AS south, min(lon) - 0.25 AS west, max(lat) + 0.25 AS north, max(lon) + 0.25 AS east FROM p GROUP BY 1",
+    "area_numbers": "SELECT c_custkey, c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 2400000000 ELSE 3600000000 END AS area FROM customer",
 }

@@ -183,3 +183,19 @@ def test_observation_log(spark, tmp_path):
     assert [r.url for r in O.pending(urls, O.stored(spark, str(tmp_path / "t/markers"))).collect()] == ["b"]
     seen, done = S.read_log(spark, str(log))
     assert seen.count() == 6 and done.count() == 1
+
+
+def test_record_helpers(spark):
+    from polyglyph.operators import records
+
+    assert [one(spark, records.unlabelled(F.array(*map(F.lit, v)).cast("array<string>"))) for v in ([], ["unknown"], ["", "fetch_failed"], ["welsh"])] == [True, True, True, False]
+    assert one(spark, records.unlabelled(F.lit(None).cast("array<string>"))) is True
+    sites = spark.createDataFrame([(3, "a", "x"), (1, "a", "x"), (2, "b", "y")], "row long, url string, name string")
+    assert [(r.row, r.url) for r in records.site_sample(sites, 1, ["url"], "row").collect()] == [(1, "a")]
+    labels = spark.createDataFrame([("a", ["welsh"])], "url string, languages array<string>")
+    assert sorted((r.row, r.languages) for r in records.annotate(sites, labels, "url", "languages").collect()) == [(1, ["welsh"]), (2, []), (3, ["welsh"])]
+
+
+def test_area_number_refuses_nodes(spark):
+    with pytest.raises(Exception, match="no area for node"):
+        one(spark, places.area_number(F.lit("node"), F.lit(5)))
