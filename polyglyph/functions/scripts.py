@@ -24,13 +24,22 @@ LONGEST_WORD, MOST_WORDS = 32, 200
 
 
 def ranges(*scripts: str) -> str:
-    """The inside of a character class of the scripts' ranges, for Java and RE2 alike; of all scripts without names."""
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for s, a, b in BLOCKS if not scripts or s in scripts)
+    """The inside of a character class of the scripts' ranges, for Java and RE2 alike; of all scripts without names.
+
+    Ranges that touch are one: Java tests the ranges of a class one by one.
+    """
+    joined: list[list[int]] = []
+    for a, b in sorted((a, b) for s, a, b in BLOCKS if not scripts or s in scripts):
+        if joined and a <= joined[-1][1] + 1:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in joined)
 
 
 ALL_SCRIPTS = tuple(dict.fromkeys(s for s, _, _ in BLOCKS))
 TOKEN = f"[{ranges()}{WORD_EXTRAS}]{{2,}}"
-KEEP = f"[{ranges(*[s for s in ALL_SCRIPTS if s != 'latin'])}]|[{VOWELS}]"
+KEEP = f"[{VOWELS}]|[{ranges(*[s for s in ALL_SCRIPTS if s != 'latin'])}]"
 
 
 def keep_word(w: Column) -> Column:
