@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglyph.llm import mixing, packing, quality, simhash, toxicity
+from polyglyph.llm import mixing, near_copies, packing, quality, simhash, toxicity
 from polyglyph.llm.common import materialize, table, word_count
 
 SCORE = "__polyglyph_score"
@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; of rows that share it, one.
+    """Of each group of op3's near-duplicates the document with the smallest doc_id; of rows that share it, one.
 
-    Rows without a doc_id cannot be named by a group and stay.
+    Not a stage: op3's radius of two bits links little more than exact copies. Rows without a doc_id cannot be named by a group and stay.
     """
     found = simhash.near_duplicates(docs)
     kept = found.where("doc_id = component_id").select("doc_id")
@@ -38,6 +38,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return first.unionByName(docs.where("doc_id is null"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, linked by a similarity of five-word shingles of 0.8 or more, the row with the smallest doc_id."""
+    return near_copies.drop_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the one at a source's cut up to the last word taken."""
     rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
@@ -54,7 +59,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality", keep_quality),
     ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -1,0 +1,170 @@
+"""Rows whose texts are near copies: Jaccard similarity of their sets of five-word shingles of 0.8 or more.
+
+Candidates come from MinHash: 60 minima in 20 bands of 3. A pair at similarity 0.8 shares no band once in 1.7 million
+pairs, a closer pair more rarely. In a band's bucket, texts whose minima agree in 55 % of places are linked, a spanning
+tree at a time and never all pairs; the components of these links are coarse groups, which hold every near copy of
+their texts. In a group the sets themselves are compared, each shipped there once, so no estimate decides what is a
+copy. Texts with equal sets are one from the start.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import components
+
+SHINGLE = 5
+#: The least similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+BANDS, PER_BAND = 20, 3
+#: Places of the minima that agree in a linked pair; at similarity 0.8 a pair has 48 on average and fewer than these about once in a million.
+AGREE = 33
+#: Rows up to which a table of row numbers is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * PER_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles; a shorter text is one shingle, and so is one without words."""
+    words = (text or "").encode().lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, 42)], dtype=np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return np.unique(np.array([digest(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[shingle - 1 :])], dtype=np.uint64))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the set under each of the hash functions."""
+    least = np.full(BANDS * PER_BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] * _FACTORS[0]
+        x ^= x >> np.uint64(32)
+        x *= _FACTORS[1]
+        np.minimum(least, x.min(axis=0), out=least)
+    return least
+
+
+def _sketches(batches):
+    for batch in batches:
+        digests, bands, lows = [], [], []
+        for text in batch.column(2):
+            hashes = shingle_set(text.as_py())
+            least = minima(hashes)
+            raw, size = least.tobytes(), 8 * PER_BAND
+            digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            bands.append(np.array([xxhash.xxh64_intdigest(raw[i * size : (i + 1) * size], i) for i in range(BANDS)], dtype=np.uint64).view(np.int64))
+            lows.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lows, pa.binary())], ["row", "doc_id", "digest", "bands", "low"])
+
+
+def _groups(batches):
+    """The rows of sorted batches, in lists with the same first column."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[0] != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = row[0], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _pairs(found: list[tuple[int, int]], names: list[str]):
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+
+def _likely(batches):
+    """Buckets (h, node, low) -> a spanning tree of each component of texts with enough minima alike."""
+    for rows in _groups(batches):
+        low = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        left, out = np.arange(len(rows)), []
+        while len(left) > 1:
+            reached, left = [left[0]], left[1:]
+            while reached and len(left):
+                x = reached.pop()
+                near = (low[left] == low[x]).sum(axis=1) >= AGREE
+                new, left = left[near], left[~near]
+                reached += new.tolist()
+                out += [(rows[x][1], rows[y][1]) for y in new.tolist()]
+        if out:
+            yield _pairs(out, ["a", "b"])
+
+
+def _confirmed(batches):
+    """Groups (root, node, hashes) -> (node, least): components by the similarity of the sets themselves."""
+    similar, of = SIMILAR
+    for rows in _groups(batches):
+        sets = {node: set(np.frombuffer(raw, np.uint64).tolist()) for _, node, raw in rows}
+        left, out = sorted(sets), []
+        while left:
+            least, left = left[0], left[1:]
+            reached = [least]
+            while reached and left:
+                x = sets[reached.pop()]
+                stay = []
+                for y in left:
+                    a, b = len(x), len(sets[y])
+                    both = len(x & sets[y]) if min(a, b) * of >= max(a, b) * similar else 0
+                    if both * of >= (a + b - both) * similar:
+                        reached.append(y)
+                        out.append((y, least))
+                    else:
+                        stay.append(y)
+                left = stay
+        if out:
+            yield _pairs(out, ["node", "least"])
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """rows (row long, doc_id, text) -> (row): those whose group of near copies has another to keep.
+
+    A group keeps the row with the smallest doc_id, of equals the smallest row; one without a doc_id only if all are.
+    """
+    prints = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, bands array<long>, low binary")
+    prints = materialize(prints, "sketches")
+    same = prints.groupBy("digest").agg(F.min("row").alias("node"))
+    first = F.col("row") == F.col("node")
+    members = materialize(prints.join(same, "digest").select("row", "doc_id", "node", F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("low")).alias("low")), "sets")
+    nodes = members.where("row = node").select("node", "bands", "low")
+    dealt = nodes.select("node", F.explode("bands").alias("h"))
+    shared = dealt.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h")
+    shared = materialize(dealt.join(shared, "h").select("h", "node"), "buckets")
+    buckets = shared.join(nodes.select("node", "low"), "node").select("h", "node", "low").repartition("h").sortWithinPartitions("h", "node")
+    coarse = components(buckets.mapInArrow(_likely, "a long, b long").distinct())
+    coarse = materialize(coarse.union(coarse.select("root", "root")).distinct().select(F.col("node").alias("row"), "root"), "groups")
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], ["root", "node", "hashes"])
+
+    sets = rows.select("row", "text").join(_few(coarse), "row").select("root", "row", "text").mapInArrow(hashed, "root long, node long, hashes binary")
+    sets = sets.repartition("root").sortWithinPartitions("root", "node")
+    confirmed = materialize(sets.mapInArrow(_confirmed, "node long, least long"), "confirmed")
+    named = members.select("row", "doc_id", "node").join(confirmed, "node", "left").select("row", "doc_id", F.coalesce("least", "node").alias("least"))
+    named = materialize(named, "copies")
+    kept = named.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept")).select(F.col("kept.row").alias("row"))
+    return materialize(named.select("row").join(kept, "row", "left_anti"), "dropped")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs without the rows that are near copies of one that is kept. Rows are told apart by themselves, not by doc_id."""
+    row = "__polyglyph_row"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    dropped = _few(copies(rows.select(F.col(row).alias("row"), "doc_id", "text")).withColumnRenamed("row", row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
