@@ -29,8 +29,10 @@ def visible_words(html: Column, most: int = MOST_WORDS) -> Column:
     return words_of(text, most)
 
 
-def words_of(text: Column, most: int = MOST_WORDS) -> Column:
-    return F.slice(F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), keep_word), 1, most)
+def words_of(text: Column, most: int | None = None) -> Column:
+    """The kept words of the text; the first `most` if given."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), keep_word)
+    return words if most is None else F.slice(words, 1, most)
 
 
 def primary_subtag(code: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.hold import hold
-from ..functions.scripts import KEEP, TOKEN, letter_hits, ranges, script_chars
+from ..functions.scripts import KEEP, MOST_WORDS, TOKEN, letter_hits, ranges, script_chars
 from ..functions.urls import AMBIGUOUS_PATH_CODES, normalize_url, path_code
 from ..operators import classify as C
 from ..operators import records as R
@@ -140,8 +140,8 @@ def presence_counts(spark, sf_dir):
     return R.presence_counts(C.classify(_pages(spark, sf_dir), PACKS, "page_id"), "languages")
 
 
-def _doc_words(spark, sf_dir):
-    return hold(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), words=H.words_of(F.col("text"))).drop("text")
+def _doc_words(spark, sf_dir, most=MOST_WORDS):
+    return hold(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), words=H.words_of(F.col("text"), most)).drop("text")
 
 
 def doc_word_scores(spark, sf_dir):
@@ -153,6 +153,17 @@ def doc_word_languages(spark, sf_dir):
     return found.select("doc_id", F.array_join(F.array_sort("by_words"), ",").alias("languages"))
 
 
+def doc_whole_word_scores(spark, sf_dir):
+    """As doc_word_scores, whose SQL reads 200 words, over all words."""
+    return C.word_scores(_doc_words(spark, sf_dir, None), PACKS, "doc_id").withColumn("n", F.col("n").cast("long"))
+
+
+def doc_whole_word_languages(spark, sf_dir):
+    """As doc_word_languages, whose SQL reads 200 words, over all words."""
+    found = C.word_languages(C.word_scores(_doc_words(spark, sf_dir, None), PACKS, "doc_id"), "doc_id")
+    return found.select("doc_id", F.array_join(F.array_sort("by_words"), ",").alias("languages"))
+
+
 def doc_script_totals(spark, sf_dir):
     text = F.lower(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", *[script_chars(text, s).alias(s) for s in ("latin", "cyrillic", "greek", "han")])
@@ -183,7 +194,7 @@ def url_shard(spark, sf_dir):
     return R.shard(url_first_seen(spark, sf_dir), 1, 3).select("url", "position")
 
 
-QUERIES = {f.__name__: f for f in (page_classify, page_words, page_html_lang, page_path_lang, page_primary, combo_counts, presence_counts, doc_word_scores, doc_word_languages, doc_script_totals, doc_exclusive_letters, suppression_fold, url_normalize, url_first_seen, url_shard)}
+QUERIES = {f.__name__: f for f in (page_classify, page_words, page_html_lang, page_path_lang, page_primary, combo_counts, presence_counts, doc_word_scores, doc_word_languages, doc_whole_word_scores, doc_whole_word_languages, doc_script_totals, doc_exclusive_letters, suppression_fold, url_normalize, url_first_seen, url_shard)}
 
 _DOC_WORDS_SQL = f"""
 WITH w AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS words FROM documents),
@@ -193,6 +204,7 @@ WITH w AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS words FROM docum
  n AS (SELECT e.doc_id, idx.lang AS language, count(*)::BIGINT AS n FROM e JOIN {_INDEX_SQL} USING (word) JOIN o ON o.doc_id = e.doc_id
        WHERE len(idx.scripts) = 0 OR len(on_page) = 0 OR list_has_any(idx.scripts, on_page) GROUP BY ALL)
 """
+_WHOLE_DOC_WORDS_SQL = _DOC_WORDS_SQL.replace("[1:200]", "")
 _PATH_SQL = "regexp_extract(regexp_extract(lower(regexp_replace(url, '^https?://[^/]+/web/\\d+[a-z_]*/', '')), '^(?:https?://)?[^/?#]*([^?#]*)', 1), '^/([a-z]{2,3})(?:/|$)', 1)"
 _AMBIGUOUS = "(" + ", ".join(_q(c) for c in AMBIGUOUS_PATH_CODES) + ")"
 _SUFFIXES = r"(?:\.jpg|\.jpeg|\.png|\.gif|\.webp|\.svg|\.ico|\.pdf|\.mp4|\.mp3|\.zip|\.css|\.js|\.xml|\.json|\.csv|\.doc|\.docx|\.xls|\.xlsx)\z"
@@ -206,6 +218,8 @@ ORACLE_SQL = {
     "presence_counts": _PAGE_LANGS_SQL + "SELECT language, count(*) AS n FROM (SELECT unnest(CASE WHEN len(languages) = 0 THEN ['unknown'] ELSE languages END) AS language FROM langs) GROUP BY 1",
     "doc_word_scores": _DOC_WORDS_SQL + "SELECT doc_id, language, n FROM n",
     "doc_word_languages": _DOC_WORDS_SQL + ", m AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM n) SELECT doc_id, coalesce(string_agg(language, ',' ORDER BY language) FILTER (WHERE n >= 4 AND n >= top * 0.35), '') AS languages FROM m GROUP BY doc_id",
+    "doc_whole_word_scores": _WHOLE_DOC_WORDS_SQL + "SELECT doc_id, language, n FROM n",
+    "doc_whole_word_languages": _WHOLE_DOC_WORDS_SQL + ", m AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM n) SELECT doc_id, coalesce(string_agg(language, ',' ORDER BY language) FILTER (WHERE n >= 4 AND n >= top * 0.35), '') AS languages FROM m GROUP BY doc_id",
     "doc_script_totals": "SELECT doc_id, " + ", ".join(f"{_chars_sql('lower(coalesce(text, chr(32)))', s)}::INT AS {s}" for s in ("latin", "cyrillic", "greek", "han")) + " FROM documents",
     "doc_exclusive_letters": "SELECT doc_id, " + ", ".join(f"{_hits_sql('lower(coalesce(text, chr(32)))', x)}::INT AS {n}" for n, x in (("german_hits", "äöüß"), ("spanish_hits", "ñ¿¡"), ("french_hits", "çœ"))) + " FROM documents",
     "suppression_fold": "SELECT * FROM (VALUES (0, 'belarusian'), (1, 'ukrainian,english'), (2, 'russian'), (3, 'ukrainian,belarusian'), (4, '')) AS t(id, kept)",
