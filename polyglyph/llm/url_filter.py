@@ -4,14 +4,12 @@ Two variable-order Markov models, of accepted and of rejected URLs, are learned
 An order-k probability is smoothed towards the order below, (n(context, c) + B p') / (n(context) + B), from an even
 start over the characters seen. A URL's score is the log-likelihood difference per character, each character scored
 by the longest context that the models keep. The threshold is calibrated on rule-decided URLs left out of the
-counts. A model keeps the strings seen often enough that there are at most `max_grams` of them, so its broadcast is
-bounded, whatever the input.
+counts. Strings seen once are left out; where the others are more than `max_grams`, those seen least are pruned, so
+that the broadcast is bounded, whatever the input.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,14 +51,26 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     return each.select(*urls.columns, *[F.substring(padded, F.col("_at") + order - k, F.lit(k + 1)).alias(f"g{k}") for k in range(order + 1)])
 
 
+def least_count(counts: DataFrame, max_grams: int) -> int:
+    """The least count, from 2 up, with at most max_grams strings of order 1 and up seen that often."""
+    n = F.col("a") + F.col("r")
+    sizes = counts.where((F.col("k") > 0) & (n >= 2)).groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("kinds"))
+    # the distinct counts add up to no more than all characters, so they are few
+    room = max_grams
+    for n, kinds in sorted(((r.n, r.kinds) for r in sizes.collect()), reverse=True):
+        room -= kinds
+        if room < 0:
+            return n + 1
+    return 2
+
+
 def train(labelled: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING, max_grams: int = MAX_GRAMS) -> list[DataFrame]:
     """labelled (key, good boolean) -> for each order a table (g, ratio): log p_accepted - log p_rejected."""
     grams = _grams(labelled.select("key", "good"), order)
     one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("g")) for k in range(order + 1)]))
     counts = grams.select("good", one.alias("x")).groupBy("x.k", "x.g").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
     counts = materialize(counts, "url_grams")
-    total = counts.where("k = 0").agg(F.sum(F.col("a") + F.col("r"))).first()[0] or 0
-    often = max(2, math.ceil(total * (order + 1) / max_grams))
+    often = least_count(counts, max_grams)
     models, below = [], None
     for k in range(order + 1):
         own = counts.where(F.col("k") == k)

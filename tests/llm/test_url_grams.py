@@ -1,0 +1,17 @@
+"""Pruning of op4's model follows the distinct strings, not the number of characters."""
+
+from pyspark.sql import functions as F
+
+from polyglyph.llm import url_filter
+
+
+def test_rare_strings_stay_where_all_fit(spark):
+    # 2,000 copies of one key and two of another: few distinct strings, many characters
+    keys = spark.range(2000).select(F.lit("aaaa.com/aaaa").alias("key"), F.lit(True).alias("good")).union(spark.range(2).select(F.lit("qzx.net/").alias("key"), F.lit(False).alias("good")))
+    kept = {r.g for r in url_filter.train(keys, max_grams=500)[2].collect()}
+    assert "qzx" in kept
+
+
+def test_least_count_keeps_to_the_bound(spark):
+    counts = spark.createDataFrame([(1, f"g{i}", i, 0) for i in range(1, 11)] + [(0, "x", 99, 0)], "k int, g string, a long, r long")
+    assert [url_filter.least_count(counts, n) for n in (0, 1, 3, 9, 100)] == [11, 10, 8, 2, 2]
