@@ -49,3 +49,9 @@ def test_stage_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in STAGE(spark, docs, SF).collect()) == [(False, 1), (False, 3), (False, 5), (True, 0)]
     assert STAGE(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stage_keeps_different_texts_that_share_an_id(spark):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (1, "one two three four five six"), (None, "apple pear plum fig"), (None, "apple pear plum fig"), (None, "seven eight nine ten eleven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, map(tuple, STAGE(spark, docs, SF).collect()))) == sorted(map(str, [rows[0], rows[1], rows[3]]))
