@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 
 import numpy as np
@@ -30,13 +31,19 @@ CACHE_WORDS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: White space other than a single space or line feed between two non-spaces: there the vocabulary may join characters.
+_RUNS = re.compile(r"\s\s|[^\S \n]")
+_WORD = re.compile(r"[ \n]?\S+|[ \n]")
+
+
 class Encoder:
     """Ids of byte_bpe_50k.json, without added special tokens, as little-endian unsigned 32-bit bytes.
 
-    Its pre-tokenizer never joins text across a single space before a non-space, so such a text is the concatenation
-    of its words' ids, each word with the space before it; words are encoded once, by the same merges as ranks
-    (several times faster than the JSON tokenizer and equal to it: tests/llm/test_packing.py). Texts with two spaces
-    in a row are encoded whole; texts that spell a special token go through the JSON tokenizer.
+    Its pre-tokenizer never joins text across one space or line feed between non-spaces, so such a text is the
+    concatenation of its words' ids, each word with the white space before it; words are encoded once, by the same
+    merges as ranks. A text with any other white space (a run, a tab, a no-break or wide space) is encoded whole,
+    since tokens may reach into the run; one that spells a special token goes through the JSON tokenizer.
+    tests/llm/test_packing.py holds the ids against those of the JSON tokenizer.
     """
 
     def __init__(self, name: str = TOKENIZER):
@@ -63,16 +70,15 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if "<|endoftext|>" in text:
             return self.exact(text)
-        if "  " in text:
+        if _RUNS.search(text):
             return self.whole(text)
-        head, *rest = text.split(" ")
-        known, out = self.known, [self.whole(head)]
-        for word in rest:
+        known, out = self.known, []
+        for word in _WORD.findall(text):
             ids = known.get(word)
             if ids is None:
                 if len(known) >= CACHE_WORDS:
                     known.clear()
-                ids = self.whole(" " + word)
+                ids = self.whole(word)
                 if len(word) <= 64:
                     known[word] = ids
             out.append(ids)
@@ -96,7 +102,11 @@ def cut(n: int, most: int = MAX_TOKENS):
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, max_tokens: int = MAX_TOKENS, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document; a null text counts as empty."""
+    """doc_id, piece, start, length, ids_crc32 of every document.
+
+    A null or empty text is the end token alone. A null doc_id stays null; repeated rows are cut each for itself; an
+    empty table has no pieces. Only doc_id and text are read, so other columns cannot clash.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -196,4 +206,5 @@ def pack(items: DataFrame, max_tokens: int = MAX_TOKENS, group_items: int = GROU
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places, as pieces() and pack() give them; nulls and repeated rows as there."""
     return pack(pieces(table(spark, sf_dir, "documents")))
