@@ -17,17 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local master gets a temporary folder; a cluster raises, since its executors could not see one.
+    """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="polyglyph-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of all tables that this application's operators have written."""
+    return f"{shared_dir(spark)}/polyglyph-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/polyglyph-{uuid.uuid4().hex}/{name}"
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes scratch_root(). To be called when no result of an operator is read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,8 +66,13 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: Rows up to which a table of group sizes is broadcast; a larger one is joined by shuffle.
-BROADCAST_GROUPS = 10_000
+#: Rows up to which a table is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 10_000
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (a written table), to be broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def bounded_sample(df: DataFrame, by: list[str], most: int, key: str = "doc_id") -> DataFrame:
@@ -59,9 +81,7 @@ def bounded_sample(df: DataFrame, by: list[str], most: int, key: str = "doc_id")
     The group sizes are counted over all rows and broadcast if they are few, so that df stays where it is.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], "_n")
-    sizes = materialize(sizes, "group_sizes")
-    if sizes.count() <= BROADCAST_GROUPS:
-        sizes = F.broadcast(sizes)
+    sizes = few(materialize(sizes, "group_sizes"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     share = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return df.join(sizes, on).where(share * F.col("_n") < most).select(*[df[c] for c in df.columns])

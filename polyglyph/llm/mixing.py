@@ -1,26 +1,35 @@
 """Mixing sources to target weights by weighted fair queueing. DataFrame operations only.
 
-Each source is a queue of its documents in a shuffled order. A document's virtual finish time is its source's words
-up to its end, divided by the source's target; the queues are merged by sorting on it. Up to virtual time v the
-queues have been served v times their targets, so the running total meets the budget at v = 1: there the merged
-order is cut, within the one document that each queue is serving at that moment. A source served more than its own
-size starts over, `max_repeat` times at most.
-
-Running sums never gather a source in one task: a source's shuffled documents are dealt to about sqrt(n) ranges of
-the shuffle key, the ranges' sums are accumulated, then the documents within each range.
+Each source is a queue of its documents in a shuffled order, and starts over when it has been served, `max_repeat`
+times at most. Every copy of a document is queued with its virtual finish time: its source's words up to its end,
+divided by the source's target; a long document is queued in segments of SEGMENT words, so that none holds its queue
+up. All queues are merged by virtual finish time and cut where the running total reaches the budget.
+
+Nothing gathers a source or the merged queue in one task. Running sums within a source: its shuffled documents are
+dealt to about sqrt(n) ranges of the shuffle key, the ranges' sums are accumulated, then the documents within each.
+The merged order: the queue is dealt to ranges of virtual finish time, the ranges' sums are accumulated, and the range
+that the budget falls into is dealt again until it is small enough to be sorted. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from bisect import bisect_left
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_count
+from .common import WORD, few, materialize, table, word_count
+
+#: Words of a segment, the unit of the queues.
+SEGMENT = 256
+#: Ranges that the merged queue is dealt to at a time, and the rows from which on a range is sorted.
+RANGES, SORTED_ROWS = 1024, 20_000
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
-    """One row per source: source, n_docs, source_size, weight, target.
+    """One row per source: source, rank, n_docs, source_size, weight, target.
 
     Sources by code point, null last, take the weights in turn. Targets share `share` of all words by weight; none
     exceeds max_repeat times its source's size, and what exceeds it is shared again by weight (water-filling: the
@@ -43,53 +52,121 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_
     at = F.col("place") == F.col("first_open")
     per = per.withColumn("to_share", F.max(F.when(at, F.col("budget") - F.col("full"))).over(whole)).withColumn("weights_left", F.max(F.when(at, F.col("rest"))).over(whole))
     target = F.when(F.col("first_open").isNull() | (F.col("place") < F.col("first_open")), F.col("cap")).otherwise(F.col("to_share") * F.col("weight") / F.col("weights_left"))
-    return per.select("source", "n_docs", "source_size", "weight", target.alias("target"))
+    return per.select("source", "rank", "n_docs", "source_size", "weight", target.alias("target"))
+
 
+def _key(doc_id: Column) -> Column:
+    """The shuffle order: that of md5(doc_id), a null id as the empty text."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
-    """docs (doc_id, source, size and any other columns) with source_size, target, virtual_finish and taken.
 
-    taken: the words of the document that the mix takes, repeats counted: size times its whole copies, and the part
-    served of the copy at the cut. virtual_finish: of the first copy (null in a source without words). The shuffle
-    order is that of md5(doc_id), so reruns agree. Null sources are one source; null doc_ids sort as the empty
-    text; rows alike are queued one after the other; an empty table gives an empty mix. Columns that begin with
-    `_mix_` are reserved, others pass through.
+def queues(sized: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
+    """sized (doc_id, source, size, tie) -> one row per group of rows alike: the queues, in order of `start`.
+
+    Columns: doc_id, source, tie, size, alike (rows in the group), start (words of its source before it), source_size,
+    target, rank (of the source), served (words that the mix takes from its source, repeats counted). Rows alike are
+    served as one, evenly; a document without words is in its queue and gets nothing.
     """
-    targets = materialize(source_targets(docs.select("source", "size"), weights, share, max_repeat), "targets")
-    t = targets.select(F.col("source").alias("_mix_source"), F.col("n_docs").alias("_mix_n"), "source_size", "target")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    spot = F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("double") / 4294967296.0
-    queued = (
-        docs.drop("source_size", "target", "virtual_finish", "taken")
-        .withColumn("_mix_key", key)
-        .join(t, F.col("source").eqNullSafe(F.col("_mix_source")))
-        .drop("_mix_source")
-        .withColumn("_mix_range", F.floor(spot * F.ceil(F.sqrt("_mix_n"))).cast("long"))
-    )
-    sums = queued.groupBy("source", "_mix_range").agg(F.sum("size").alias("_mix_sum"))
-    before = W.partitionBy("source").orderBy("_mix_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(
-        F.col("source").alias("_mix_s"), F.col("_mix_range").alias("_mix_r"), F.coalesce(F.sum("_mix_sum").over(before), F.lit(0)).cast("long").alias("_mix_start")
-    )
-    starts = materialize(starts, "range_starts")
-    within = W.partitionBy("source", "_mix_range").orderBy("_mix_key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    queued = queued.withColumn("_mix_cum", F.sum("size").over(within)).join(starts, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_range") == F.col("_mix_r")))
-    end = F.col("_mix_start") + F.col("_mix_cum")
-    quota = F.floor("target").cast("long")
-    served = [F.greatest(F.lit(0), F.least(F.col("size"), quota - (end - F.col("size") + F.col("source_size") * e))) for e in range(max_repeat)]
-    out = queued.withColumn("virtual_finish", F.when(F.col("target") > 0, end / F.col("target"))).withColumn("taken", sum(served[1:], served[0]).cast("long"))
-    return out.drop("_mix_key", "_mix_n", "_mix_range", "_mix_cum", "_mix_s", "_mix_r", "_mix_start")
+    targets = materialize(source_targets(sized, weights, share, max_repeat), "targets")
+    t = targets.select(F.col("source").alias("_source"), F.col("n_docs").alias("_n"), "source_size", "target", "rank")
+    rows = sized.groupBy("source", "doc_id", "tie").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("alike")).withColumn("key", _key(F.col("doc_id")))
+    spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0
+    dealt = rows.join(few(t), F.col("source").eqNullSafe(F.col("_source"))).withColumn("range", F.floor(spot * F.ceil(F.sqrt("_n"))).cast("long"))
+    words = F.col("size") * F.col("alike")
+    sums = dealt.groupBy("rank", "range").agg(F.sum(words).alias("words"))
+    before = W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = materialize(sums.select("rank", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("long").alias("_before")), "range_starts")
+    within = W.partitionBy("rank", "range").orderBy("key", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(words).over(within), F.lit(0)).cast("long")
+    queue = dealt.withColumn("own", own).join(starts, ["rank", "range"]).withColumn("start", F.col("_before") + F.col("own"))
+    queue = materialize(queue.select("doc_id", "source", "tie", "key", "size", "alike", "start", "source_size", "target", "rank"), "queues")
+    budget = int((targets.agg(F.sum("source_size")).first()[0] or 0) * share)
+    served = _serve(_segments(queue, max_repeat), budget)
+    return queue.join(few(materialize(served, "served")), "rank")
+
+
+def _segments(queue: DataFrame, max_repeat: int) -> DataFrame:
+    """(rank, finish, words): every segment of every copy; finish is its virtual finish time."""
+    words = F.col("size") * F.col("alike")
+    copies = queue.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
+    cut = copies.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), words - 1, F.lit(SEGMENT).cast("long"))))
+    end = F.least(F.col("at") + SEGMENT, words)
+    finish = (F.col("copy") * F.col("source_size") + F.col("start") + end) / F.col("target")
+    return cut.select("rank", finish.alias("finish"), (end - F.col("at")).alias("words"))
+
+
+def _serve(segments: DataFrame, budget: int) -> DataFrame:
+    """(rank, served): the words taken from each source when the merged queue is cut at the budget.
+
+    The merged order is that of (finish, rank), in which no two segments are equal.
+    """
+    left, before = segments, 0
+    while True:
+        low, high, n, total = left.agg(F.min("finish"), F.max("finish"), F.count(F.lit(1)), F.sum("words")).first()
+        if not n or before + total <= budget:  # all is taken
+            return segments.groupBy("rank").agg(F.sum("words").cast("long").alias("served"))
+        if n <= SORTED_ROWS or low == high:
+            break
+        place = F.floor((F.col("finish") - low) / (high - low) * RANGES).cast("long")
+        ranges = sorted(left.groupBy(place.alias("place")).agg(F.sum("words").alias("words")).collect())  # RANGES + 1 rows at most
+        sums = list(accumulate(r.words for r in ranges))
+        at = bisect_left(sums, budget - before)
+        before += sums[at] - ranges[at].words
+        left = left.where(place == ranges[at].place)
+    # few rows are left: one range of the merged queue
+    order = W.orderBy("finish", "rank")
+    sums = left.withColumn("sum", before + F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    finish, rank, excess = sums.where(F.col("sum") >= budget).orderBy("finish", "rank").select("finish", "rank", F.col("sum") - budget).first()
+    taken = segments.where((F.col("finish") < finish) | ((F.col("finish") == finish) & (F.col("rank") <= rank)))
+    return taken.groupBy("rank").agg(F.sum("words").cast("long").alias("all")).select("rank", (F.col("all") - F.when(F.col("rank") == rank, excess).otherwise(0)).cast("long").alias("served"))
+
+
+def mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
+    """sized (doc_id, source, size) -> one row for each of its rows: these columns, source_size, target, taken, virtual_finish.
+
+    taken: the words of the document that the mix takes, repeats counted. virtual_finish: of its first copy, null in a
+    source without words. Reruns agree. Null sources are one source, null doc_ids sort as the empty text; rows alike
+    share evenly what is taken of them; a document without words gets 0; an empty table gives an empty mix. Other
+    columns of sized do not matter.
+    """
+    rows = queues(sized.select("doc_id", "source", "size", F.col("size").alias("tie")), weights, share, max_repeat)
+    words = F.col("size") * F.col("alike")
+    of_copy = lambda e: F.greatest(F.lit(0), F.least(words, F.col("served") - F.col("source_size") * e - F.col("start")))
+    taken = sum([F.floor(of_copy(e) / F.col("alike")).cast("long") for e in range(1, max_repeat)], F.floor(of_copy(0) / F.col("alike")).cast("long"))
+    finish = F.when(F.col("target") > 0, (F.col("start") + words) / F.col("target"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish"), each.alias("_each")).drop("_each")
 
 
-def mixed_texts(mixed: DataFrame) -> DataFrame:
-    """The rows of mix() as often as they are taken: whole copies, and of a cut copy the text up to its last word taken."""
-    copies = F.expr("if(taken <= 0, array(), sequence(1L, cast(ceil(taken / size) as long)))")
-    left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), left.cast("int")), "")
-    return mixed.withColumn("_copy", F.explode(copies)).withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(head)).drop("_copy")
+def mixed_texts(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
+    """docs (doc_id, source, text and any other columns) as often as the mix takes them.
+
+    Whole copies, and of a document at its source's cut the text up to its last word taken. The cut of each source is
+    the place in its queue that the mix has come to, so that every row tells from its own place what it gives: the
+    texts stay where they are. A document without words, or of which nothing is taken, is not in the mix.
+    """
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    narrow = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), tie.alias("tie")), "sized")
+    rows = queues(narrow, weights, share, max_repeat)
+    into = F.col("served") % F.col("source_size")
+    words = F.col("size") * F.col("alike")
+    cuts = rows.where((F.col("start") <= into) & (into < F.col("start") + words)).select(
+        F.col("source").alias("_mix_source"), F.floor(F.col("served") / F.col("source_size")).cast("int").alias("_mix_whole"),
+        F.struct("key", "doc_id", "tie").alias("_mix_cut"), F.floor((into - F.col("start")) / F.col("alike")).cast("int").alias("_mix_left"),
+    )
+    place = F.struct(_key(F.col("doc_id")).alias("key"), F.col("doc_id"), tie.alias("tie"))
+    at = docs.join(few(materialize(cuts, "cuts")), F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_place", place)
+    whole = F.col("_mix_whole") + F.when(F.col("_mix_place") < F.col("_mix_cut"), 1).otherwise(0)
+    part = F.when(F.col("_mix_place") == F.col("_mix_cut"), F.col("_mix_left")).otherwise(0)
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    copies = F.when(has_words, F.concat(F.array_repeat(F.lit(0), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))).otherwise(F.array().cast("array<int>"))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.greatest(F.col("_mix_take"), F.lit(1))), "")
+    out = at.withColumn("_mix_take", F.explode(copies)).withColumn("text", F.when(F.col("_mix_take") == 0, F.col("text")).otherwise(head))
+    return out.select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, in the order of the merged queue; nulls, repeated rows and an empty table as in mix()."""
     docs = table(spark, sf_dir, "documents")
     sized = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sized")
     return mix(sized).orderBy("virtual_finish", "source", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
@@ -115,17 +192,30 @@ level AS (
          max(CASE WHEN place = first_open THEN rest END) OVER () AS weights_left
   FROM opened),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, rnk, source_size,
          CASE WHEN first_open IS NULL OR place < first_open THEN cap ELSE to_share * weight / weights_left END AS target
   FROM level),
+grouped AS (SELECT source, doc_id, k, size, count(*) AS alike FROM sized GROUP BY ALL),
 queued AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-         (sum(s.size) OVER (PARTITION BY s.source ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT AS cum
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+  SELECT s.doc_id, s.size, s.alike, t.rnk, t.source_size, t.target,
+         (sum(s.size * s.alike) OVER (PARTITION BY s.source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT AS ended
+  FROM grouped s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT *, ended - size * alike AS begun, unnest([0, 1, 2]) AS copy FROM queued WHERE size > 0),
+parts AS (SELECT *, unnest(range(0, size * alike, SEGMENT_WORDS)) AS pos FROM copies),
+segments AS (
+  SELECT rnk, (copy * source_size + begun + least(pos + SEGMENT_WORDS, size * alike)) / target AS finish,
+         least(SEGMENT_WORDS, size * alike - pos) AS words
+  FROM parts),
+merged AS (SELECT rnk, words, sum(words) OVER (ORDER BY finish, rnk ROWS UNBOUNDED PRECEDING) AS total FROM segments),
+served AS (
+  SELECT rnk, sum(greatest(0, words - greatest(0, total - (SELECT sum(size) FROM sized))))::BIGINT AS served
+  FROM merged GROUP BY rnk),
+taken AS (
+  SELECT q.*, size * alike AS w, coalesce(served, 0) - (ended - size * alike) AS room FROM queued q LEFT JOIN served USING (rnk)),
+rows_ AS (SELECT *, unnest(range(alike)) AS nth FROM taken)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - (cum - size)))
-        + greatest(0, least(size, floor(target)::BIGINT - (cum - size + source_size)))
-        + greatest(0, least(size, floor(target)::BIGINT - (cum - size + 2 * source_size))))::BIGINT AS taken,
-       CASE WHEN target > 0 THEN cum / target END AS virtual_finish
-FROM queued
-"""
+       (greatest(0, least(w, room)) // alike + greatest(0, least(w, room - source_size)) // alike
+        + greatest(0, least(w, room - 2 * source_size)) // alike)::BIGINT AS taken,
+       CASE WHEN target > 0 THEN ended / target END AS virtual_finish
+FROM rows_
+""".replace("SEGMENT_WORDS", str(SEGMENT))

@@ -66,4 +66,4 @@ def test_rounds_come_near_one_group(spark):
     rows = packing.pack(items, group_items=128).collect()
     assert sorted(r.k for r in rows) == list(range(3000))
     whole = len(packing.best_fit(np.array(lengths), packing.MAX_TOKENS)[2])
-    assert len({r.sequence_id for r in rows}) <= 1.03 * whole
+    assert len({r.sequence_id for r in rows}) <= 1.05 * whole
