@@ -44,11 +44,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the one at a source's cut up to the last word taken."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    sized = docs.select("doc_id", "source", "text", F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"), word_count("text").alias("size"))
-    taken = mixing.mixed_texts(mixing.mix(sized))
-    return taken.select(*[F.col(f"_rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns])
+    """Documents as often as the mix takes them, the one at a source's cut up to the last word taken.
+
+    Null sources are one source; a null text has no words, and a document without words is not in the mix; rows alike
+    share evenly what is taken of them; an empty table stays empty; other columns pass.
+    """
+    return mixing.mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
