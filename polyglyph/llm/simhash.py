@@ -2,14 +2,24 @@
 
 A BK-tree holds fingerprints; each child hangs on its parent by their Hamming distance, and a search within radius r
 follows only the edges whose distance is within r of the query's distance to the node. One tree over all documents
-would have to be broadcast, which has no size bound, so the trees are sharded and the shuffle takes them to their
-queries: the 64 bits are cut into radius + 4 blocks; fingerprints within the radius agree in 4 blocks at least, so
-every choice of 4 blocks with their bits is a shard, which holds its own tree and queries. The search is exact, and
-a shard sends on only the links that join two of its subtrees, never all pairs of a group.
+would have to be broadcast, which has no size bound, so the trees are sharded, and the shuffle takes them to their
+queries. A shard holds its own tree and queries and sends on only the links that join two of its subtrees, never all
+pairs of a group.
+
+Links of fingerprints (op3): the 64 bits are cut into radius + 1 blocks, of which two fingerprints within the radius
+agree in one at least; the first bits of a block are its shard, as many as give about SHARD fingerprints each. A shard
+that is larger than MOST is dealt again by the choices of AGREE of radius + AGREE blocks. The search is exact.
+
+Near copies (the pipeline's stage): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+At that similarity fingerprints differ in 10 bits of 64 on average, so no block of bits need agree; shards are
+the texts with the same least shingle under one of ORDERS hash functions, which two similar texts miss in all orders
+less than three times in a million. A shard's BK-tree is searched within COPY_RADIUS, and what it links is confirmed
+by the sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -18,25 +28,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import few, materialize, table
 from .components import components
 
 RADIUS = 2
 SHINGLE = 3
 AGREE = 4
+#: Fingerprints that a shard is to have, and from how many on it is dealt again.
+SHARD, MOST = 512, 4096
+#: Near copies: words of a shingle, least similarity as a fraction, radius of the search, orders of the shingles.
+COPY_SHINGLE, SIMILAR, COPY_RADIUS, ORDERS = 5, (4, 5), 18, 8
+#: Shingles of the sets that are compared in one task; larger groups are compared block by block.
+BLOCK_SHINGLES = 2_000_000
+#: Rows up to which a table of row numbers is broadcast; a larger one is joined by shuffle.
+BROADCAST_NUMBERS = 2_000_000
 
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, ORDERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the text's word shingles, as an unsigned 64-bit number; 0 without words."""
+
+def shingles(text: str | None, shingle: int) -> list[int]:
+    """XXH64 of the text's word shingles, repeats included; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-        hashes = [digest(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[shingle - 1 :])]
+        return [digest(joined, 42)]
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return [digest(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[shingle - 1 :])]
+
+
+def simhash(hashes: list[int]) -> int:
+    """The fingerprint of hashed shingles as an unsigned 64-bit number; 0 without shingles."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = np.array(hashes[at : at + 65536], dtype=">u8")
@@ -44,6 +67,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return simhash(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
 
@@ -106,26 +133,54 @@ def shard_links(keys: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def masks(radius: int = RADIUS, agree: int = AGREE) -> list[int]:
-    """For each choice of `agree` of the radius + agree blocks of bits, the mask of those bits, as a signed long."""
-    n = radius + agree
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """The first bit and the width of n blocks of the 64 bits."""
     cuts = [round(64 * i / n) for i in range(n + 1)]
-    block = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(n)]
-    values = [sum(block[i] for i in chosen) for chosen in combinations(range(n), agree)]
-    return [v - (1 << 64) if v >> 63 else v for v in values]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, agree: int = AGREE) -> DataFrame:
+def block_masks(n_fingerprints: int, radius: int = RADIUS) -> list[int]:
+    """A mask of bits of each of radius + 1 blocks, so many that uniform fingerprints are SHARD to a shard, or the whole block."""
+    bits = max(1, math.ceil(math.log2(max(2, n_fingerprints) / SHARD)))
+    return [_signed(((1 << min(bits, width)) - 1) << first) for first, width in _blocks(radius + 1)]
+
+
+def agree_masks(radius: int = RADIUS, agree: int = AGREE) -> list[int]:
+    """For each choice of `agree` of radius + agree blocks, the mask of their bits: two within the radius agree under one."""
+    block = [((1 << width) - 1) << first for first, width in _blocks(radius + agree)]
+    return [_signed(sum(chosen)) for chosen in combinations(block, agree)]
+
+
+def _dealt(fps: DataFrame, masks: list[int], first: int = 0) -> DataFrame:
+    shards = F.array(*[F.struct(F.lit(first + k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
+    return fps.select("fp", F.explode(shards).alias("s")).select("s.k", "s.bits", "fp")
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (a, b) with the same components as all pairs within the radius."""
-    shards = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(radius, agree))])
-    dealt = fps.select("fp", F.explode(shards).alias("s")).select("s.k", "s.bits", "fp")
-    # a shard is where 4 blocks agree; alone in it, a fingerprint has no partner there
-    dealt = dealt.repartition("k", "bits").sortWithinPartitions("k", "bits", "fp")
+    coarse = block_masks(fps.count(), radius)
+    shards = _dealt(fps, coarse)
+    sizes = materialize(shards.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST), "large_shards")
+    if not sizes.isEmpty():
+        large = few(sizes.select("k", "bits"))
+        again = _dealt(shards.join(large, ["k", "bits"], "left_semi").select("fp").distinct(), agree_masks(radius), len(coarse))
+        shards = shards.join(large, ["k", "bits"], "left_anti").unionByName(again)
+    return _tree_links(shards, ["k", "bits"], radius)
+
+
+def _tree_links(shards: DataFrame, key: list[str], radius: int) -> DataFrame:
+    """shards (key of two longs, fp) -> (a, b): links that span the components of each shard's fingerprints."""
+    dealt = shards.select(*key, "fp").repartition(*key).sortWithinPartitions(*key, "fp")
 
     def run(batches):
         rest = np.zeros((0, 3), np.int64)
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int64)])
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int64)
+            rows = np.concatenate([rest, rows]) if len(rest) else rows
             new = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
             last = int(new[-1]) if len(new) else 0
             yield from _runs(rows[:last], new[:-1] if len(new) else new, radius)
@@ -164,5 +219,148 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def least_shingles(hashes: np.ndarray) -> list[int]:
+    """The least value of the set under each of the orders, marked with the order, as signed longs."""
+    least = np.full(ORDERS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 8192):
+        x = hashes[at : at + 8192, None] * _FACTORS[0]
+        x ^= x >> np.uint64(32)
+        x *= _FACTORS[1]
+        np.minimum(least, x.min(axis=0), out=least)
+    return least.view(np.int64).tolist()
+
+
+def _sets(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes; a text without words has the empty set."""
+    return np.unique(np.array(shingles(text, COPY_SHINGLE), dtype=np.uint64))
+
+
+def _sketches(batches):
+    for batch in batches:
+        out = []
+        for text in batch.column(2):
+            hashes = shingles(text.as_py(), COPY_SHINGLE)
+            own = np.unique(np.array(hashes, dtype=np.uint64))
+            out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), np.uint64(simhash(hashes)).view(np.int64), least_shingles(own)))
+        cols = list(zip(*out)) or [()] * 4
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["row", "doc_id", "digest", "n", "fp", "least"])
+
+
+def _copy_shards(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp, least) -> (h, g, fp): the shards of fingerprints that have a least shingle in common.
+
+    A shard with more than MOST fingerprints, such as that of a passage which many texts share, is dealt again by the
+    least shingles under each other order. One that is still larger holds texts alike, and its tree links them fast.
+    """
+    each = nodes.select("fp", F.posexplode("least").alias("o", "h"), "least")
+    shards = each.select(F.xxhash64("o", "h").alias("h"), F.lit(0).cast("long").alias("g"), "fp", "least").dropDuplicates(["h", "fp"])
+    sizes = shards.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes.select("h", (F.col("n") > MOST).alias("large")), "shard_sizes")
+    kept = materialize(shards.join(sizes, "h"), "shards")
+    again = kept.where("large").select("h", "fp", F.posexplode("least").alias("o", "other")).select("h", F.xxhash64("o", "other").alias("g"), "fp")
+    # the order that a shard was dealt by gives one more shard with all of its rows: it is left out
+    again = again.where("h <> g").distinct()
+    return kept.where("not large").select("h", "g", "fp").unionByName(again)
+
+
+def _pairs(found: list[tuple[int, int]], names: list[str]):
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+
+def _cells(batches):
+    """The rows of sorted batches, in lists with the same first three columns."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:3] != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = row[:3], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _similar(a: frozenset, b: frozenset) -> bool:
+    similar, of = SIMILAR
+    if min(len(a), len(b)) * of < max(len(a), len(b)) * similar:
+        return False
+    both = len(a & b)
+    return both * of >= (len(a) + len(b) - both) * similar
+
+
+def _confirmed(batches):
+    """Cells (root, i, j, node, fp, hashes) -> (a, b): links that span the components of the sets' similarity."""
+    for rows in _cells(batches):
+        nodes, fps = [r[3] for r in rows], np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64)
+        sets = [frozenset(np.frombuffer(r[5], np.uint64).tolist()) for r in rows]
+        left, out = np.arange(len(rows)), []
+        while len(left):
+            reached, left = [int(left[0])], left[1:]
+            while reached and len(left):
+                x = reached.pop()
+                near = np.bitwise_count(fps[left] ^ fps[x]) <= COPY_RADIUS
+                hit = np.array([bool(n) and _similar(sets[x], sets[y]) for n, y in zip(near, left.tolist())])
+                reached += left[hit].tolist()
+                out += [(nodes[x], nodes[y]) for y in left[hit].tolist()]
+                left = left[~hit]
+        if out:
+            yield _pairs(out, ["a", "b"])
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """rows (row long, doc_id, text) -> (row, doc_id, group): rows of one group are near copies, linked or by others.
+
+    Similarity: Jaccard of the sets of five-word shingles (A-Z lower-cased), 0.8 or more, for fingerprints within
+    COPY_RADIUS. Texts with equal sets are one from the start, so also all texts without words; a shorter text is one
+    shingle. group is the least row of those with its set, or linked to it.
+    """
+    prints = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, n long, fp long, least array<long>")
+    prints = materialize(prints, "sketches")
+    same = prints.groupBy("digest").agg(F.min("row").alias("node"), F.min_by(F.struct("n", "fp", "least"), "row").alias("of"))
+    same = materialize(same.select("digest", "node", "of.*"), "sets")
+    # several sets can have one fingerprint: the trees hold it once
+    linked = components(_tree_links(_copy_shards(same), ["h", "g"], COPY_RADIUS))
+    linked = materialize(linked, "coarse")
+    shared = same.groupBy("fp").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("fp")
+    roots = linked.select(F.col("node").alias("fp"), "root").union(linked.select("root", "root")).union(shared.select("fp", "fp")).groupBy("fp").agg(F.min("root").alias("root"))
+    coarse = materialize(same.select("node", "fp", "n").join(roots, "fp"), "groups")
+    sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    sizes = sizes.select("root", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    # a large group is cut into blocks, and each pair of blocks is compared in a cell of its own
+    block = F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1))
+    cells = coarse.join(sizes, "root").withColumn("block", block).withColumn("other", other)
+    cells = materialize(cells.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "fp"), "cells")
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([_sets(t.as_py()).tobytes() for t in batch.column(5)], pa.binary())], ["root", "i", "j", "node", "fp", "hashes"])
+
+    sets = rows.select(F.col("row").alias("node"), "text").join(few(cells, BROADCAST_NUMBERS), "node").select("root", "i", "j", "node", "fp", "text")
+    sets = sets.mapInArrow(hashed, "root long, i int, j int, node long, fp long, hashes binary").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    found = components(materialize(sets.mapInArrow(_confirmed, "a long, b long"), "confirmed"))
+    named = prints.select("row", "doc_id", "digest").join(same.select("digest", "node"), "digest").join(found, "node", "left")
+    return materialize(named.select("row", "doc_id", F.coalesce("root", "node").alias("group")), "copies")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs without the rows that are near copies of one that is kept.
+
+    Of a group the row with the smallest doc_id stays, of equals one, a row without doc_id only if all are. Rows are
+    told apart by themselves: different texts that share a doc_id stay. Null texts count as empty, and all texts
+    without words are copies of one another; an empty table stays empty; other columns pass.
+    """
+    row = "__polyglyph_row"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_copies(rows.select(F.col(row).alias("row"), "doc_id", "text"))
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept")).select(F.col("kept.row").alias("row"))
+    dropped = materialize(groups.select(F.col("row").alias(row)).join(kept, F.col(row) == F.col("row"), "left_anti"), "dropped")
+    return rows.join(few(dropped, BROADCAST_NUMBERS), row, "left_anti").select(*docs.columns)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, repeated rows and an empty table as in near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))

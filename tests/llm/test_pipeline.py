@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from polyglyph.llm import mixing, packing, quality, simhash, toxicity
+from polyglyph.llm import mixing, packing, quality, toxicity
 from polyglyph.llm.common import word_count
 
 SF = "/root/testdata/sf0.001"
@@ -45,11 +45,6 @@ def test_edges(spark, edge, name):
     assert STAGES[name](spark, edge.limit(0), SF).count() == 0
 
 
-def test_near_duplicate_edges(spark, edge):
-    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in P.drop_near_duplicates(spark, edge, SF).collect())
-    assert kept == [(False, 1), (False, 3), (False, 4), (True, 0)]  # 1 and 2 have no words; 3 and 5 say the same
-
-
 def test_packing_edges(spark, edge):
     rows = P.pack_sequences(spark, edge, SF).collect()
     texts = Counter((r[0], r[1] or "") for r in ROWS)
@@ -68,21 +63,6 @@ def test_classifier_stages_keep_what_the_model_accepts(spark, documents):
     assert {r.doc_id for r in P.drop_toxic(spark, documents, SF).collect()} == {i for i, s in scored.items() if s < toxicity.TOXIC}
 
 
-def test_near_duplicates_by_brute_force(spark, documents):
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in documents.collect()}
-    left, kept = set(prints), set()
-    while left:
-        start = min(left)
-        kept.add(start)
-        edge, left = [start], left - {start}
-        while edge:
-            x = prints[edge.pop()]
-            near = {j for j in left if (x ^ prints[j]).bit_count() <= 2}
-            edge += near
-            left -= near
-    assert {r.doc_id for r in P.drop_near_duplicates(spark, documents, SF).collect()} == kept
-
-
 def test_mixing_takes_what_the_mix_says(spark, documents):
     sized = documents.select("doc_id", "source", word_count("text").alias("size"))
     want = {r.doc_id: r.taken for r in mixing.mix(sized).collect() if r.taken}
