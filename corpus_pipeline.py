@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglyph.llm import mixing, near_copies, packing, quality, simhash, toxicity
-from polyglyph.llm.common import materialize, table, word_count
+from polyglyph.llm import mixing, packing, quality, simhash, toxicity
+from polyglyph.llm.common import materialize, table
 
 SCORE = "__polyglyph_score"
 
@@ -27,20 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, to=SCORE).where(F.col(SCORE) < toxicity.TOXIC).drop(SCORE)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of op3's near-duplicates the document with the smallest doc_id; of rows that share it, one.
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id: op3's BK-trees at five words and similarity 0.8.
 
-    Not a stage: op3's radius of two bits links little more than exact copies. Rows without a doc_id cannot be named by a group and stay.
+    Nulls, empty texts, repeated rows, an empty table and other columns as in simhash.drop_copies().
     """
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id")
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, linked by a similarity of five-word shingles of 0.8 or more, the row with the smallest doc_id."""
-    return near_copies.drop_copies(docs)
+    return simhash.drop_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
