@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import math
-import re
 import zlib
 
 import numpy as np
@@ -31,11 +30,6 @@ CACHE_WORDS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: White space other than a single space or line feed between two non-spaces: there the vocabulary may join characters.
-_RUNS = re.compile(r"\s\s|[^\S \n]")
-_WORD = re.compile(r"[ \n]?\S+|[ \n]")
-
-
 class Encoder:
     """Ids of byte_bpe_50k.json, without added special tokens, as little-endian unsigned 32-bit bytes.
 
@@ -70,20 +64,27 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if "<|endoftext|>" in text:
             return self.exact(text)
-        if _RUNS.search(text):
+        if " ".join(text.split()) != text.replace("\n", " "):
             return self.whole(text)
-        known, out = self.known, []
-        for word in _WORD.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                ids = self.whole(word)
-                if len(word) <= 64:
-                    known[word] = ids
-            out.append(ids)
+        out, get = [], self.known.get
+        for n, line in enumerate(text.split("\n")):
+            head, *rest = line.split(" ")
+            out.append(self.word("\n" + head) if n else self.whole(head))
+            ids = list(map(get, rest))
+            out += [self.word(w, " ") if i is None else i for i, w in zip(ids, rest)] if None in ids else ids
         return b"".join(out)
 
+    def word(self, word: str, before: str = "") -> bytes:
+        """Ids of a word after `before`, kept for the next time."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.whole(before + word)
+            if len(word) <= 64:
+                if len(self.known) >= CACHE_WORDS:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
+
 
 _encoders: dict[str, Encoder] = {}
 
