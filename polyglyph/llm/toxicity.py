@@ -2,13 +2,17 @@
 
 A document's terms are its words and its words' first letters, hashed to buckets; each term present has weight 1. The
 machine adds a weight for each term and, for each pair, the product of the terms' factors, so that two words can mean
-what neither means alone. Buckets that the training rows do not tell apart, by chi-squared, are left out.
+what neither means alone. A first machine is trained on the buckets that tell the classes apart alone, by chi-squared. A bucket
+joins them if it explains, beside an anchor, what that machine leaves unexplained; anchors are the buckets kept so far
+and the most frequent ones. So a group mention that is neutral alone is kept if it tells something beside an insult,
+and so are two terms that are neutral alone and tell something only together.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +26,16 @@ from .labelled import FOLDS, HELD_OUT, training_rows
 BUCKETS = 1 << 20
 #: Lengths of the stems that are terms beside the word itself.
 STEMS = (3, 4, 5)
-#: Bounds of the fit: labelled documents of each class, buckets kept.
-PER_CLASS, TERMS = 10_000, 4096
-#: Least chi-squared of a bucket that is kept.
-CHI2 = 25.0
+#: Bound of the fit: labelled documents of each class.
+PER_CLASS = 8000
+#: Least chi-squared of a bucket alone, and of a pair by what the first machine leaves, of which many more are tried.
+CHI2, PAIR_CHI2 = 25.0, 45.0
+#: Rows' worth of residual that a pair is to explain, so that a few odd rows make no pair.
+PAIR_ROWS = 5.0
+#: A row that the first machine misses by less is explained.
+MISFIT = 0.1
+#: The most frequent buckets that are anchors beside the kept ones.
+ANCHORS = 128
 FACTORS, EPOCHS, RATE, RIDGE = 6, 25, 0.3, 1e-5
 TOXIC = 0.5
 _WORDS = re.compile(r"\w+")
@@ -66,13 +76,17 @@ class ToxicityModel:
 
     def scorer(self):
         terms = Terms(self.place)
+        return lambda texts: predict([terms(t) for t in texts], self.bias, self.weights, self.factors)
 
-        def one(text):
-            x = terms(text)
-            v = self.factors[x]
-            return self.bias + self.weights[x].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
 
-        return lambda texts: 1 / (1 + np.exp(-np.clip([one(t) for t in texts] or np.zeros(0), -30, 30)))
+def predict(rows: list[list[int]], bias: float, weights: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The machine's probability of class 1 for rows of its terms."""
+
+    def one(x):
+        v = factors[x]
+        return bias + weights[x].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
+
+    return 1 / (1 + np.exp(-np.clip([one(np.array(x, dtype=np.int64)) for x in rows] or np.zeros(0), -30, 30)))
 
 
 def train_machine(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, n: int, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE, seed: int = 7):
@@ -105,8 +119,76 @@ def train_machine(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, n: i
     return bias, w, v
 
 
+class Rows:
+    """Rows of buckets: `flat` holds them one row after the other, `sizes` their numbers; `terms` are the distinct ones."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.first = sizes, np.concatenate([[0], np.cumsum(sizes)])
+        self.terms, self.at = np.unique(flat, return_inverse=True)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.n = np.bincount(self.at, minlength=len(self.terms))
+
+    def sums(self, value: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """For each term the sum of `value` over the rows (all, or those given) that hold it."""
+        if rows is None:
+            return np.bincount(self.at, value[self.row], len(self.terms))
+        n = self.sizes[rows]
+        places = np.arange(n.sum()) + np.repeat(self.first[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        return np.bincount(self.at[places], np.repeat(value[rows], n), len(self.terms))
+
+    def only(self, kept: np.ndarray) -> list[list[int]]:
+        """Each row's kept terms, as numbers among the kept ones."""
+        number = np.where(kept, np.cumsum(kept) - 1, -1)[self.at]
+        hit = number >= 0
+        ends = np.cumsum(np.bincount(self.row[hit], minlength=len(self.sizes)))[:-1]
+        return [x.tolist() for x in np.split(number[hit], ends)]
+
+
+def alone(rows: Rows, y: np.ndarray, chi2: float = CHI2) -> np.ndarray:
+    """Which terms tell the classes apart by themselves."""
+    n, ones, m, a = len(y), y.sum(), rows.n.astype(float), rows.sums(y)
+    bottom = ones * (n - ones) * m * (n - m)
+    return (bottom > 0) & (n * (a * (n - ones) - (m - a) * ones) ** 2 >= chi2 * np.maximum(bottom, 1.0))
+
+
+def in_pairs(rows: Rows, y: np.ndarray, p: np.ndarray, kept: np.ndarray, pair_chi2: float = PAIR_CHI2, anchors: int = ANCHORS) -> np.ndarray:
+    """kept and the terms of pairs that explain y - p: by the score test of the pair, (sum of y - p)^2 / sum of p (1 - p)."""
+    out, left, spread = kept.copy(), np.where(np.abs(y - p) >= MISFIT, y - p, 0.0), p * (1 - p)
+    frequent = np.argsort(-rows.n, kind="stable")[:anchors]
+    tried = np.unique(np.concatenate([np.flatnonzero(kept), frequent]))
+    tried = tried[rows.sums(np.abs(left))[tried] >= PAIR_ROWS]
+    by_term, begins = np.argsort(rows.at, kind="stable"), np.concatenate([[0], np.cumsum(rows.n)])
+    for t in tried.tolist():
+        own = rows.row[by_term[begins[t] : begins[t + 1]]]
+        u, v = rows.sums(left, own), rows.sums(spread, own)
+        found = (np.abs(u) >= PAIR_ROWS) & (u * u >= pair_chi2 * np.maximum(v, 1e-9)) & ~out
+        if found.any():
+            out |= found
+            out[t] = True
+    return out
+
+
+def learn(rows: Rows, y: np.ndarray, pairs: bool = True) -> ToxicityModel:
+    """The machine of the rows; without `pairs`, of the terms that tell something alone."""
+
+    def machine(kept):
+        # many documents hold the same kept terms: those alike are one row with a weight, in an order of their own
+        alike = sorted(Counter((tuple(x), k) for x, k in zip(rows.only(kept), y.tolist())).items())
+        weight = np.array([float(n) for _, n in alike])
+        return train_machine([list(x) for (x, _), _ in alike], np.array([k for (_, k), _ in alike]), weight, int(kept.sum()))
+
+    kept = alone(rows, y)
+    found = machine(kept)
+    if pairs:
+        more = in_pairs(rows, y, predict(rows.only(kept), *found), kept)
+        if (more & ~kept).any():
+            kept = more
+            found = machine(kept)
+    return ToxicityModel({int(t): i for i, t in enumerate(rows.terms[kept])}, *found)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
-    """Learns from about per_class labelled documents of each class at most; the driver gets their kept buckets only.
+    """Learns from about per_class labelled documents of each class at most; the driver gets their buckets only.
 
     Without labels of both classes the scores are all 0.
     """
@@ -118,25 +200,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(xs, pa.list_(pa.int32()))], ["y", "x"])
 
     rows = materialize(training_rows(docs, labels, "toxic", per_class).select("text", "y").mapInArrow(buckets, "y int, x array<int>"), "toxic_terms")
-    ones, n = rows.agg(F.count_if(F.col("y") == 1), F.count(F.lit(1))).first()
-    if not ones or ones == n:
+    got = rows.toArrow().combine_chunks()
+    y = got.column("y").to_numpy().astype(float)
+    if len(set(y)) < 2:
         return ToxicityModel({}, -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    both = rows.select("y", F.explode("x").alias("t")).groupBy("t").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m"))
-    a, m = F.col("a"), F.col("m")
-    top = F.lit(float(n)) * F.pow(a * (n - ones) - (m - a) * ones, 2)
-    chi2 = top / (F.lit(float(ones) * float(n - ones)) * m * (F.lit(float(n)) - m + 1e-9))
-    kept = [r.t for r in both.withColumn("chi2", chi2).where((F.col("chi2") >= CHI2) & (m < n)).orderBy(F.desc("chi2"), "t").limit(TERMS).select("t").collect()]
-    place = {t: i for i, t in enumerate(kept)}
-    own = F.array_sort(F.array_intersect("x", F.array(*[F.lit(t) for t in kept]).cast("array<int>")))
-    # few documents hold any kept term: those alike are one row with a weight
-    got = rows.select("y", own.alias("x")).groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")).collect()
-    got = sorted((tuple(place[t] for t in r.x), r.y, r.n) for r in got)
-    y, weight = np.array([float(g[1]) for g in got]), np.array([float(g[2]) for g in got])
-    return ToxicityModel(place, *train_machine([list(g[0]) for g in got], y, weight, len(kept)))
+    lists = pa.concat_arrays(got.column("x").chunks)
+    return learn(Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy()), y)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 of each whole text; a null text is scored as the empty one. Other columns pass."""
+    """docs with a score `to` from 0 to 1 of each whole text; a column of that name is replaced, others pass.
+
+    A null text is scored as the empty one, which the bias alone decides; repeated rows are scored each for itself; an
+    empty table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.drop(to).schema.add(to, "double")
 
@@ -150,6 +227,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", to
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; nulls, repeated rows and an empty table as in score_toxicity()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model).drop("text")
