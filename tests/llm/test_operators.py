@@ -131,11 +131,45 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def _best(vectors, k=5):
+    """Every query row's best other rows, by Python's integers."""
+    import math
+
+    rows = [(i, v[0], [math.floor(x * 256) for x in v[1]]) for i, v in enumerate(vectors) if v[0] is not None and v[1] and all(x is not None and math.isfinite(x) for x in v[1])]
+    out = []
+    for i, q, e in rows:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(e, f)), c) for j, c, f in rows if i != j and len(e) == len(f))[:k]
+            out += [(q, n, c, -s) for n, (s, c) in enumerate(scored, 1)]
+    return sorted(out)
+
+
 def test_topk_edges(spark):
-    v = [(0, [0.1, 0.2]), (50, [0.1, 0.2]), (1, None), (2, [float("nan"), 0.0]), (3, [None, 1.0]), (4, [1.0, -1.0]), (4, [1.0, -1.0]), (None, [1.0, 1.0]), (5, [0.5])]
-    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
-    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
-    assert [x[:3] for x in got] == [(0, 1, 50), (0, 2, 4), (50, 1, 0), (50, 2, 4)]
+    v = [(0, [0.1, 0.2], 1), (50, [0.1, 0.2], 2), (1, None, 3), (2, [float("nan"), 0.0], 4), (3, [None, 1.0], 5), (4, [1.0, -1.0], 6), (4, [0.5, 1.0], 7), (4, [0.5, 1.0], 8), (50, [1.0, 0.0], 9), (None, [1.0, 1.0], 0), (5, [0.5], 0), (6, [], 0)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>, score int")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == _best(v)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_topk_beyond_longs(spark):
+    v = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [0.0, 2.0]), (4, [1e10, 1e10])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(topk.top_k(df, F.col("vec_id") == 0).collect(), key=lambda r: r.rank)]
+    assert got == [(1, 2**63 - 1), (4, 2**63 - 1), (3, 256 * 512), (2, -(2**63))]
+
+
+def test_topk_prunes_what_cannot_win(spark):
+    draw = np.random.default_rng(5)
+    # tight blocks along other directions: only the one around the queries' direction can win
+    v = [(i, (np.eye(16)[i // 64] + draw.normal(0, 0.01, 16)).tolist()) for i in range(1024)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    query = F.col("vec_id") < 20
+    chunks, blocks, wanted = topk.prune(topk.quantized(df), query, block_size=16)
+    assert wanted.count() < 0.5 * blocks.count() * chunks.select("r").distinct().count()
+    got = sorted(map(tuple, topk.top_k(df, query, block_size=16).collect()))
+    e = np.floor(np.array([x for _, x in v]) * 256).astype(int)
+    want = [(q, n, c, -s) for q in range(20) for n, (s, c) in enumerate(sorted((-int(e[q] @ e[c]), c) for c in range(1024) if c != q)[:5], 1)]
+    assert got == want
 
 
 def test_media_round_trip(spark, edge):
