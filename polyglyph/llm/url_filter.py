@@ -3,9 +3,9 @@
 Two variable-order Markov models, of accepted and of rejected URLs, are learned from the URLs that the rules decide.
 An order-k probability is smoothed towards the order below, (n(context, c) + B p') / (n(context) + B), from an even
 start over the characters seen. A URL's score is the log-likelihood difference per character, each character scored
-by the longest context that the models keep. The threshold is calibrated on rule-decided URLs left out of the
-counts. Strings seen once are left out; where the others are more than `max_grams`, those seen least are pruned, so
-that the broadcast is bounded, whatever the input.
+by the longest context that the models keep: strings of two characters and more that were seen LEAST times. The
+threshold is calibrated on rule-decided URLs left out of the counts. The models grow with the input and lose nothing:
+one with more than BROADCAST_GRAMS strings is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, table
+from .common import few, materialize, table
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDER = 4
 SMOOTHING = 4.0
-MAX_GRAMS = 200_000
+LEAST = 2
+BROADCAST_GRAMS = 500_000
 #: Parts in a unit of the calibration histogram.
 PARTS = 50
 
@@ -51,31 +52,17 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     return each.select(*urls.columns, *[F.substring(padded, F.col("_at") + order - k, F.lit(k + 1)).alias(f"g{k}") for k in range(order + 1)])
 
 
-def least_count(counts: DataFrame, max_grams: int) -> int:
-    """The least count, from 2 up, with at most max_grams strings of order 1 and up seen that often."""
-    n = F.col("a") + F.col("r")
-    sizes = counts.where((F.col("k") > 0) & (n >= 2)).groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("kinds"))
-    # the distinct counts add up to no more than all characters, so they are few
-    room = max_grams
-    for n, kinds in sorted(((r.n, r.kinds) for r in sizes.collect()), reverse=True):
-        room -= kinds
-        if room < 0:
-            return n + 1
-    return 2
-
-
-def train(labelled: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING, max_grams: int = MAX_GRAMS) -> list[DataFrame]:
+def train(labelled: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -> list[DataFrame]:
     """labelled (key, good boolean) -> for each order a table (g, ratio): log p_accepted - log p_rejected."""
     grams = _grams(labelled.select("key", "good"), order)
     one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("g")) for k in range(order + 1)]))
     counts = grams.select("good", one.alias("x")).groupBy("x.k", "x.g").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
     counts = materialize(counts, "url_grams")
-    often = least_count(counts, max_grams)
     models, below = [], None
     for k in range(order + 1):
         own = counts.where(F.col("k") == k)
         if k:
-            own = own.where(F.col("a") + F.col("r") >= often)
+            own = own.where(F.col("a") + F.col("r") >= LEAST)
             context = counts.where(F.col("k") == k).groupBy(F.substring("g", 1, k).alias("c")).agg(F.sum("a").alias("na"), F.sum("r").alias("nr"))
             own = own.withColumn("c", F.substring("g", 1, k)).join(context, "c").join(below, F.substring(F.col("g"), 2, k) == F.col("b"))
         else:
@@ -91,18 +78,17 @@ def train(labelled: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING,
 
 
 def score(urls: DataFrame, models: list[DataFrame]) -> DataFrame:
-    """urls with score: the mean ratio of the characters of `key`; 0 for an empty key. The rows stay apart by `_row`.
+    """urls (_row, key) -> (_row, score): the mean ratio of the characters of `key`; an empty key has no row.
 
-    The models are broadcast; a URL's characters meet again in their own task, before the shuffle.
+    A URL's characters meet again in their own task, before the shuffle, which moves one sum a URL.
     """
-    scored = _grams(urls.withColumn("key", F.when(F.col("key") == "", None).otherwise(F.col("key"))).where("key is not null"), len(models) - 1)
+    scored = _grams(urls.select("_row", "key").where("key <> ''"), len(models) - 1)
     for k, m in enumerate(models):
-        scored = scored.join(F.broadcast(m.select(F.col("g").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))), f"g{k}", "left")
+        scored = scored.join(few(m, BROADCAST_GRAMS).select(F.col("g").alias(f"g{k}"), F.col("ratio").alias(f"r{k}")), f"g{k}", "left")
     ratio = F.coalesce(*[F.col(f"r{k}") for k in reversed(range(len(models)))], F.lit(0.0))
     # sums of whole numbers do not depend on the order of the rows
     nano = F.round(ratio * 1e9).cast("long")
-    scored = scored.groupBy(*urls.columns).agg((F.sum(nano) / F.count(F.lit(1)) / 1e9).alias("score"))
-    return scored.unionByName(urls.where("key = ''").withColumn("score", F.lit(0.0)))
+    return scored.groupBy("_row").agg((F.sum(nano) / F.count(F.lit(1)) / 1e9).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -117,7 +103,7 @@ def calibrate(scored: DataFrame) -> float:
     return (best or 0) / PARTS
 
 
-def judge(pages: DataFrame, rules=RULES, order: int = ORDER, max_grams: int = MAX_GRAMS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page; score is null where a rule decides.
 
     A url that is null or has no :// has an empty host and path, no rule and score 0. Where the rules leave no URL
@@ -131,14 +117,16 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, max_grams: int = MA
     judged = materialize(judged, "urls")
     labelled = judged.where("by_rule is not null and key <> ''").withColumn("good", F.col("by_rule") == "allow")
     apart = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
-    models = train(labelled.where(~apart), order, max_grams=max_grams)
-    checked = score(labelled.where(apart).select("_row", "key", "good"), models)
-    threshold = calibrate(checked)
-    open_ = score(judged.where("by_rule is null").select("_row", "page_id", "host", "path", "key"), models)
+    models = train(labelled.where(~apart), order)
+    checked = labelled.where(apart)
+    threshold = calibrate(checked.join(score(checked, models), "_row"))
+    open_ = judged.where("by_rule is null")
+    open_ = open_.join(score(open_, models), "_row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_method = open_.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("score") >= threshold, "allow").otherwise("block").alias("verdict"), "score")
     by_rule = judged.where("by_rule is not null").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("score"))
     return by_rule.unionByName(by_method)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; nulls, repeated rows and an empty table as in judge()."""
     return judge(table(spark, sf_dir, "pages"))
