@@ -15,7 +15,11 @@ PROFILE, DOCUMENT_PROFILE = 400, 300
 #: Bound of the fit: documents of each language.
 PER_LANGUAGE = 2000
 FOLDS, HELD_OUT = 3, 1
+#: Most languages that are learned: their profiles are on the driver and in every task.
+MOST_LANGUAGES = 5000
 UNDETERMINED = "und"
+#: Stands for a word's end in an n-gram; no letter's code, and not 0, which would make `a` of `(end, a)`.
+WORD_END = 1
 
 _letters: list[np.ndarray] = []
 
@@ -34,8 +38,9 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     codes = codes[(codes != 0) | (np.roll(codes, 1) != 0) | (np.arange(len(codes)) == 0)]
     if not codes.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    two = (codes[:-1] << 21) | codes[1:]
-    three = (two[:-1] << 21) | codes[2:]
+    edged = np.where(codes == 0, WORD_END, codes)
+    two = (edged[:-1] << 21) | edged[1:]
+    three = (two[:-1] << 21) | edged[2:]
     three = three[codes[1:-1] != 0]  # a word end in the middle joins two words
     return np.unique(np.concatenate([codes[codes != 0], two, three]), return_counts=True)
 
@@ -46,8 +51,13 @@ def ranked(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, np.ndarray]:
-    """Language -> its n-grams in order of rank, from the training fold's rows with a language."""
+    """Language -> its n-grams in order of rank, from the training fold's rows with a language.
+
+    More than MOST_LANGUAGES of them raise: such a column holds no languages.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id", FOLDS) != HELD_OUT)
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = bounded_sample(rows.select("doc_id", "lang", "text"), ["lang"], per_language)
 
     def count(batches):
@@ -70,7 +80,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
 
     The language with the least mean out-of-place distance wins, ties by name; an n-gram that a profile lacks is as
     far out of place as the profile is long. score: 1 - that distance / the greatest possible, 0 for `und`. `und`
-    where the text is null or has no letter, or no language was learned.
+    where the text is null or has no letter, or no language was learned. Repeated rows are judged each for itself, an
+    empty table has no rows, a null doc_id stays null; other columns do not matter.
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -104,6 +115,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; nulls, repeated rows and an empty table as in identify()."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
     return found.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
