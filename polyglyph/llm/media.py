@@ -3,8 +3,10 @@
 A payload's stored form is an 8-bit mono WAV file. A rolling gear hash cuts it where 11 bits of the hash are zero, so
 equal passages give equal chunks wherever they lie. Chunk digests are counted by Spark; a chunk that occurs more than
 once is kept once, in the chunk table, under its digest, and the others lie in their document's row. Which digests
-repeat goes to the tasks as a Bloom filter of fixed size: a false positive only sends a chunk through the chunk table.
-Reading joins the recipes' digests with the chunk table, puts the chunks in order and verifies the result.
+repeat goes to the tasks as a Bloom filter, sized by their number up to MOST_FILTER_BITS: a false positive only sends a
+chunk through the chunk table, so that a filter which cannot grow further costs a shuffle of chunks and no result.
+Reading joins the recipes' digests with the chunk table, puts the chunks in order and verifies the result. A digest that
+more than HOT rows want is in several salted copies in that join, so that no task fetches it for all of them.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratch, table
+from .common import few, materialize, scratch, table
 
 UNIT = 64
 RATE = 8000
 LEAST, CUT_BITS, MOST = 512, 11, 16384
-#: Bits of the Bloom filter of repeated digests, which bounds its broadcast to 2 MB.
-FILTER_BITS = 1 << 24
+#: Bits of the Bloom filter for each repeated digest; the least and most of the whole, a broadcast of 64 kB to 256 MB.
+BITS_PER_DIGEST, LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 19, 1 << 31
+#: Rows that fetch one copy of a chunk.
+HOT = 5000
 WAV_HEADER = 44
 
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear%d" % i).digest()[:4] for i in range(256)), "<u4").astype(np.uint32)
@@ -71,26 +75,33 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return [(hashlib.sha256(data[s:e]).digest(), data[s:e]) for s, e in zip([0, *ends], ends)]
 
 
-def _slots(digest: bytes) -> tuple[int, int]:
-    return int.from_bytes(digest[:4], "big") % FILTER_BITS, int.from_bytes(digest[4:8], "big") % FILTER_BITS
+def _shared(words: np.ndarray, digest: bytes) -> bool:
+    """Whether the filter holds the digest: its two 4-byte halves of 8 bytes, as places in the filter."""
+    bits = 64 * len(words)
+    return all(int(words[s >> 6]) >> (s & 63) & 1 for s in (int.from_bytes(digest[:4], "big") % bits, int.from_bytes(digest[4:8], "big") % bits))
 
 
-def _repeated(docs: DataFrame) -> bytes:
-    """Bloom filter of the digests that occur more than once. The driver gets at most FILTER_BITS / 8 bytes."""
+def _filter_of(many: DataFrame) -> bytes:
+    """Bloom filter of a written table of digests. The driver gets the filter's words, at most MOST_FILTER_BITS of bits."""
+    need = many.count() * BITS_PER_DIGEST
+    size = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << max(0, need - 1).bit_length()))
+    part = lambda at: F.conv(F.hex(F.substring("digest", at, 4)), 16, 10).cast("long") % size
+    slots = many.select(F.explode(F.array(part(1), part(5))).alias("slot"))
+    words = slots.groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    out, got = np.zeros(size // 64, np.int64), words.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.tobytes()
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(digest, n): the digests that occur more than once."""
 
     def digests(batches):
         for batch in batches:
             found = [d for t in batch.column(0).to_pylist() for d, _ in chunks(to_wav(payload(t)))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    many = docs.select("text").mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    part = lambda at: F.conv(F.hex(F.substring("digest", at, 4)), 16, 10).cast("long") % FILTER_BITS
-    slots = many.select(F.explode(F.array(part(1), part(5))).alias("slot"))
-    words = slots.groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    got = words.toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.tobytes()
+    return docs.select("text").mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 MEDIA = T.StructType(
@@ -105,18 +116,21 @@ MEDIA = T.StructType(
 )
 
 
+STORE = ["digest", "chunk", "copies"]
+
+
 def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stores the media of docs (doc_id, text); returns the written media and chunk tables.
 
     media: one row per document, `digests` its chunks in order and `inline` the chunks kept in the row, null for
-    those in the chunk table. A null text is the empty one; each row is stored for itself, equal rows share chunks.
+    those in the chunk table (digest, chunk, copies: how many salted copies a reader is to make of it). A null text is
+    the empty one; a null doc_id stays null; each row is stored for itself, equal rows share chunks; an empty table
+    gives two empty tables. Other columns do not matter.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(_repeated(docs))
-
-    def shared(words, digest: bytes) -> bool:
-        return all(int(words[s >> 6]) >> (s & 63) & 1 for s in _slots(digest))
+    many = materialize(_repeated(docs), "repeated_digests")
+    known = spark.sparkContext.broadcast(_filter_of(many))
 
     def rows(batches):
         words = np.frombuffer(known.value, np.int64)
@@ -125,7 +139,7 @@ def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 media = to_wav(payload(text))
                 parts = chunks(media)
-                inline = [None if shared(words, d) else c for d, c in parts]
+                inline = [None if _shared(words, d) else c for d, c in parts]
                 n = len((text or "").encode())
                 out.append((doc_id, n, [d for d, _ in parts], inline, hashlib.sha256(media).digest(), sum(c is None for c in inline)))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.int32())
@@ -134,14 +148,15 @@ def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def kept(batches):
         words = np.frombuffer(known.value, np.int64)
         for batch in batches:
-            own = {d: c for t in batch.column(0).to_pylist() for d, c in chunks(to_wav(payload(t))) if shared(words, d)}
+            own = {d: c for t in batch.column(0).to_pylist() for d, c in chunks(to_wav(payload(t))) if _shared(words, d)}
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["digest", "chunk"])
 
     at = scratch(spark, "media")
     docs.mapInArrow(rows, MEDIA).write.option("compression", "zstd").parquet(f"{at}/media")
     store = docs.select("text").mapInArrow(kept, "digest binary, chunk binary").dropDuplicates(["digest"])
-    store.write.option("compression", "zstd").parquet(f"{at}/chunks")
-    return spark.read.schema(MEDIA).parquet(f"{at}/media"), spark.read.schema("digest binary, chunk binary").parquet(f"{at}/chunks")
+    hot = few(materialize(many.where(F.col("n") > HOT).select("digest", F.ceil(F.col("n") / HOT).cast("int").alias("copies")), "hot_digests"))
+    store.join(hot, "digest", "left").select(*STORE).write.option("compression", "zstd").parquet(f"{at}/chunks")
+    return spark.read.schema(MEDIA).parquet(f"{at}/media"), spark.read.schema("digest binary, chunk binary, copies int").parquet(f"{at}/chunks")
 
 
 def _feature(samples: bytes) -> str:
@@ -159,7 +174,10 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
-    """Rebuilds each document's media from its chunks and computes its features; a wrong or missing chunk fails the task."""
+    """Rebuilds each document's media from its chunks and computes its features; a wrong or missing chunk fails the task.
+
+    One row per row of media, those of repeated rows alike; empty tables give none.
+    """
 
     def features(batches):
         for batch in batches:
@@ -180,10 +198,15 @@ def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
     mixed = media.where("refs > 0").withColumn("_row", F.monotonically_increasing_id())
     wanted = mixed.select("_row", F.explode(F.arrays_zip("digests", F.transform("inline", lambda c: c.isNull()).alias("out"))).alias("x")).where("x.out")
     wanted = wanted.select("_row", F.col("x.digests").alias("digest")).distinct()
-    found = wanted.join(store, "digest").groupBy("_row").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+    # hot digests are few: at most one for HOT chunks of the input
+    hot = few(materialize(store.where("copies is not null").select("digest", "copies"), "hot_chunks"))
+    salted = wanted.join(hot, "digest", "left").select("_row", "digest", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("copies").cast("long")), F.lit(0)).cast("int").alias("salt"))
+    copied = store.select("digest", "chunk", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies") - 1, F.lit(0)))).alias("salt"))
+    found = salted.join(copied, ["digest", "salt"]).groupBy("_row").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
     joined = mixed.join(found, "_row").withColumn("fetched", F.map_from_entries("fetched")).drop("_row")
     return alone.unionByName(joined.mapInArrow(features, FEATURES))
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's media, written and read back; nulls, repeated rows and an empty table as in write_media()."""
     return read_media(*write_media(table(spark, sf_dir, "documents")))
