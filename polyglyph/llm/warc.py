@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import few, materialize, scratch, table
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
@@ -25,6 +25,8 @@ BLOCK = 1 << 16
 MOST_TASKS = 20_000
 #: Payloads of at least so many bytes become revisits of equal ones.
 REVISIT_FROM = 0
+#: Repeated payloads up to which their table is broadcast (about 100 bytes each), and rows that meet one copy of a payload.
+BROADCAST_PAYLOADS, HOT = 500_000, 5000
 _NAMES = uuid.UUID("6f0a5f8e-3c51-4b0e-9a55-2d1f2c6d9b10")
 
 
@@ -74,18 +76,27 @@ def open_store(uri: str):
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
-    """page_id, url, html, digest (hex SHA-1), n, refers_to; refers_to is null for responses.
+    """page_id, url, html, digest (hex SHA-1), n, refers_to, again (whether the row is a revisit).
 
     Of equal payloads the row with the smallest page_id is the response, null ids last; of rows that share that id,
-    one. Digests are counted by partial aggregation and joined back, so a payload that a third of the rows share is
-    never gathered.
+    one. A null html is the empty payload; an empty table stays empty; other columns do not matter. Which payloads
+    repeat is found by partial aggregation. Where those are few they are broadcast and html stays where it is; else
+    html meets them in a join in which a payload that more than HOT rows share is in several salted copies.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html").cast("long"))
-    rows = rows.withColumn("rank", F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.monotonically_increasing_id().alias("row")))
+    row = F.monotonically_increasing_id()
+    rows = rows.withColumn("rank", F.struct(F.col("page_id").isNull().alias("none"), "page_id", row.alias("row")))
     first = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = first.where("copies > 1").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
+    first = materialize(first.where("copies > 1"), "repeated_payloads")
+    if first.count() <= BROADCAST_PAYLOADS:
+        joined = rows.join(F.broadcast(first.select("digest", "first")), "digest", "left")
+    else:
+        hot = few(materialize(first.where(F.col("copies") > HOT).select("digest", F.ceil(F.col("copies") / HOT).alias("salts")), "hot_payloads"))
+        salt = F.coalesce(F.pmod(F.xxhash64("rank.row"), F.col("salts")), F.lit(0).cast("long")).alias("salt")
+        salted = rows.join(hot, "digest", "left").select(*rows.columns, salt)
+        salts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("copies") / HOT) - 1)
+        joined = salted.join(first.select("digest", "first", F.explode(salts).alias("salt")), ["digest", "salt"], "left")
     again = F.col("first").isNotNull() & (F.col("n") >= least) & (F.col("rank") != F.col("first"))
     return joined.select("page_id", "url", "html", "digest", "n", F.when(again, F.col("first.page_id")).alias("refers_to"), again.alias("again"))
 
@@ -93,7 +104,8 @@ def revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
 def write_warc(pages: DataFrame, folder: str, least: int = REVISIT_FROM) -> DataFrame:
     """Writes pages (page_id, url, html) as .warc.gz files under folder; returns (file, bytes, records).
 
-    A task writes under a name of its own attempt and then renames, so a task that is run again leaves one file.
+    A task writes under a name of its own attempt and then renames, so a task that is run again leaves one file. Nulls,
+    repeated rows and an empty table as in revisits(); an empty table writes no records.
     """
 
     def run(batches):
@@ -155,7 +167,10 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, with_payload: bool = True) -> DataFrame:
-    """Records of the files (file, bytes) in folder. A response's payload is hashed again; a wrong digest fails the task."""
+    """Records of the files (file, bytes) in folder. A response's payload is hashed again; a wrong digest fails the task.
+
+    No files give no records; a record without a page id has a null page_id.
+    """
     last = F.greatest(F.col("bytes") - 1, F.lit(0))
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(range_bytes).cast("long"))).alias("start"))
     n = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
@@ -186,6 +201,7 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, wit
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written and read back; nulls, repeated rows and an empty table as in revisits()."""
     folder = scratch(spark, "warc")
     files = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(files, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

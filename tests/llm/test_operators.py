@@ -172,11 +172,35 @@ def test_topk_prunes_what_cannot_win(spark):
     assert got == want
 
 
-def test_media_round_trip(spark, edge):
-    rows = media.read_media(*media.write_media(edge)).collect()
-    want = sorted(hashlib.sha256(media.payload(t[1])).hexdigest() for t in ROWS)
-    assert sorted(r.payload_sha256 for r in rows) == want
-    assert {r.n_bytes: r.tail_crc32 for r in rows}[0] == zlib.crc32(bytes(64))
+@pytest.mark.parametrize("hot", [media.HOT, 2])
+def test_media_round_trip(spark, edge, hot, monkeypatch):
+    monkeypatch.setattr(media, "HOT", hot)
+    passage = "".join(chr(33 + (i * i * 7 + i // 3) % 90) for i in range(40_000))
+    more = spark.createDataFrame([(10 + i, "%d " % i * 300 + passage) for i in range(7)], "doc_id long, text string")
+    docs = edge.unionByName(more, allowMissingColumns=True).withColumn("digest", F.lit("clash")).withColumn("inline", F.lit(1))
+    written, store = media.write_media(docs)
+    assert (store.where("copies > 1").count() > 0) == (hot == 2) and written.where("refs > 0").count() >= 7
+    texts = [r.text for r in docs.select("text").collect()]
+    want = []
+    for t in texts:
+        p = media.payload(t)
+        m = media.to_wav(p)
+        want.append((len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
+    got = media.read_media(written, store).collect()
+    assert sorted((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in got) == sorted(want)
+    assert len({r.payload_sha256 for r in got}) == len({(r.payload_sha256, r.feature) for r in got})
+    # the passage is stored once: its chunks are shared by all documents that hold it
+    size = store.select(F.sum(F.length("chunk"))).first()[0] + written.select(F.sum(F.aggregate("inline", F.lit(0), lambda a, c: a + F.coalesce(F.length(c), F.lit(0))))).first()[0]
+    assert size < 0.6 * sum(w[4] for w in want)
+
+
+def test_media_empty(spark, edge):
+    assert media.read_media(*media.write_media(edge.limit(0))).count() == 0
+
+
+def test_media_feature():
+    p = bytes([0, 255, 128, 128])
+    assert media._feature(p) == f"mean={511 * 1000 // 4};var={sum((v - 127) ** 2 for v in p) * 1000 // 4};zc=250;mode=128"
 
 
 def test_cut_places_is_the_rolling_hash():
@@ -190,13 +214,25 @@ def test_cut_places_is_the_rolling_hash():
     assert media.cut_places(data) == want
 
 
-def test_warc(spark, tmp_path):
-    pages = spark.createDataFrame([(5, "u", "same"), (2, "u\r\nX: y", "same"), (2, None, "same"), (None, "n", "same"), (7, "v", None), (8, "v", ""), (9, "w", "\x1f\x8b\x08" * 999)], "page_id long, url string, html string")
+@pytest.mark.parametrize("most,hot", [(warc.BROADCAST_PAYLOADS, warc.HOT), (0, 2)])
+def test_warc(spark, tmp_path, most, hot, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", most)
+    monkeypatch.setattr(warc, "HOT", hot)
+    long = "".join(chr(97 + i * i % 26) for i in range(300_000))
+    rows = [(5, "u", "same"), (2, "u\r\nX: y", "same"), (2, None, "same"), (None, "n", "same"), (7, "v", None), (8, "v", ""), (9, "w", "\x1f\x8b\x08" * 999), (11, "x", long), (12, "x", long)]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, n int")
     files = warc.write_warc(pages, str(tmp_path))
     got = [r for r in warc.read_warc(files, str(tmp_path), range_bytes=50).collect()]
     key = lambda r: (r.page_id is None, r.page_id, r.record_type)
-    assert [(r.page_id, r.record_type, r.refers_to) for r in sorted(got, key=key)] == [(2, "response", None), (2, "revisit", 2), (5, "revisit", 2), (7, "response", None), (8, "revisit", 7), (9, "response", None), (None, "revisit", 2)]
+    assert [(r.page_id, r.record_type, r.refers_to) for r in sorted(got, key=key)] == [
+        (2, "response", None), (2, "revisit", 2), (5, "revisit", 2), (7, "response", None), (8, "revisit", 7), (9, "response", None), (11, "response", None), (12, "revisit", 11), (None, "revisit", 2)]
     assert all(r.payload_digest == base64.b32encode(hashlib.sha1(b"same").digest()).decode() for r in got if r.payload_bytes == 4)
+    assert [bytes(r.payload).decode() for r in got if r.page_id == 11] == [long]
+
+
+def test_warc_empty(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_warc(warc.write_warc(pages, str(tmp_path)), str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("module,label,good", [(quality, "quality", 0.9), (toxicity, "toxic", 0.9)])
