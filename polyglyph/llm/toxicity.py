@@ -27,7 +27,7 @@ BUCKETS = 1 << 20
 #: Lengths of the stems that are terms beside the word itself.
 STEMS = (3, 4, 5)
 #: Bound of the fit: labelled documents of each class.
-PER_CLASS = 8000
+PER_CLASS = 5000
 #: Least chi-squared of a bucket alone, and of a pair by what the first machine leaves, of which many more are tried.
 CHI2, PAIR_CHI2 = 25.0, 45.0
 #: Rows' worth of residual that a pair is to explain, so that a few odd rows make no pair.
@@ -124,8 +124,9 @@ class Rows:
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray):
         self.sizes, self.first = sizes, np.concatenate([[0], np.cumsum(sizes)])
-        self.terms, self.at = np.unique(flat, return_inverse=True)
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.terms, at = np.unique(flat, return_inverse=True)
+        self.at = at.astype(np.int32)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.n = np.bincount(self.at, minlength=len(self.terms))
 
     def sums(self, value: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
@@ -157,7 +158,7 @@ def in_pairs(rows: Rows, y: np.ndarray, p: np.ndarray, kept: np.ndarray, pair_ch
     frequent = np.argsort(-rows.n, kind="stable")[:anchors]
     tried = np.unique(np.concatenate([np.flatnonzero(kept), frequent]))
     tried = tried[rows.sums(np.abs(left))[tried] >= PAIR_ROWS]
-    by_term, begins = np.argsort(rows.at, kind="stable"), np.concatenate([[0], np.cumsum(rows.n)])
+    by_term, begins = np.argsort(rows.at, kind="stable").astype(np.int32), np.concatenate([[0], np.cumsum(rows.n)])
     for t in tried.tolist():
         own = rows.row[by_term[begins[t] : begins[t + 1]]]
         u, v = rows.sums(left, own), rows.sums(spread, own)
