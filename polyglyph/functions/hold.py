@@ -1,7 +1,9 @@
-"""Computing a column once."""
+"""Computing a value once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def hold(df: DataFrame, **columns: Column) -> DataFrame:
     """
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")
     return df.select("*", made).select(*df.columns, *[F.col(f"_held.{n}").alias(n) for n in columns])
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often `use` names it: for columns inside lambda functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

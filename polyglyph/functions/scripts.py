@@ -18,6 +18,7 @@ BLOCKS = (
     ("katakana", 12448, 12543), ("meitei", 43744, 43775), ("meitei", 43968, 44031), ("hangul", 44032, 55215), ("han", 19968, 40959),
     ("tifinagh", 11568, 11647),
 )
+# Characters of words beside the scripts' letters, and the letters that count as vowels.
 WORD_EXTRAS = "'ꞌʻʼ"
 VOWELS = "aeiouwyâêîôûŵŷäëïöüáéíóúẃỳàèùåæøœõāēīūůěėįųąęőűýò"
 LONGEST_WORD, MOST_WORDS = 32, 200
@@ -47,9 +48,14 @@ def keep_word(w: Column) -> Column:
     return (F.length(w) <= LONGEST_WORD) & w.rlike(KEEP)
 
 
+def letter_class(script: str) -> str:
+    """A character class of the script's letters, for Java. A letter outside all blocks counts as Latin."""
+    return f"[{ranges(script)}[\\p{{L}}&&[^{ranges()}]]]" if script == "latin" else f"[{ranges(script)}]"
+
+
 def script_chars(text: Column, script: str) -> Column:
     """How many characters of text are in the script."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{ranges(script)}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, letter_class(script), ""))
 
 
 def letter_hits(text: Column, letters: str) -> Column:

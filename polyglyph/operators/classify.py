@@ -1,7 +1,8 @@
 """The languages of a page: language switchers, distinctive words and writing systems, united.
 
-A page is a row with an id and its html or words; packs are an argument. Words meet the packs in one broadcast join on
-the inverted index (its size is that of the packs), so a page costs its own words, not the number of packs.
+A page is a row with an id and its html or words; packs are an argument. Everything is told from the row itself: no
+shuffle, no join, and rows that share an id, or have none, have answers of their own. A page's words are first cut down
+to those that any pack lists, so that the packs are compared with a few words only.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.hold import hold
-from ..functions.scripts import letter_hits, ranges, script_chars
+from ..functions.hold import hold, let
+from ..functions.scripts import letter_class, letter_hits, script_chars
 from ..functions.urls import AMBIGUOUS_PATH_CODES, path_code
-from ..sources.languages import Pack, code_map, label_map, pack_words
+from ..sources.languages import Pack, code_map, label_map
 
 MIN_WORDS, MIN_RATIO, MIN_SCRIPT_CHARS = 4, 0.35, 40
 LONGEST_LABEL = 48
+# Texts of links that lead to a choice of languages.
+SWITCH_PHRASES = ("newid\\s+iaith", "change\\s+language", "changer\\s+de\\s+langue", "cambiar\\s+idioma", "sprache\\s+ändern", "sprache\\s+andern")
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -42,7 +45,7 @@ def switch_languages(html: Column, packs: list[Pack]) -> Column:
     alternatives = "|".join("\\Q" + w + "\\E" for w in sorted(labels, key=lambda w: (-len(w), w)))
     gate = (
         rf"(?isU)^(?:(?:{alternatives})|language\s*[:\-]?\s*(?:{alternatives})|(?:view\s+)?(?:in\s+)?(?:{alternatives})"
-        r"|newid\s+iaith|change\s+language|changer\s+de\s+langue|cambiar\s+idioma|sprache\s+ändern|sprache\s+andern)$"
+        rf"|{'|'.join(SWITCH_PHRASES)})$"
     )
     code = lambda c: F.try_element_at(codes, H.primary_subtag(c))
     anchors = F.regexp_extract_all(html, F.lit(H.ANCHOR), F.lit(0))
@@ -67,122 +70,209 @@ def suppress(found: Column, packs: list[Pack]) -> Column:
     return F.aggregate(F.array(*rules), found, lambda left, rule: F.when(F.array_contains(left, rule["name"]), F.array_except(left, rule["gone"])).otherwise(left))
 
 
-def with_script_languages(pages: DataFrame, packs: list[Pack]) -> DataFrame:
-    """pages (words) with by_script: languages that the letters of the words show.
+def _adds(p: Pack, enough: Column):
+    """found -> found with the pack's language, if `enough` holds and nothing found blocks it."""
 
-    Suppression is applied before the Cyrillic signs: letters after leaders first, then the share of a vowel.
+    def use(found: Column) -> Column:
+        free = ~F.arrays_overlap(found, _strings(p.sign.blocked_by)) if p.sign.blocked_by else F.lit(True)
+        return F.when(free & enough, F.array_union(found, _strings([p.name]))).otherwise(found)
+
+    return use
+
+
+def script_languages(text: Column, packs: list[Pack]) -> Column:
+    """Languages that the letters of text (words, lower case, with spaces between) show.
+
+    Suppression is applied before the Cyrillic signs: letters after leaders first, then the share of a vowel without
+    those that stood after leaders. A language found by a share blocks those of the packs after it.
     """
     used = sorted({"cyrillic"} | {p.exclusive.script for p in packs if p.exclusive} | {s for p in packs if p.script_sufficient for s in p.scripts})
-    text = F.col("_text")
-    df = hold(pages, _text=F.array_join("words", " "))
-    df = hold(df, _chars=F.struct(*[script_chars(text, s).alias(s) for s in used]))
-    chars = lambda s: F.col("_chars")[s]
-    flags = []
-    for p in packs:
-        if p.exclusive:
-            total, hits = chars(p.exclusive.script), letter_hits(text, p.exclusive.letters)
-            flags.append((p.name, (total >= MIN_SCRIPT_CHARS) & (hits >= p.exclusive.min_hits) & (hits >= total * p.exclusive.min_share)))
-        elif p.script_sufficient:
-            enough = F.lit(False)
-            for s in p.scripts:
-                enough = enough | (chars(s) >= MIN_SCRIPT_CHARS)
-            flags.append((p.name, enough))
-    df = hold(df, _found=suppress(_found(*flags), packs))
-    cyrillic = chars("cyrillic") >= MIN_SCRIPT_CHARS
-    signs, used_up = [], F.lit(0)
-    for p in packs:
-        if p.sign and p.sign.mode == "digraph":
-            n = F.regexp_count(text, F.lit(f"(?<=[{p.sign.leaders}]){p.sign.letter}"))
-            signs.append((p.name, cyrillic & (n >= p.sign.min_hits)))
-            used_up = F.when(cyrillic & (n >= p.sign.min_hits), n).otherwise(used_up)
-    df = hold(df, _signed=F.array_union("_found", _found(*signs)), _used_up=used_up)
-    shares = []
-    for p in packs:
-        if p.sign and p.sign.mode == "vowel_share":
-            n = letter_hits(text, p.sign.letter) - F.col("_used_up")
-            free = ~F.arrays_overlap("_signed", _strings(p.sign.blocked_by)) if p.sign.blocked_by else F.lit(True)
-            shares.append((p.name, free & cyrillic & (n >= chars("cyrillic") * p.sign.min_share)))
-    df = hold(df, by_script=F.array_union("_signed", _found(*shares)))
-    return df.select(*pages.columns, "by_script")
 
+    def from_counts(chars: Column) -> Column:
+        flags = []
+        for p in packs:
+            if p.exclusive:
+                total, hits = chars[p.exclusive.script], letter_hits(text, p.exclusive.letters)
+                flags.append((p.name, (total >= MIN_SCRIPT_CHARS) & (hits >= p.exclusive.min_hits) & (hits >= total * p.exclusive.min_share)))
+            elif p.script_sufficient:
+                enough = F.lit(False)
+                for s in p.scripts:
+                    enough = enough | (chars[s] >= MIN_SCRIPT_CHARS)
+                flags.append((p.name, enough))
+        return let(suppress(_found(*flags), packs), lambda found: F.when(chars["cyrillic"] >= MIN_SCRIPT_CHARS, signed(found, chars["cyrillic"])).otherwise(found))
+
+    def signed(found: Column, total: Column) -> Column:
+        after = [(p, F.regexp_count(text, F.lit(f"(?<=[{p.sign.leaders}]){p.sign.letter}"))) for p in packs if p.sign and p.sign.mode == "digraph"]
+        found = F.array_union(found, _found(*[(p.name, n >= p.sign.min_hits) for p, n in after]))
+        for p in packs:
+            if p.sign and p.sign.mode == "vowel_share":
+                gone = sum([F.when(n >= d.sign.min_hits, n).otherwise(0) for d, n in after if d.sign.letter == p.sign.letter], F.lit(0))
+                enough = letter_hits(text, p.sign.letter) - gone >= total * p.sign.min_share
+
+                found = let(found, _adds(p, enough))
+        return found
+
+    return let(F.struct(*[script_chars(text, s).alias(s) for s in used]), from_counts)
 
-def word_scores(pages: DataFrame, packs: list[Pack], key: str = "id") -> DataFrame:
-    """pages (key, words) -> (key, language, n): the distinct words of a page that a pack lists.
+
+def scores_of(words: Column, text: Column, packs: list[Pack]) -> Column:
+    """array<struct<language, n>>, in the packs' order: how many distinct words of the page a pack lists, where any.
 
     A pack in other scripts than the page's does not score.
     """
-    scripts = sorted({s for p in packs for s in p.scripts})
-    held = hold(pages.select(key, "words"), _text=F.array_join("words", " "))
-    on_page = _found(*[(s, F.col("_text").rlike(f"[{ranges(s)}]")) for s in scripts])
-    each = hold(held, _on=on_page).select(key, "_on", F.explode(F.array_distinct("words")).alias("word"))
-    index = pack_words(pages.sparkSession, packs)
-    hits = each.join(F.broadcast(index), "word").where((F.size("scripts") == 0) | (F.size("_on") == 0) | F.arrays_overlap("scripts", "_on"))
-    return hits.groupBy(key, "language").agg(F.count(F.lit(1)).alias("n"))
+    listed = [p for p in packs if p.words]
+    if not listed:
+        return F.array().cast("array<struct<language:string,n:bigint>>")
+    index = F.array(*[F.struct(F.lit(p.name).alias("language"), _strings(p.words).alias("words"), _strings(p.scripts).alias("scripts")) for p in listed])
+    on_page = _found(*[(s, text.rlike(letter_class(s))) for s in sorted({s for p in listed for s in p.scripts})])
+    known = F.array_intersect(words, _strings(sorted({w for p in listed for w in p.words})))
+
+    def scored(x: Column) -> Column:
+        fits = lambda p: (F.size(p["scripts"]) == 0) | (F.size(x["on"]) == 0) | F.arrays_overlap(p["scripts"], x["on"])
+        each = F.transform(index, lambda p: F.struct(p["language"].alias("language"), F.when(fits(p), F.size(F.array_intersect(x["known"], p["words"]))).otherwise(0).cast("long").alias("n")))
+        return F.filter(each, lambda s: s["n"] > 0)
+
+    return let(F.struct(known.alias("known"), on_page.alias("on")), scored)
+
+
+def languages_of_scores(scores: Column) -> Column:
+    """Languages with enough words and enough of the strongest language's."""
+    top = F.array_max(F.transform(scores, lambda s: s["n"]))
+    return F.transform(F.filter(scores, lambda s: (s["n"] >= MIN_WORDS) & (s["n"] >= top * MIN_RATIO)), lambda s: s["language"])
+
+
+def word_scores(pages: DataFrame, packs: list[Pack], key: str = "id") -> DataFrame:
+    """pages (key, words) -> (key, language, n): the distinct words of a page that a pack lists, for each row by itself."""
+    scores = hold(pages.select(key, "words"), _scores=scores_of(F.col("words"), F.array_join("words", " "), packs))
+    return scores.select(key, F.explode("_scores").alias("s")).select(key, "s.language", "s.n")
+
+
+def word_languages(pages: DataFrame, packs: list[Pack], key: str = "id") -> DataFrame:
+    """pages (key, words) -> (key, by_words), of pages with any score: see languages_of_scores()."""
+    scores = hold(pages.select(key, "words"), _scores=scores_of(F.col("words"), F.array_join("words", " "), packs))
+    return scores.where(F.size("_scores") > 0).select(key, languages_of_scores(F.col("_scores")).alias("by_words"))
+
+
+def content_languages(words: Column, packs: list[Pack]) -> Column:
+    """struct<by_script, by_words, content, scores, text> of a page's words; content: both, suppressed. All lists unsorted."""
+
+    def of_text(text: Column) -> Column:
+        def of_scores(scores: Column) -> Column:
+            found = F.struct(script_languages(text, packs).alias("by_script"), languages_of_scores(scores).alias("by_words"))
+            return let(found, lambda x: F.struct(x["by_script"].alias("by_script"), x["by_words"].alias("by_words"), suppress(F.array_union(x["by_script"], x["by_words"]), packs).alias("content"), scores.alias("scores"), text.alias("text")))
 
+        return let(scores_of(words, text, packs), of_scores)
 
-def word_languages(scores: DataFrame, key: str = "id") -> DataFrame:
-    """(key, by_words): languages with enough words and enough of the strongest language's."""
-    per = scores.groupBy(key).agg(F.max("n").alias("top"), F.collect_list(F.struct("language", "n")).alias("all"))
-    good = F.filter("all", lambda s: (s["n"] >= MIN_WORDS) & (s["n"] >= F.col("top") * MIN_RATIO))
-    return per.select(key, F.transform(good, lambda s: s["language"]).alias("by_words"))
+    return let(F.array_join(words, " "), of_text)
+
+
+def classify_words(words: Column, packs: list[Pack]) -> Column:
+    """The sorted languages of a list of words, without switchers."""
+    return F.array_sort(F.array_distinct(content_languages(words, packs)["content"]))
+
+
+def _read(pages: DataFrame, packs: list[Pack], html: str) -> DataFrame:
+    """pages with _html, _words, _switch and _content."""
+    df = pages.withColumn("_html", F.coalesce(F.col(html), F.lit("")))
+    df = hold(df, _words=H.visible_words(F.col("_html")), _switch=switch_languages(F.col("_html"), packs))
+    return hold(df, _content=content_languages(F.col("_words"), packs))
+
+
+def _tidy(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(c))
 
 
 def classify(pages: DataFrame, packs: list[Pack], key: str = "id", html: str = "html") -> DataFrame:
-    """(key, languages, by_switch, by_words, by_script): sorted lists; nothing found is the empty list."""
-    read = hold(pages.select(key, F.coalesce(F.col(html), F.lit("")).alias("_html")), words=H.visible_words(F.col("_html")), by_switch=switch_languages(F.col("_html"), packs)).drop("_html")
-    by_words = word_languages(word_scores(read, packs, key), key)
-    joined = with_script_languages(read, packs).select(key, "by_switch", "by_script").join(by_words, key, "left")
-    none = _strings(())
-    joined = hold(joined, content=suppress(F.array_union("by_script", F.coalesce("by_words", none)), packs))
-    content = F.col("content")
-    tidy = lambda c: F.array_sort(F.array_distinct(c))
-    return joined.select(key, tidy(F.array_union("by_switch", content)).alias("languages"), tidy(F.col("by_switch")).alias("by_switch"), tidy(F.coalesce("by_words", none)).alias("by_words"), tidy(F.col("by_script")).alias("by_script"))
+    """(key, languages, by_switch, by_words, by_script): sorted lists of each row; nothing found is the empty list."""
+    read = _read(pages.select(F.col(key), F.col(html)), packs, html)
+    all_ = F.array_union("_switch", "_content.content")
+    return read.select(key, _tidy(all_).alias("languages"), _tidy(F.col("_switch")).alias("by_switch"), _tidy(F.col("_content.by_words")).alias("by_words"), _tidy(F.col("_content.by_script")).alias("by_script"))
+
+
+def letter_scores(text: Column, packs: list[Pack]) -> Column:
+    """array<struct<language, n>>: the letters that only this language uses, where there are enough of them."""
+
+    def one(p: Pack) -> Column:
+        return let(
+            F.struct(letter_hits(text, p.exclusive.letters).alias("h"), script_chars(text, p.exclusive.script).alias("t")),
+            lambda x: F.when((x["t"] >= MIN_SCRIPT_CHARS) & (x["h"] >= p.exclusive.min_hits) & (x["h"] >= x["t"] * p.exclusive.min_share), F.struct(F.lit(p.name).alias("language"), x["h"].cast("long").alias("n"))),
+        )
+
+    marked = [one(p) for p in packs if p.exclusive]
+    return F.array_compact(F.array(*marked)) if marked else F.array().cast("array<struct<language:string,n:bigint>>")
+
+
+def _primary(read: DataFrame, packs: list[Pack], url: str) -> Column:
+    """The primary language of rows of _read() with `_available` and `_letters`."""
+    order = F.create_map(*[x for p in packs for x in (F.lit(p.name), F.lit(p.order))])
+    by_words, by_letters = F.col("_content.scores"), F.col("_letters")
+    of = lambda scores, k: F.coalesce(F.get(F.transform(F.filter(scores, lambda s: s["language"] == k), lambda s: s["n"]), F.lit(0)), F.lit(0))
+    names = F.array_union(F.transform(by_words, lambda s: s["language"]), F.transform(by_letters, lambda s: s["language"]))
+    ranked = F.transform(
+        names,
+        lambda k: F.struct((of(by_words, k) + of(by_letters, k)).alias("n"), F.array_contains("_available", k).alias("there"), (of(by_words, k) > 0).cast("int").alias("w"), (-F.try_element_at(order, k)).alias("o"), k.alias("k")),
+    )
+    best = F.when(F.size(names) > 0, F.array_max(ranked)["k"])
+    path_lang, declared = code_language(path_code(F.col(url)), packs), code_language(H.html_lang(F.col("_html")), packs)
+    trusted = lambda c: F.when(F.array_contains("_available", c) & F.array_contains(names, c), c)
+    several = F.coalesce(trusted(path_lang), trusted(declared), best, declared, path_lang, F.get("_available", F.lit(0)))
+    return F.when(F.size("_available") == 1, F.get("_available", F.lit(0))).when(F.size("_available") > 1, several)
 
 
-def primary_language(pages: DataFrame, packs: list[Pack], key: str = "id", html: str = "html", url: str = "url") -> DataFrame:
-    """(key, primary): the one language of a page's landing text.
+def classify_snapshots(pages: DataFrame, packs: list[Pack], html: str = "html", url: str = "url") -> DataFrame:
+    """pages with primary, available (sorted) and words (how many were read): the label of each row's landing page.
 
-    One available language is it; else the path's, then the declared one, if available and scored; else the best
-    score, available ones first on ties, then pack order, languages scored by letters alone last.
+    primary is the one language of the text. One available language is it; else the path's, then the declared one, if
+    available and scored; else the best score, available ones first on ties, then pack order, languages scored by
+    letters alone last. A null html has no label; columns of these names are replaced, others pass.
     """
-    order = {p.name: p.order for p in packs}
-    words = hold(pages.select(key, F.coalesce(F.col(html), F.lit("")).alias("_html"), F.col(url).alias("_url")), words=H.visible_words(F.col("_html")))
-    words = hold(words, _text=F.array_join("words", " "))
-    text = F.col("_text")
-    letters = [(p, letter_hits(text, p.exclusive.letters), script_chars(text, p.exclusive.script)) for p in packs if p.exclusive]
-    by_letters = F.array_compact(
-        F.array(*[F.when((t >= MIN_SCRIPT_CHARS) & (h >= p.exclusive.min_hits) & (h >= t * p.exclusive.min_share), F.struct(F.lit(p.name).alias("language"), h.cast("long").alias("n"))) for p, h, t in letters])
-    )
-    own = words.select(key, F.explode(by_letters).alias("x")).select(key, "x.language", "x.n", F.lit(0).alias("w"))
-    scored = word_scores(words.select(key, "words"), packs, key).withColumn("w", F.lit(1)).unionByName(own)
-    scored = scored.groupBy(key, "language").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
-    scored = scored.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("language", F.struct("n", "w")))).alias("scores"))
-    said = words.select(key, path_code(F.col("_url")).alias("_path"), H.html_lang(F.col("_html")).alias("_lang")).select(key, code_language(F.col("_path"), packs).alias("path_lang"), code_language(F.col("_lang"), packs).alias("declared"))
-    all_ = classify(pages, packs, key, html).select(key, "languages").join(said, key).join(scored, key, "left")
-    trusted = lambda c: F.when(F.array_contains("languages", c) & F.try_element_at("scores", c).isNotNull(), c)
-    place = F.create_map(*[x for name, i in order.items() for x in (F.lit(name), F.lit(i))])
+    df = _read(pages.drop("primary", "available", "words"), packs, html)
+    df = hold(df, _available=_tidy(F.array_union("_switch", "_content.content")), _letters=letter_scores(F.col("_content.text"), packs))
+    return df.select(*[c for c in pages.columns if c not in ("primary", "available", "words")], _primary(df, packs, url).alias("primary"), F.col("_available").alias("available"), F.size("_words").alias("words"))
+
 
-    def entry(k: Column) -> Column:
-        score = F.try_element_at("scores", k)
-        return F.struct(score["n"].alias("n"), F.array_contains("languages", k).alias("there"), score["w"].alias("w"), (-F.try_element_at(place, k)).alias("o"), k.alias("k"))
+def primary_language(pages: DataFrame, packs: list[Pack], key: str = "id", html: str = "html", url: str = "url") -> DataFrame:
+    """(key, primary) of each row: see classify_snapshots()."""
+    return classify_snapshots(pages.select(key, html, url), packs, html, url).select(key, "primary")
+
+
+#: Words that a page must have for its label to count in a history.
+MIN_WORDS_FOR_LABEL = 12
+
+
+def usable(words: Column, available: Column) -> Column:
+    """Whether a label counts: enough words were read and something was found."""
+    return (words >= MIN_WORDS_FOR_LABEL) & (F.size(available) > 0)
 
-    ranked = F.transform(F.map_keys("scores"), entry)
-    best = F.when(F.size("scores") > 0, F.array_max(ranked)["k"])
-    several = F.coalesce(trusted(F.col("path_lang")), trusted(F.col("declared")), best, "declared", "path_lang", F.get("languages", F.lit(0)))
-    return all_.select(key, F.when(F.size("languages") == 1, F.col("languages")[0]).when(F.size("languages") > 1, several).alias("primary"))
+
+def label_state(primary: Column, available: Column, track: str = "primary") -> Column:
+    """What must stay the same within an interval: the primary language, or with track `available` the list too."""
+    if track not in ("primary", "available"):
+        raise ValueError(f"track {track}")
+    return F.struct(primary.alias("primary")) if track == "primary" else F.struct(primary.alias("primary"), available.alias("available"))
 
 
 def early_languages(pages: DataFrame, packs: list[Pack], key: str = "id", html: str = "html", *, step: int = 16384, most: int = 192_000) -> DataFrame:
     """(key, n_chars, languages): the shortest prefix, in steps, that decides a page and what it says; no row if none does.
 
-    Two languages in switchers decide at once; else a body with all the words that are read and any language.
+    Two languages in switchers decide at once; else a body with all the words that are read and any language. A page's
+    prefixes are tried in turn within its row and no further than the first that decides.
     """
     text = F.substring(F.coalesce(F.col(html), F.lit("")), 1, most)
-    cuts = F.sequence(F.lit(1), F.greatest(F.ceil(F.length(text) / step).cast("int"), F.lit(1)))
-    cut = pages.select(F.col(key).alias("_key"), text.alias("_text"), F.explode(cuts).alias("_n"))
-    cut = cut.select(F.struct("_key", "_n").alias("id"), F.expr(f"substring(_text, 1, _n * {step})").alias("html"))
-    full = cut.select("id", F.length("html").alias("n_chars"), (cut.html.rlike("(?i)<body") & (F.size(H.visible_words(F.col("html"))) == H.MOST_WORDS)).alias("_full"))
-    found = classify(cut, packs).join(full, "id")
-    said = F.when(F.size("by_switch") >= 2, F.col("by_switch")).when(F.col("_full") & (F.size("languages") > 0), F.col("languages"))
-    decided = found.select(F.col("id._key").alias(key), F.col("id._n").alias("_n"), "n_chars", said.alias("languages")).where("languages is not null")
-    return decided.groupBy(key).agg(F.min_by(F.struct("n_chars", "languages"), "_n").alias("_best")).select(key, "_best.*")
+    read = pages.select(F.col(key), text.alias("_text"))
+    cuts = F.sequence(F.lit(1), F.greatest(F.ceil(F.length("_text") / step).cast("int"), F.lit(1)))
+
+    def said(prefix: Column) -> Column:
+        def by_words(words: Column, switch: Column) -> Column:
+            full = prefix.rlike("(?i)<body") & (F.size(words) == H.MOST_WORDS)
+            return F.when(full, let(_tidy(F.array_union(switch, content_languages(words, packs)["content"])), lambda found: F.when(F.size(found) > 0, found)))
+
+        return let(_tidy(switch_languages(prefix, packs)), lambda switch: F.when(F.size(switch) >= 2, switch).otherwise(let(H.visible_words(prefix), lambda words: by_words(words, switch))))
+
+    def attempt(n: Column) -> Column:
+        prefix = F.substring(F.col("_text"), F.lit(1), n * step)
+        return let(prefix, lambda p: let(said(p), lambda found: F.when(found.isNotNull(), F.struct(F.length(p).alias("n_chars"), found.alias("languages")))))
+
+    none = F.lit(None).cast("struct<n_chars:int,languages:array<string>>")
+    tried = F.aggregate(cuts, none, lambda done, n: F.when(done.isNotNull(), done).otherwise(attempt(n)))
+    return hold(read.select(key, "_text"), _best=tried).where("_best is not null").select(key, "_best.*")

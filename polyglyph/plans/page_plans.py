@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.hold import hold
 from ..functions.scripts import KEEP, MOST_WORDS, TOKEN, letter_hits, ranges, script_chars
-from ..functions.urls import AMBIGUOUS_PATH_CODES, normalize_url, path_code
+from ..functions.urls import AMBIGUOUS_PATH_CODES, NO_PAGE_SUFFIXES, normalize_url, path_code
 from ..operators import classify as C
 from ..operators import records as R
 from ..sources.languages import code_map, load_packs
@@ -48,7 +48,11 @@ def _visible_sql(html: str) -> str:
 
 
 def _chars_sql(text: str, script: str) -> str:
-    return f"(length({text}) - length(regexp_replace({text}, {_q(f'[{ranges(script)}]')}, '', 'g')))"
+    own = f"(length({text}) - length(regexp_replace({text}, {_q(f'[{ranges(script)}]')}, '', 'g')))"
+    if script != "latin":
+        return own
+    rest = f"regexp_replace({text}, {_q(f'[{ranges()}]')}, '', 'g')"  # letters outside all blocks count as Latin
+    return f"({own} + length({rest}) - length(regexp_replace({rest}, '\\p{{L}}', '', 'g')))"
 
 
 def _hits_sql(text: str, letters: str) -> str:
@@ -149,7 +153,7 @@ def doc_word_scores(spark, sf_dir):
 
 
 def doc_word_languages(spark, sf_dir):
-    found = C.word_languages(C.word_scores(_doc_words(spark, sf_dir), PACKS, "doc_id"), "doc_id")
+    found = C.word_languages(_doc_words(spark, sf_dir), PACKS, "doc_id")
     return found.select("doc_id", F.array_join(F.array_sort("by_words"), ",").alias("languages"))
 
 
@@ -160,7 +164,7 @@ def doc_whole_word_scores(spark, sf_dir):
 
 def doc_whole_word_languages(spark, sf_dir):
     """As doc_word_languages, whose SQL reads 200 words, over all words."""
-    found = C.word_languages(C.word_scores(_doc_words(spark, sf_dir, None), PACKS, "doc_id"), "doc_id")
+    found = C.word_languages(_doc_words(spark, sf_dir, None), PACKS, "doc_id")
     return found.select("doc_id", F.array_join(F.array_sort("by_words"), ",").alias("languages"))
 
 
@@ -207,7 +211,7 @@ WITH w AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS words FROM docum
 _WHOLE_DOC_WORDS_SQL = _DOC_WORDS_SQL.replace("[1:200]", "")
 _PATH_SQL = "regexp_extract(regexp_extract(lower(regexp_replace(url, '^https?://[^/]+/web/\\d+[a-z_]*/', '')), '^(?:https?://)?[^/?#]*([^?#]*)', 1), '^/([a-z]{2,3})(?:/|$)', 1)"
 _AMBIGUOUS = "(" + ", ".join(_q(c) for c in AMBIGUOUS_PATH_CODES) + ")"
-_SUFFIXES = r"(?:\.jpg|\.jpeg|\.png|\.gif|\.webp|\.svg|\.ico|\.pdf|\.mp4|\.mp3|\.zip|\.css|\.js|\.xml|\.json|\.csv|\.doc|\.docx|\.xls|\.xlsx)\z"
+_SUFFIXES = "(?:" + "|".join(s.replace(".", "\\.") for s in NO_PAGE_SUFFIXES) + ")\\z"
 
 ORACLE_SQL = {
     "page_words": f"WITH w AS (SELECT page_id, {_visible_sql('html')} AS w FROM pages) SELECT page_id, len(w)::INT AS n_words, array_to_string(w, ' ') AS words FROM w",

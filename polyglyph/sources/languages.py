@@ -6,8 +6,6 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-
 PACKS = Path(__file__).parent / "packs"
 
 
@@ -78,9 +76,3 @@ def code_map(packs: list[Pack]) -> dict[str, str]:
 
 def label_map(packs: list[Pack]) -> dict[str, str]:
     return {c: p.name for p in packs for c in p.labels}
-
-
-def pack_words(spark: SparkSession, packs: list[Pack]) -> DataFrame:
-    """(word, language, scripts): the inverted index that words are joined with; its size is that of the packs."""
-    rows = [(w, p.name, list(p.scripts)) for p in packs for w in p.words]
-    return spark.createDataFrame(rows, "word string, language string, scripts array<string>")
