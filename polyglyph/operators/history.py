@@ -49,6 +49,26 @@ def intervals(df: DataFrame, key: list[str], order: list[str], state: str, at: s
     return out
 
 
+def with_histories(records: DataFrame, spans: DataFrame, url: str, key: str = "url") -> DataFrame:
+    """records with lang_history, the list of their URL's intervals in order; null for a URL without any.
+
+    spans: intervals() by `key`. A history is as long as its changes, so the list is short.
+    """
+    fields = [c for c in ("from", "to", "primary", "observations", "available", "landing_path") if c in spans.columns]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("run", *fields))), lambda r: F.struct(*[r[c].alias(c) for c in fields]))
+    histories = spans.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_url")).agg(listed.alias("lang_history"))
+    return records.drop("lang_history").join(histories, F.col(url) == F.col("_url"), "left").drop("_url")
+
+
+def history_counts(records: DataFrame) -> DataFrame:
+    """(state, n): records without a history, with one, with several intervals, and with several on one landing path."""
+    h = F.col("lang_history")
+    several = F.size(h) > 1
+    paths = F.size(F.array_distinct(F.transform(h, lambda r: r["landing_path"]))) == 1
+    said = F.array_compact(F.array(F.when(h.isNull(), "no_history").otherwise("with_history"), F.when(several, "changed"), F.when(several & paths, "changed_same_landing_path"), F.when(several & ~paths, "changed_and_moved")))
+    return records.select(F.explode(said).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def modal(df: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
     """(key, value): the most frequent value, the first seen of equals. Counted by value first, so groups stay small."""
     counted = df.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))

@@ -11,11 +11,34 @@ LEGACY = {"english": ["english"], "welsh": ["welsh"], "english+welsh": ["english
 UNLABELLED = ("", "unknown", "fetch_failed", "too_little_text")
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _legacy(name: Column, known: list[str]) -> Column:
+    """The names that an older label stands for; null where it is none, or the name of a language now."""
+    pairs = [(k, v) for k, v in LEGACY.items() if k not in known]
+    table = F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.array(*[F.lit(w) for w in v]).cast("array<string>"))])
+    return F.try_element_at(table, name)
+
+
 def normalize_languages(values: Column, known: list[str]) -> Column:
-    """A list of names, compounds of the older format split, unknown names dropped, distinct and sorted."""
-    low = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.lower(F.trim(v)))
-    parts = F.flatten(F.transform(low, lambda v: F.split(v, r"\+")))
-    return F.array_sort(F.array_distinct(F.array_intersect(parts, F.array(*[F.lit(k) for k in known]))))
+    """A list of names, distinct and sorted; labels of the older format are what they stand for, other names go."""
+    one = lambda v: F.coalesce(_legacy(v, known), F.when(v.isin(*known), F.array(v)), _none())
+    low = F.transform(F.filter(F.coalesce(values, _none()), lambda v: v.isNotNull()), lambda v: F.lower(F.trim(v)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(low, one))))
+
+
+def migrate_languages(sites: DataFrame, known: list[str], languages: str = "language") -> DataFrame:
+    """sites with a tidy list of languages and `changed`, whether it was something else before."""
+    old = F.col(languages)
+    tidy = normalize_languages(old, known)
+    return sites.select(*[tidy.alias(c) if c == languages else F.col(c) for c in sites.columns], (~old.eqNullSafe(tidy)).alias("changed"))
+
+
+def good_label(values: Column, known: list[str]) -> Column:
+    """Whether a list names any language."""
+    return F.size(normalize_languages(values, known)) > 0
 
 
 def merge_label(new: Column, previous: Column) -> Column:
@@ -33,19 +56,27 @@ def unique_urls(sites: DataFrame, url: str, row: str) -> DataFrame:
     return sites.where(F.col(url).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.min(row).alias("first_row"))
 
 
+#: Rows of a range of shard(), and its most ranges.
+RANGE_ROWS, MOST_RANGES = 100_000, 1000
+
+
 def shard(urls: DataFrame, k: int, n: int, order: str = "first_row") -> DataFrame:
-    """Every n-th URL from the k-th, by the position in first-seen order.
+    """Every n-th URL from the k-th, by the position in first-seen order (`order`: distinct numbers).
 
-    Positions come from the sizes of sorted ranges, so no single task orders all rows.
+    Rows are dealt to ranges of `order`; positions come from the ranges' sizes and the places within them. A range is
+    told from the value alone, so it does not matter how often or where it is computed, and no task orders all rows.
     """
     if not 0 <= k < n:
         raise ValueError(f"shard {k}/{n}")
-    dealt = urls.sort(order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(order)))
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    ranges = min(MOST_RANGES, urls.count() // RANGE_ROWS + 1)
+    cuts = sorted(set(urls.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    dealt = urls.withColumn("_part", F.aggregate(bounds, F.lit(0), lambda at, c: at + (c < F.col(order)).cast("int")))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    local = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(order)))
     position = F.col("_before") + F.col("_at") - 1
-    return local.join(before, "_part").withColumn("position", position.cast("long")).where(F.col("position") % n == k).drop("_part", "_at", "_before")
+    return local.join(F.broadcast(before), "_part").withColumn("position", position.cast("long")).where(F.col("position") % n == k).drop("_part", "_at", "_before")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], sticky: list[str]) -> DataFrame:
@@ -81,8 +112,12 @@ def previous_labels(sites: DataFrame, url: str, languages: str, row: str) -> Dat
 
 
 def annotate(sites: DataFrame, labels: DataFrame, url: str, languages: str) -> DataFrame:
-    """sites with the languages that labels (url, languages) have for their URL, laid over their own by merge_label."""
-    found = labels.select(F.col("url").alias("_url"), F.col("languages").alias("_languages"))
+    """sites with the languages that labels (url, languages) have for their URL, laid over their own by merge_label.
+
+    Of several labels of a URL the least that names a language counts, so that no site is doubled.
+    """
+    named = F.when(F.size("languages") > 0, F.col("languages"))
+    found = labels.groupBy(F.col("url").alias("_url")).agg(F.min(named).alias("_languages"))
     joined = sites.join(found, F.col(url) == F.col("_url"), "left")
     merged = merge_label(F.coalesce("_languages", F.array().cast("array<string>")), F.col(languages) if languages in sites.columns else F.lit(None).cast("array<string>"))
     return joined.withColumn(languages, merged).drop("_url", "_languages")

@@ -19,13 +19,13 @@ def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> D
     return spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Site records of JSON arrays. A path that is not there has none; a file that is no JSON has none and is left alone.
+def read_sites(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Site records of JSON arrays, or with `lines` of what write_sites wrote. A path that is not there has none; a file that is no JSON has none and is left alone.
 
     language is a list or, in older files, a label: both become a list of strings, the label as its only member.
     """
     try:
-        rows = _json(spark, path, SITE)
+        rows = _json(spark, path, SITE, lines)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -34,6 +34,28 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(whole).drop(CORRUPT).withColumn("language", language_list(F.col("language")))
 
 
+def write_sites(sites: DataFrame, path: str) -> None:
+    """Site records as JSON lines, a folder of files that read_sites(lines=True) reads; the old folder is replaced when all are written."""
+    sites.withColumn("language", F.to_json("language")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_extracts(spark: SparkSession, path: str) -> DataFrame:
+    """extract, name, parent, iso1, iso2, url and depth of a catalogue of extracts ({"features": [...]}) that have a file."""
+    schema = "features array<struct<properties: struct<id: string, name: string, parent: string, `iso3166-1:alpha2`: array<string>, `iso3166-2`: array<string>, urls: map<string, string>>>>"
+    p = _json(spark, path, schema).where("features is not null").select(F.inline("features")).select("properties.*")
+    none = F.array().cast("array<string>")
+    url = F.try_element_at("urls", F.lit("pbf"))
+    depth = F.length("id") - F.length(F.translate("id", "/", "")) + F.when(F.col("parent").isNotNull(), 1).otherwise(0)
+    return p.where(url.isNotNull()).select(F.col("id").alias("extract"), "name", "parent", F.coalesce("iso3166-1:alpha2", none).alias("iso1"), F.coalesce("iso3166-2", none).alias("iso2"), url.alias("url"), depth.alias("depth"))
+
+
+def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, url, bytes) of the JSON files in a folder, by name. Only the listing is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    file = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.regexp_replace(file, r"\.json$", "").alias("name"), F.concat(F.lit("data/"), file).alias("url"), F.col("length").alias("bytes")).orderBy("name")
+
+
 def language_list(value: Column) -> Column:
     listed = F.from_json(value, "array<string>")
     return F.when(value.startswith("["), listed).when(value.isNotNull(), F.array(value))
