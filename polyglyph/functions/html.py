@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .scripts import MOST_WORDS, TOKEN, keep_word
 
+# What counts as a page's body, comments, hidden text, tags, entities, declared languages and links.
 BEFORE_BODY = r"(?is)^.*?<body[^>]*>"
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN_TAGS = ("script", "style", "noscript", "svg")

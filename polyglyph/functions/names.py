@@ -27,10 +27,9 @@ def marked_or_plain(marks: str, words: list[str], marked: str, plain: str):
 
     def of(name: Column) -> Column:
         text = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-        tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}']+"), F.lit(0))
         hit = (letter_hits(text, marks) > 0) if marks else F.lit(False)
         if words:
-            hit = hit | F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+            hit = hit | text.rlike(rf"(?<![\p{{L}}'])(?:{'|'.join(words)})(?![\p{{L}}'])")
         return F.when(hit, marked).when(text.rlike("[a-z]"), plain)
 
     return of

@@ -39,17 +39,37 @@ def vertex_mean(rings: Column) -> Column:
     return F.struct((total(0) / F.size(points)).alias("lon"), (total(1) / F.size(points)).alias("lat"))
 
 
+def _inner(rings: Column, x: Column, y: Column, cell: float) -> Column:
+    """Whether the cell at (x, y) lies wholly inside: no edge's box meets it, and its middle is inside."""
+    west, south = x * cell, y * cell
+
+    def near(p: Column, q: Column) -> Column:
+        return (F.least(p[0], q[0]) <= west + cell) & (F.greatest(p[0], q[0]) >= west) & (F.least(p[1], q[1]) <= south + cell) & (F.greatest(p[1], q[1]) >= south)
+
+    def touched(ring: Column) -> Column:
+        turned = F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.size(ring) - 1))
+        return F.exists(F.zip_with(ring, turned, near), lambda t: t)
+
+    return ~F.exists(rings, touched) & in_polygon(rings, west + cell / 2, south + cell / 2)
+
+
 def locate(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:
     """points (point_id, lon, lat) joined to the areas (area_id, rings) that hold them; the least area_id of several.
 
-    Grid cells make the spatial join an equi-join: an area is offered to the cells of its box, a point to its own.
+    Grid cells make the spatial join an equi-join: an area offers its id to the cells of its box, a point looks in its
+    own. A point in a cell that lies wholly inside an area is told without its rings; the rings are joined by the
+    area's id to the other points only, and are never copied into cells.
     """
     box = bbox(F.col("rings")[0])
     cells = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
     a = areas.select("area_id", "rings", box.alias("b"))
     a = a.withColumn("_x", F.explode(cells(F.col("b.west"), F.col("b.east")))).withColumn("_y", F.explode(cells(F.col("b.south"), F.col("b.north"))))
+    a = a.select("area_id", "_x", "_y", _inner(F.col("rings"), F.col("_x"), F.col("_y"), cell).alias("_inner"))
+    a = a.groupBy("area_id", "_x", "_y").agg(F.max("_inner").alias("_inner"))
     p = points.withColumn("_x", F.floor(F.col("lon") / cell)).withColumn("_y", F.floor(F.col("lat") / cell))
-    hit = p.join(a, ["_x", "_y"]).where(in_polygon(F.col("rings"), F.col("lon"), F.col("lat")))
+    near = p.join(a, ["_x", "_y"]).select("point_id", "lon", "lat", "area_id", "_inner")
+    tested = near.where("not _inner").join(areas.select("area_id", "rings"), "area_id").where(in_polygon(F.col("rings"), F.col("lon"), F.col("lat")))
+    hit = near.where("_inner").select("point_id", "area_id").unionByName(tested.select("point_id", "area_id"))
     return hit.groupBy("point_id").agg(F.min("area_id").alias("area_id"))
 
 

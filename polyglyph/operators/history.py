@@ -187,10 +187,31 @@ def search_changes(snapshots: DataFrame, key: str, first: int, last: int, *, coa
     inside = stamped.where((F.col("seen") + drift >= first) & (F.col("seen") - drift <= last))
     near = inside.withColumn("month", F.explode(reach)).groupBy(key, "month").agg(F.min_by("at", F.struct(F.abs(F.col("seen") - F.col("month")), "seen")).alias("at"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        months = {int(m): (s, t) for m, s, t in zip(pdf["month"], pdf["snapshot"], pdf["state"].where(pdf["state"].notna(), None))}
-        found = sorted(_visited(months, first, last, coarse))
-        return pd.DataFrame({key: pd.Series([pdf[key].iloc[0]] * len(found), dtype=pdf[key].dtype), "snapshot": pd.Series(found, dtype=object)})
-
-    flat = near.select(key, "month", "at.snapshot", "at.state")
-    return flat.groupBy(key).applyInPandas(run, flat.select(key, "snapshot").schema)
+    def found(key_value, months: dict) -> pd.DataFrame:
+        at = sorted(_visited(months, first, last, coarse))
+        return pd.DataFrame({key: [key_value] * len(at), "snapshot": at})
+
+    def run(frames):
+        held, months = None, {}
+        for pdf in frames:
+            out = []
+            states = pdf["state"].astype(object).where(pdf["state"].notna(), None)
+            for k, m, s, t in zip(pdf[key].tolist(), pdf["month"].tolist(), pdf["snapshot"].tolist(), states.tolist()):
+                if months and k != held:
+                    out.append(found(held, months))
+                    months = {}
+                held = k
+                months[int(m)] = (s, t)
+            yield from _joined(out)
+        if months:
+            yield found(held, months)
+
+    flat = near.where(F.col(key).isNotNull()).select(key, "month", "at.snapshot", "at.state")
+    # a history's months lie one after the other in one partition, many histories to a batch
+    return flat.repartition(key).sortWithinPartitions(key, "month").mapInPandas(run, flat.select(key, "snapshot").schema)
+
+
+def _joined(frames: list[pd.DataFrame]):
+    some = [f for f in frames if len(f)]
+    if some:
+        yield pd.concat(some, ignore_index=True)

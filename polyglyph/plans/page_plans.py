@@ -106,6 +106,8 @@ WITH w AS (SELECT page_id, url, html, {_visible_sql('html')} AS words FROM pages
 """
 
 
+_FOLD = ("belarusian", "ukrainian", "russian", "english", "japanese", "chinese")
+
 # --- queries --------------------------------------------------------------------------------------------------
 
 
@@ -180,9 +182,10 @@ def doc_exclusive_letters(spark, sf_dir):
 
 
 def suppression_fold(spark, sf_dir):
-    cases = [["belarusian", "russian"], ["ukrainian", "russian", "english"], ["russian"], ["ukrainian", "belarusian", "russian"], []]
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id long, found array<string>")
-    return df.select("id", F.array_join(C.suppress(F.col("found"), PACKS), ",").alias("kept"))
+    """Every part as a list of found languages."""
+    k = F.col("p_partkey")
+    found = F.array_compact(F.array(*[F.when(F.shiftright(k, i) % 2 == 1, n) for i, n in enumerate(_FOLD)]))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(C.suppress(found, PACKS), ",").alias("kept"))
 
 
 def url_normalize(spark, sf_dir):
@@ -227,7 +230,7 @@ ORACLE_SQL = {
     "doc_whole_word_languages": _WHOLE_DOC_WORDS_SQL + ", m AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS top FROM n) SELECT doc_id, coalesce(string_agg(language, ',' ORDER BY language) FILTER (WHERE n >= 4 AND n >= top * 0.35), '') AS languages FROM m GROUP BY doc_id",
     "doc_script_totals": "SELECT doc_id, " + ", ".join(f"{_chars_sql('lower(coalesce(text, chr(32)))', s)}::INT AS {s}" for s in ("latin", "cyrillic", "greek", "han")) + " FROM documents",
     "doc_exclusive_letters": "SELECT doc_id, " + ", ".join(f"{_hits_sql('lower(coalesce(text, chr(32)))', x)}::INT AS {n}" for n, x in (("german_hits", "äöüß"), ("spanish_hits", "ñ¿¡"), ("french_hits", "çœ"))) + " FROM documents",
-    "suppression_fold": "SELECT * FROM (VALUES (0, 'belarusian'), (1, 'ukrainian,english'), (2, 'russian'), (3, 'ukrainian,belarusian'), (4, '')) AS t(id, kept)",
+    "suppression_fold": "WITH f AS (SELECT p_partkey, " + ", ".join(f"(p_partkey >> {i}) % 2 = 1 AS {n}" for i, n in enumerate(_FOLD)) + " FROM part) SELECT p_partkey, array_to_string(list_filter([CASE WHEN belarusian THEN 'belarusian' END, CASE WHEN ukrainian THEN 'ukrainian' END, CASE WHEN russian AND NOT belarusian AND NOT ukrainian THEN 'russian' END, CASE WHEN english THEN 'english' END, CASE WHEN japanese THEN 'japanese' END, CASE WHEN chinese AND NOT japanese THEN 'chinese' END], lambda x: x IS NOT NULL), ',') AS kept FROM f",
     "url_normalize": f"""WITH r AS (SELECT page_id, trim(CASE page_id % 7 WHEN 0 THEN '  ' || regexp_replace(url, '^https?://', '') WHEN 1 THEN url || '.PDF' WHEN 2 THEN 'mailto:a@b' ELSE url END) AS u FROM pages),
       w AS (SELECT page_id, u, CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'http://' || u END AS x FROM r)
       SELECT page_id, CASE WHEN u = '' OR regexp_matches(u, '^(?:javascript:|mailto:|tel:)') OR regexp_extract(x, '^https?://([^/?#]*)', 1) = '' OR regexp_matches(lower(regexp_extract(x, '^https?://[^/?#]*([^?#]*)', 1)), {_q(_SUFFIXES)}) THEN NULL ELSE x END AS url FROM w""",

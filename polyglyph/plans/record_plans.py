@@ -95,13 +95,16 @@ def month_functions(spark, sf_dir):
     return o.select("m", i.alias("month_index"), Hi.month_text(i).alias("back"), Hi.month_stamp(i).alias("stamp"))
 
 
-_NAMES = [(1, "Їжа", None, None), (2, "Рынок", None, None), (3, "Кафе", "Кафе", "Кафе"), (4, "Мій", None, None), (5, "Shop", "", "Shop"), (6, "Ґанок ы", "x", None)]
+_NAMES = [("Їжа", None, None), ("Рынок", None, None), ("Кафе", "Кафе", "Кафе"), ("Мій", None, None), ("Shop", "", "Shop"), ("Ґанок ы", "x", None)]
 
 
 def name_pair_classify(spark, sf_dir):
-    df = spark.createDataFrame(_NAMES, "id long, name string, uk string, ru string")
+    """Every part under one of six names and its number, with name tags."""
+    k = F.col("p_partkey")
+    pick = lambda i: F.get(F.array(*[F.lit(n[i]).cast("string") for n in _NAMES]), (k % len(_NAMES)).cast("int"))
+    df = table(spark, sf_dir, "part").select(k, F.concat_ws(" ", pick(0), k).alias("name"), *[F.when(pick(i) != "", F.concat_ws(" ", pick(i), k)).otherwise(pick(i)).alias(c) for i, c in ((1, "uk"), (2, "ru"))])
     primary, available = N.by_tags(F.col("name"), F.col("uk"), F.col("ru"), "ukrainian", "russian", N.ukrainian_or_russian)
-    return df.select("id", primary.alias("primary"), F.array_join(available, ",").alias("available"))
+    return df.select("p_partkey", primary.alias("primary"), F.array_join(available, ",").alias("available"))
 
 
 def tile_grid(spark, sf_dir):
@@ -159,18 +162,37 @@ def area_codes(spark, sf_dir):
 
 
 def mojibake(spark, sf_dir):
-    df = spark.createDataFrame([(1, "QuÃ©bec"), (2, "Québec"), (3, "Ãx€"), (4, None)], "id long, name string")
-    return df.select("id", A.fix_mojibake(F.col("name")).alias("name"))
+    """Part names with accents, a third of them UTF-8 read as Latin-1, a third of them damaged."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("Québec "), "p_name")
+    wrong = F.decode(F.encode(name, "UTF-8"), "ISO-8859-1")
+    return table(spark, sf_dir, "part").select("p_partkey", A.fix_mojibake(F.when(k % 3 == 0, wrong).when(k % 3 == 1, name).when(k % 5 > 0, F.concat(F.lit("Ãx€"), "p_name"))).alias("name"))
 
 
 def ring_simplify(spark, sf_dir):
-    rings = spark.createDataFrame([(1, [[[0.0, 0.0], [1.0, 0.00001], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0], [0.0, 0.0]]])], "area_id long, rings array<array<array<double>>>")
-    return G.simplify(rings, 0.005)
+    """A square at every customer's point with a corner too many, which lies off its side by less than the tolerance for even keys."""
+    k = F.col("point_id")
+    x, y = F.col("lon"), F.col("lat")
+    corner = lambda a, b: F.array(x + a, y + b)
+    ring = F.array(corner(0, 0), F.array(x + 1, y + F.when(k % 2 == 0, 0.00001).otherwise(0.5)), corner(2, 0), corner(2, 2), corner(0, 2), corner(0, 0))
+    done = G.simplify(_points(spark, sf_dir).select(k.alias("area_id"), F.array(ring).alias("rings")), 0.005)
+    first = F.col("rings")[0]
+    return done.select("area_id", F.size("rings").alias("n_rings"), F.size(first).alias("n"), F.round(first[1][0], 2).alias("lon"), F.round(first[1][1], 2).alias("lat"))
 
 
 def ring_stitch(spark, sf_dir):
-    pieces = [(1, "outer", [[0.0, 0.0], [1.0, 0.0]]), (1, "outer", [[1.0, 1.0], [1.0, 0.0]]), (1, "outer", [[1.0, 1.0], [0.0, 1.0], [0.0, 0.0]])]
-    return G.stitch_relations(spark.createDataFrame(pieces, "relation_id long, role string, line array<array<double>>"))
+    """A square around every customer's point, cut into three lines, some of them reversed, and put together again."""
+    p = _points(spark, sf_dir)
+    corner = lambda a, b: F.array(F.col("lon") + a, F.col("lat") + b)
+    lines = (F.array(corner(0, 0), corner(1, 0)), F.array(corner(1, 1), corner(1, 0)), F.array(corner(1, 1), corner(0, 1), corner(0, 0)))
+    pieces = p.select(F.col("point_id").alias("relation_id"), F.explode(F.array(*lines)).alias("line")).select("relation_id", F.when(F.col("relation_id") % 2 == 0, "outer").otherwise("inner").alias("role"), "line")
+    ring = F.col("ring")
+    return G.stitch_relations(pieces).select("relation_id", "role", "n", F.size(ring).alias("points"), _total(ring, 0).alias("lon"), _total(ring, 1).alias("lat"))
+
+
+def _total(ring, i):
+    """The sum of a coordinate over a closed ring's corners."""
+    return F.round(F.aggregate(F.slice(ring, 1, F.size(ring) - 1), F.lit(0.0), lambda a, q: a + q[i]), 4)
 
 
 QUERIES = {
@@ -204,7 +226,8 @@ ORACLE_SQL = {
       r AS (SELECT site, month, seen, row_number() OVER (PARTITION BY site, month ORDER BY abs(seen - month), seen) AS rn FROM w JOIN s USING (site) WHERE abs(seen - month) <= 9) SELECT site, month, seen FROM r WHERE rn = 1""",
     "month_timeline": f"WITH e AS (SELECT o_custkey AS k, o_orderdate AS ts, o_orderkey AS id, o_orderstatus AS state, {_MONTH.format('o_orderdate')} AS day FROM orders), {_RUNS_SQL}, t AS (SELECT state, unnest(range(greatest(first_day, 23916), least(last_day, 23952) + 1))::INT AS month FROM spans WHERE first_day <= 23952 AND last_day >= 23916) SELECT month, state AS primary, count(*) AS sites FROM t GROUP BY ALL",
     "month_functions": f"SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m, {_MONTH.format('o_orderdate')} AS month_index, strftime(o_orderdate, '%Y-%m') AS back, strftime(o_orderdate, '%Y%m') || '15000000' AS stamp FROM orders",
-    "name_pair_classify": "SELECT * FROM (VALUES (1, 'ukrainian', 'ukrainian'), (2, 'russian', 'russian'), (3, 'ukrainian', 'russian,ukrainian'), (4, 'ukrainian', 'ukrainian'), (5, 'russian', 'russian'), (6, NULL, 'ukrainian')) AS t(id, primary_, available)".replace("primary_", '"primary"'),
+    "name_pair_classify": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ukrainian' WHEN 1 THEN 'russian' WHEN 2 THEN 'ukrainian' WHEN 3 THEN 'ukrainian' WHEN 4 THEN 'russian' END AS "primary",
+      CASE p_partkey % 6 WHEN 0 THEN 'ukrainian' WHEN 1 THEN 'russian' WHEN 2 THEN 'russian,ukrainian' WHEN 3 THEN 'ukrainian' WHEN 4 THEN 'russian' ELSE 'ukrainian' END AS available FROM part""",
     "tile_grid": "WITH b(s, w, n, e) AS (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 2.5::DOUBLE, 1.0::DOUBLE), (-10.0, 5.0, -7.25, 9.5)), i AS (SELECT *, unnest(range(0, ceil(n - s)::INT)) AS i FROM b), j AS (SELECT *, unnest(range(0, ceil(e - w)::INT)) AS j FROM i) SELECT s + i AS tile_south, w + j AS tile_west, least(s + i + 1, n) AS tile_north, least(w + j + 1, e) AS tile_east FROM j",
     "point_in_polygon": _LOCATE_SQL + " SELECT point_id, area_id FROM l",
     "nearest_centroid": f"WITH {_AREAS_SQL}, {_POINTS_SQL}, c AS (SELECT area_id, {_CENTRE.format('x')} AS cx, {_CENTRE.format('y')} AS cy FROM areas), d AS (SELECT point_id, area_id, (lon - cx) * (lon - cx) + (lat - cy) * (lat - cy) AS d FROM p, c), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, area_id) AS rn FROM d WHERE d < 144) SELECT point_id, area_id FROM r WHERE rn = 1",
@@ -223,5 +246,7 @@ ORACLE_SQL = {
       b AS (SELECT *, CASE WHEN pl <= 3 THEN 4 WHEN pl <= 5 THEN 6 ELSE 8 END AS best FROM c)
       SELECT p_partkey, CASE WHEN regexp_full_match(code, '[A-Z]{2}-[A-Z0-9]{1,3}') THEN code ELSE '' END AS iso, ('0x' || substr(sha1(p_name), 1, 8))::BIGINT % 900000000 + 100000000 AS stable_id,
       CASE WHEN lv <= 2 THEN 'country' WHEN lv <= 4 THEN 'subdivision_1' ELSE 'subdivision_2' END AS kind, array_to_string(list_filter([best, best + 2, best - 1, best + 1], lambda v: v >= 3 AND v <= 10 AND v > pl), ',') AS levels, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM b""",
-    "mojibake": "SELECT * FROM (VALUES (1, 'Québec'), (2, 'Québec'), (3, 'Ãx€'), (4, NULL)) AS t(id, name)",
+    "mojibake": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'Québec ' || p_name WHEN p_partkey % 5 > 0 THEN 'Ãx€' || p_name END AS name FROM part",
+    "ring_simplify": "SELECT c_custkey AS area_id, 1 AS n_rings, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 6 END AS n, round(c_custkey * 37 % 340 - 169.75 + CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END, 2)::DOUBLE AS lon, round(c_custkey * 53 % 140 - 69.75 + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 0.5 END, 2)::DOUBLE AS lat FROM customer",
+    "ring_stitch": "SELECT c_custkey AS relation_id, CASE WHEN c_custkey % 2 = 0 THEN 'outer' ELSE 'inner' END AS role, 0 AS n, 5 AS points, round(4 * (c_custkey * 37 % 340 - 169.75) + 2, 4)::DOUBLE AS lon, round(4 * (c_custkey * 53 % 140 - 69.75) + 2, 4)::DOUBLE AS lat FROM customer",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +11,12 @@ from ..operators.history import intervals
 from ..sources.records import OBSERVATION, split_log
 
 KEY = ["url", "snapshot"]
+#: Folders of a batch, by the hash of the URL: a batch is compared with those of its own URLs only.
+BUCKETS = 64
+
+
+def bucket(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
 
 
 def log_stream(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
@@ -44,8 +50,11 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, *, di
             seen = seen.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*KEY, "_r.*")
             before = stored(batch.sparkSession, f"{target}/observations")
             if before is not None:
-                seen = seen.join(before.where(F.col("batch") != number).select(*KEY), KEY, "left_anti")
-        seen.write.mode("overwrite").parquet(f"{target}/observations/batch={number}")
+                own = [r[0] for r in seen.select(bucket(F.col("url"))).distinct().collect()]  # BUCKETS numbers at most
+                there = before.where((F.col("batch") != number) & F.col("bucket").isin(*own)).select("bucket", *KEY)
+                seen = seen.withColumn("bucket", bucket(F.col("url"))).join(there, ["bucket", *KEY], "left_anti").drop("bucket")
+        seen = seen.withColumn("bucket", bucket(F.col("url")))
+        seen.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/observations/batch={number}")
         done.write.mode("overwrite").parquet(f"{target}/markers/batch={number}")
 
     stream = log_stream(spark, source, files_a_batch)
