@@ -23,12 +23,49 @@ def month_stamp(index: Column) -> Column:
     return F.concat(F.regexp_replace(month_text(index), "-", ""), F.lit("15000000"))
 
 
-def runs(df: DataFrame, key: list[str], order: list[str], state: list[str]) -> DataFrame:
-    """df with run: the number of the run of equal states (null-safe) that the row is in, from 1."""
-    by = W.partitionBy(*key).orderBy(*order)
+#: Rows of a key from which on its rows are dealt to ranges of time, and the most ranges.
+HOT_ROWS, MOST_RANGES = 1_000_000, 500
+
+
+def _ranges(df: DataFrame, key: list[str], at: str, hot_rows: int) -> Column | None:
+    """The range of `at` (a number, a time or a stamp) that a row is in, of about hot_rows rows of the large keys; None without such keys."""
+    large = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    most = large.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    theirs = df.join(large.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]), same, "left_semi")
+    n = min(MOST_RANGES, most // hot_rows + 1)
+    cuts = theirs.select(F.col(at).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.25 / n)
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
+    return F.aggregate(bounds, F.lit(0), lambda k, c: k + F.coalesce(c < F.col(at).cast("double"), F.lit(False)).cast("int"))
+
+
+def runs(df: DataFrame, key: list[str], order: list[str], state: list[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with run: the number of the run of equal states (null-safe) that the row is in, from 1.
+
+    Where a key has more than hot_rows rows, rows are dealt to ranges of the first order column; runs are numbered
+    within a key's ranges and carried over them by their first and last states, so that no task orders a large key.
+    """
     now = F.struct(*state)
-    new = F.when(F.row_number().over(by) == 1, 1).otherwise(F.when(F.lag(now).over(by).eqNullSafe(now), 0).otherwise(1))
-    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")
+    block = _ranges(df, key, order[0], hot_rows)
+    if block is None:
+        by = W.partitionBy(*key).orderBy(*order)
+        new = F.when(F.row_number().over(by) == 1, 1).otherwise(F.when(F.lag(now).over(by).eqNullSafe(now), 0).otherwise(1))
+        return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")
+    dealt = df.withColumn("_block", block)
+    by = W.partitionBy(*key, "_block").orderBy(*order)
+    changed = F.when((F.row_number().over(by) > 1) & ~F.lag(now).over(by).eqNullSafe(now), 1).otherwise(0)
+    local = dealt.withColumn("_new", changed).withColumn("_in", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    place = F.struct(*order)
+    parts = local.groupBy(*key, "_block").agg(F.max("_in").alias("_changes"), F.min_by(now, place).alias("_first"), F.max_by(now, place).alias("_last"))
+    over = W.partitionBy(*key).orderBy("_block")
+    starts = F.when((F.row_number().over(over) > 1) & F.lag("_last").over(over).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    parts = parts.withColumn("_starts", starts)
+    before = F.sum("_starts").over(over.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("_changes").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = parts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.col("_block").alias("_kb"), before.alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)] + [F.col("_block") == F.col("_kb")]
+    return local.join(carried, same).select(*df.columns, (F.col("_before") + F.col("_in")).cast("int").alias("run"))
 
 
 def intervals(df: DataFrame, key: list[str], order: list[str], state: str, at: str, *, available: str | None = None, path: str | None = None) -> DataFrame:

@@ -100,3 +100,14 @@ def test_levels_too_large_and_parents_too_small_go(spark):
     rows = [("ADM2", 1)] * 3 + [("ADM2", 2)] + [("ADM3", 1)] * 6
     df = spark.createDataFrame(rows, "level string, parent_osm_id long")
     assert [tuple(r) for r in B.worth_showing(df, "level", most=4).collect()] == [("ADM2", 1)] * 3
+
+
+def test_runs_of_large_keys(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), draw.randint(0, 900), i, draw.choice([None, "x", "x", "y"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, s string")
+    want = sorted(map(str, Hi.runs(df, ["k"], ["t", "i"], ["s"]).collect()))
+    assert sorted(map(str, Hi.runs(df, ["k"], ["t", "i"], ["s"], hot_rows=100).collect())) == want
+    assert sorted(map(str, Hi.runs(df.withColumn("t", F.timestamp_seconds("t")), ["k"], ["t", "i"], ["s"], hot_rows=100).select("k", F.unix_timestamp("t").cast("int").alias("t"), "i", "s", "run").collect())) == want
