@@ -170,3 +170,24 @@ def test_scores_replace_a_column_of_their_name_only(spark, module):
     model = module.fit(docs, labels)
     assert score(docs, model, to="s").columns == ["doc_id", "text", "score", "y", "s"]
     assert sorted(score(docs, model).columns) == ["doc_id", "score", "text", "y"] and score(docs.limit(0), model).count() == 0
+
+
+def test_languages_of_an_empty_table_and_clashing_columns(spark, documents):
+    profiles = langid.fit(documents)
+    odd = spark.createDataFrame([(1, "wort und welt", "x", 2.0), (1, "wort und welt", "y", None), (None, None, None, None), (2, "12 !", "z", 0.0)], "doc_id long, text string, lang_pred string, score double")
+    rows = langid.identify(odd, profiles).collect()
+    assert sorted(r.lang_pred == "und" for r in rows) == [False, False, True, True] and len({(r.doc_id, r.lang_pred) for r in rows if r.doc_id == 1}) == 1
+    assert langid.identify(odd.limit(0), profiles).count() == 0 and langid.fit(documents.limit(0)) == {}
+
+
+def test_scratch_is_cleaned(spark):
+    import os
+
+    from polyglyph.llm import common
+
+    kept = common.materialize(spark.range(3), "numbers")
+    assert kept.count() == 3
+    root = common.scratch_root(spark).removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(root)
+    common.clean(spark)
+    assert not os.path.exists(root)
