@@ -11,10 +11,11 @@ agree in one at least; the first bits of a block are its shard, as many as give
 that is larger than MOST is dealt again by the choices of AGREE of radius + AGREE blocks. The search is exact.
 
 Near copies (the pipeline's stage): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-At that similarity fingerprints differ in 10 bits of 64 on average, so no block of bits need agree; shards are
+At that similarity fingerprints differ in 15 % of their bits on average, so no block of bits need agree; shards are
 the texts with the same least shingle under one of ORDERS hash functions, which two similar texts miss in all orders
-less than three times in a million. A shard's BK-tree is searched within COPY_RADIUS, and what it links is confirmed
-by the sets themselves.
+less than three times in a million. Fingerprints are 64 * LANES bits, so that their distance tells similar texts from
+those that only share a passage; a shard's BK-tree is searched within COPY_RADIUS, and what it links is confirmed by
+the sets themselves.
 """
 
 from __future__ import annotations
@@ -36,14 +37,24 @@ SHINGLE = 3
 AGREE = 4
 #: Fingerprints that a shard is to have, and from how many on it is dealt again.
 SHARD, MOST = 512, 4096
-#: Near copies: words of a shingle, least similarity as a fraction, radius of the search, orders of the shingles.
-COPY_SHINGLE, SIMILAR, COPY_RADIUS, ORDERS = 5, (4, 5), 18, 8
+#: Near copies: words of a shingle, least similarity as a fraction, orders of the shingles.
+COPY_SHINGLE, SIMILAR, ORDERS = 5, (4, 5), 8
+#: 64-bit parts of their fingerprints, and the radius of the search: at similarity 0.8 they differ in 39 bits of 256 on
+#: average, with a deviation of 6; at 0.5 in 69, with 7.
+LANES, COPY_RADIUS = 4, 62
 #: Shingles of the sets that are compared in one task; larger groups are compared block by block.
 BLOCK_SHINGLES = 2_000_000
 #: Rows up to which a table of row numbers is broadcast; a larger one is joined by shuffle.
 BROADCAST_NUMBERS = 2_000_000
 
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, ORDERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (2, ORDERS + LANES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(hashes: np.ndarray, k) -> np.ndarray:
+    """The hashes under the k-th of the hash functions."""
+    x = hashes * _FACTORS[0, k]
+    x ^= x >> np.uint64(32)
+    return x * _FACTORS[1, k]
 
 
 def shingles(text: str | None, shingle: int) -> list[int]:
@@ -67,6 +78,12 @@ def simhash(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def wide_simhash(hashes: list[int]) -> bytes:
+    """The fingerprint of hashed shingles in 64 * LANES bits, each 64 of them of the hashes mixed anew."""
+    own = np.array(hashes, dtype=np.uint64)
+    return b"".join(simhash(_mixed(own, ORDERS + k).tolist() if len(own) else []).to_bytes(8, "big") for k in range(LANES))
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return simhash(shingles(text, shingle))
 
@@ -115,7 +132,7 @@ class BKTree:
 
 
 def shard_links(keys: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that span the components of a shard's distinct fingerprints."""
+    """Links (i, j) of places in keys that span the components of a shard's fingerprints."""
     tree, parent, out = BKTree(), list(range(len(keys))), []
 
     def root(x: int) -> int:
@@ -129,7 +146,7 @@ def shard_links(keys: list[int], radius: int) -> list[tuple[int, int]]:
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((key, keys[j]))
+                out.append((i, j))
     return out
 
 
@@ -197,9 +214,10 @@ def _runs(rows: np.ndarray, new: np.ndarray, radius: int):
     ends = np.concatenate([new, [len(rows)]]).astype(np.int64)
     many, out = ends - starts > 1, []
     for s, e in zip(starts[many].tolist(), ends[many].tolist()):
-        out += shard_links(rows[s:e, 2].view(np.uint64).tolist(), radius)
+        fps = rows[s:e, 2]
+        out += [(fps[i], fps[j]) for i, j in shard_links(fps.view(np.uint64).tolist(), radius)]
     if out:
-        pairs = np.array(out, dtype=np.uint64).view(np.int64)
+        pairs = np.array(out, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
@@ -220,13 +238,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def least_shingles(hashes: np.ndarray) -> list[int]:
-    """The least value of the set under each of the orders, marked with the order, as signed longs."""
+    """The least value of the set under each of the orders, as signed longs."""
     least = np.full(ORDERS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 8192):
-        x = hashes[at : at + 8192, None] * _FACTORS[0]
-        x ^= x >> np.uint64(32)
-        x *= _FACTORS[1]
-        np.minimum(least, x.min(axis=0), out=least)
+        np.minimum(least, _mixed(hashes[at : at + 8192, None], np.arange(ORDERS)).min(axis=0), out=least)
     return least.view(np.int64).tolist()
 
 
@@ -241,27 +256,35 @@ def _sketches(batches):
         for text in batch.column(2):
             hashes = shingles(text.as_py(), COPY_SHINGLE)
             own = np.unique(np.array(hashes, dtype=np.uint64))
-            out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), np.uint64(simhash(hashes)).view(np.int64), least_shingles(own)))
+            out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), wide_simhash(hashes), least_shingles(own)))
         cols = list(zip(*out)) or [()] * 4
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["row", "doc_id", "digest", "n", "fp", "least"])
 
 
 def _copy_shards(nodes: DataFrame) -> DataFrame:
-    """nodes (node, fp, least) -> (h, g, fp): the shards of fingerprints that have a least shingle in common.
+    """nodes (node, fp, least) -> (h, g, node, fp): the shards of texts that have a least shingle in common.
 
-    A shard with more than MOST fingerprints, such as that of a passage which many texts share, is dealt again by the
-    least shingles under each other order. One that is still larger holds texts alike, and its tree links them fast.
+    A shard with more than MOST texts, such as that of a passage which many texts share, is dealt again by the least
+    shingles under each other order. One that is still larger holds texts alike, and its tree links them fast.
     """
-    each = nodes.select("fp", F.posexplode("least").alias("o", "h"), "least")
-    shards = each.select(F.xxhash64("o", "h").alias("h"), F.lit(0).cast("long").alias("g"), "fp", "least").dropDuplicates(["h", "fp"])
+    shards = nodes.select("node", F.posexplode("least").alias("o", "h")).select("node", F.xxhash64("o", "h").alias("h"))
     sizes = shards.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = materialize(sizes.select("h", (F.col("n") > MOST).alias("large")), "shard_sizes")
     kept = materialize(shards.join(sizes, "h"), "shards")
-    again = kept.where("large").select("h", "fp", F.posexplode("least").alias("o", "other")).select("h", F.xxhash64("o", "other").alias("g"), "fp")
+    again = kept.where("large").join(nodes.select("node", "least"), "node").select("h", "node", F.posexplode("least").alias("o", "other"))
     # the order that a shard was dealt by gives one more shard with all of its rows: it is left out
-    again = again.where("h <> g").distinct()
-    return kept.where("not large").select("h", "g", "fp").unionByName(again)
+    again = again.select("h", F.xxhash64("o", "other").alias("g"), "node").where("h <> g")
+    every = kept.where("not large").select("h", F.lit(0).cast("long").alias("g"), "node").unionByName(again)
+    return every.join(nodes.select("node", "fp"), "node").select("h", "g", "node", "fp")
+
+
+def _copy_links(batches):
+    """Sorted shards (h, g, node, fp) -> (a, b): nodes linked by the shards' BK-trees."""
+    for rows in _cells(batches, 2):
+        found = shard_links([int.from_bytes(r[3], "big") for r in rows], COPY_RADIUS)
+        if found:
+            yield _pairs([(rows[i][2], rows[j][2]) for i, j in found], ["a", "b"])
 
 
 def _pairs(found: list[tuple[int, int]], names: list[str]):
@@ -269,15 +292,15 @@ def _pairs(found: list[tuple[int, int]], names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
 
 
-def _cells(batches):
-    """The rows of sorted batches, in lists with the same first three columns."""
+def _cells(batches, key_columns: int):
+    """The rows of sorted batches, in lists with the same first columns."""
     key, rows = None, []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if row[:3] != key:
+            if row[:key_columns] != key:
                 if len(rows) > 1:
                     yield rows
-                key, rows = row[:3], []
+                key, rows = row[:key_columns], []
             rows.append(row)
     if len(rows) > 1:
         yield rows
@@ -293,15 +316,15 @@ def _similar(a: frozenset, b: frozenset) -> bool:
 
 def _confirmed(batches):
     """Cells (root, i, j, node, fp, hashes) -> (a, b): links that span the components of the sets' similarity."""
-    for rows in _cells(batches):
-        nodes, fps = [r[3] for r in rows], np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64)
+    for rows in _cells(batches, 3):
+        nodes, fps = [r[3] for r in rows], np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, LANES)
         sets = [frozenset(np.frombuffer(r[5], np.uint64).tolist()) for r in rows]
         left, out = np.arange(len(rows)), []
         while len(left):
             reached, left = [int(left[0])], left[1:]
             while reached and len(left):
                 x = reached.pop()
-                near = np.bitwise_count(fps[left] ^ fps[x]) <= COPY_RADIUS
+                near = np.bitwise_count(fps[left] ^ fps[x]).sum(axis=1) <= COPY_RADIUS
                 hit = np.array([bool(n) and _similar(sets[x], sets[y]) for n, y in zip(near, left.tolist())])
                 reached += left[hit].tolist()
                 out += [(nodes[x], nodes[y]) for y in left[hit].tolist()]
@@ -317,16 +340,14 @@ def near_copies(rows: DataFrame) -> DataFrame:
     COPY_RADIUS. Texts with equal sets are one from the start, so also all texts without words; a shorter text is one
     shingle. group is the least row of those with its set, or linked to it.
     """
-    prints = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, n long, fp long, least array<long>")
+    prints = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, n long, fp binary, least array<long>")
     prints = materialize(prints, "sketches")
     same = prints.groupBy("digest").agg(F.min("row").alias("node"), F.min_by(F.struct("n", "fp", "least"), "row").alias("of"))
     same = materialize(same.select("digest", "node", "of.*"), "sets")
-    # several sets can have one fingerprint: the trees hold it once
-    linked = components(_tree_links(_copy_shards(same), ["h", "g"], COPY_RADIUS))
-    linked = materialize(linked, "coarse")
-    shared = same.groupBy("fp").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("fp")
-    roots = linked.select(F.col("node").alias("fp"), "root").union(linked.select("root", "root")).union(shared.select("fp", "fp")).groupBy("fp").agg(F.min("root").alias("root"))
-    coarse = materialize(same.select("node", "fp", "n").join(roots, "fp"), "groups")
+    shards = _copy_shards(same).repartition("h", "g").sortWithinPartitions("h", "g", "node")
+    linked = components(materialize(shards.mapInArrow(_copy_links, "a long, b long").distinct(), "likely"))
+    roots = linked.select("node", "root").union(linked.select("root", "root")).distinct()
+    coarse = materialize(same.select("node", "fp", "n").join(roots, "node"), "groups")
     sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     sizes = sizes.select("root", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     # a large group is cut into blocks, and each pair of blocks is compared in a cell of its own
@@ -340,7 +361,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([_sets(t.as_py()).tobytes() for t in batch.column(5)], pa.binary())], ["root", "i", "j", "node", "fp", "hashes"])
 
     sets = rows.select(F.col("row").alias("node"), "text").join(few(cells, BROADCAST_NUMBERS), "node").select("root", "i", "j", "node", "fp", "text")
-    sets = sets.mapInArrow(hashed, "root long, i int, j int, node long, fp long, hashes binary").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    sets = sets.mapInArrow(hashed, "root long, i int, j int, node long, fp binary, hashes binary").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     found = components(materialize(sets.mapInArrow(_confirmed, "a long, b long"), "confirmed"))
     named = prints.select("row", "doc_id", "digest").join(same.select("digest", "node"), "digest").join(found, "node", "left")
     return materialize(named.select("row", "doc_id", F.coalesce("root", "node").alias("group")), "copies")
