@@ -48,6 +48,12 @@ def keep_word(w: Column) -> Column:
     return (F.length(w) <= LONGEST_WORD) & w.rlike(KEEP)
 
 
+def script_of(letter: str) -> str | None:
+    """The script of one letter; a letter outside all blocks counts as Latin, anything else has none."""
+    code = ord(letter)
+    return next((s for s, a, b in BLOCKS if a <= code <= b), "latin" if letter.isalpha() else None)
+
+
 def letter_class(script: str) -> str:
     """A character class of the script's letters, for Java. A letter outside all blocks counts as Latin."""
     return f"[{ranges(script)}[\\p{{L}}&&[^{ranges()}]]]" if script == "latin" else f"[{ranges(script)}]"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.hold import hold, let
-from ..functions.scripts import letter_class, letter_hits, script_chars
+from ..functions.scripts import letter_class, letter_hits, ranges, script_chars, script_of
 from ..functions.urls import AMBIGUOUS_PATH_CODES, path_code
 from ..sources.languages import Pack, code_map, label_map
 
@@ -22,12 +22,19 @@ LONGEST_LABEL = 48
 SWITCH_PHRASES = ("newid\\s+iaith", "change\\s+language", "changer\\s+de\\s+langue", "cambiar\\s+idioma", "sprache\\s+ändern", "sprache\\s+andern")
 
 
+#: Between the members of a list or map that is made of one literal; the optimizer folds it once, whatever its length.
+_NEXT, _IS = "\x1f", "\x1e"
+
+
 def _map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    if not values:
+        return F.create_map().cast("map<string,string>")
+    return F.str_to_map(F.lit(_NEXT.join(f"{k}{_IS}{v}" for k, v in values.items())), F.lit(_NEXT), F.lit(_IS))
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    values = list(values)
+    return F.split(F.lit(_NEXT.join(values)), _NEXT) if values else F.array().cast("array<string>")
 
 
 def _found(*flags: tuple[str, Column]) -> Column:
@@ -112,24 +119,36 @@ def script_languages(text: Column, packs: list[Pack]) -> Column:
                 found = let(found, _adds(p, enough))
         return found
 
-    return let(F.struct(*[script_chars(text, s).alias(s) for s in used]), from_counts)
+    # most pages have letters of Latin and Cyrillic only: one look tells whether the other scripts are to be counted
+    rare = [s for s in used if s not in ("latin", "cyrillic")]
+    some = text.rlike(f"[{ranges(*rare)}]") if rare else F.lit(False)
+    count = lambda s, there: F.when(there, script_chars(text, s)).otherwise(0) if s in rare else script_chars(text, s)
+    return let(some, lambda there: let(F.struct(*[count(s, there).alias(s) for s in used]), from_counts))
+
+
+def _own_letters(p: Pack) -> bool:
+    """Whether each of the pack's words has a letter of the pack's scripts, so that a page with the word has the script."""
+    return all(any(script_of(c) in p.scripts for c in w) for w in p.words)
 
 
 def scores_of(words: Column, text: Column, packs: list[Pack]) -> Column:
     """array<struct<language, n>>, in the packs' order: how many distinct words of the page a pack lists, where any.
 
-    A pack in other scripts than the page's does not score.
+    A pack in other scripts than the page's does not score. The page's scripts are looked for only if some pack lists
+    words without letters of its scripts.
     """
     listed = [p for p in packs if p.words]
     if not listed:
         return F.array().cast("array<struct<language:string,n:bigint>>")
-    index = F.array(*[F.struct(F.lit(p.name).alias("language"), _strings(p.words).alias("words"), _strings(p.scripts).alias("scripts")) for p in listed])
-    on_page = _found(*[(s, text.rlike(letter_class(s))) for s in sorted({s for p in listed for s in p.scripts})])
-    known = F.array_intersect(words, _strings(sorted({w for p in listed for w in p.words})))
+    odd = {p.name for p in listed if p.scripts and not _own_letters(p)}
+    index = F.array(*[F.struct(F.lit(p.name).alias("language"), _strings(p.words).alias("words"), _strings(p.scripts if p.name in odd else ()).alias("scripts")) for p in listed])
+    on_page = _found(*[(s, text.rlike(letter_class(s))) for s in sorted({s for p in listed for s in p.scripts}) if odd])
+    # the second list of an intersection is the one that is hashed: the shorter
+    known = F.array_intersect(_strings(sorted({w for p in listed for w in p.words})), words)
 
     def scored(x: Column) -> Column:
         fits = lambda p: (F.size(p["scripts"]) == 0) | (F.size(x["on"]) == 0) | F.arrays_overlap(p["scripts"], x["on"])
-        each = F.transform(index, lambda p: F.struct(p["language"].alias("language"), F.when(fits(p), F.size(F.array_intersect(x["known"], p["words"]))).otherwise(0).cast("long").alias("n")))
+        each = F.transform(index, lambda p: F.struct(p["language"].alias("language"), F.when(fits(p), F.size(F.array_intersect(p["words"], x["known"]))).otherwise(0).cast("long").alias("n")))
         return F.filter(each, lambda s: s["n"] > 0)
 
     return let(F.struct(known.alias("known"), on_page.alias("on")), scored)
