@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, packing, quality, simhash, topk, toxicity, url_filter, warc
+from . import alignment, hard_negatives, langid, media, mixing, packing, quality, sentencepieces, simhash, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc": warc.op9_warc,
     "op10_quality": quality.op10_quality,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_sentencepiece": sentencepieces.op12_sentencepiece,
+    "op13_cross_tokenizer": alignment.op13_cross_tokenizer,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE_OP1,
     "op5_exact_topk": topk.ORACLE_OP5,
     "op9_warc": warc.ORACLE_OP9,
+    "op11_hard_negatives": hard_negatives.ORACLE_OP11,
 }
