@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .edges import locate  # noqa: F401
+
 
 def in_ring(ring: Column, lon: Column, lat: Column) -> Column:
     """Even-odd rule over the ring's edges, the closing edge included."""
@@ -39,40 +41,6 @@ def vertex_mean(rings: Column) -> Column:
     return F.struct((total(0) / F.size(points)).alias("lon"), (total(1) / F.size(points)).alias("lat"))
 
 
-def _inner(rings: Column, x: Column, y: Column, cell: float) -> Column:
-    """Whether the cell at (x, y) lies wholly inside: no edge's box meets it, and its middle is inside."""
-    west, south = x * cell, y * cell
-
-    def near(p: Column, q: Column) -> Column:
-        return (F.least(p[0], q[0]) <= west + cell) & (F.greatest(p[0], q[0]) >= west) & (F.least(p[1], q[1]) <= south + cell) & (F.greatest(p[1], q[1]) >= south)
-
-    def touched(ring: Column) -> Column:
-        turned = F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.size(ring) - 1))
-        return F.exists(F.zip_with(ring, turned, near), lambda t: t)
-
-    return ~F.exists(rings, touched) & in_polygon(rings, west + cell / 2, south + cell / 2)
-
-
-def locate(points: DataFrame, areas: DataFrame, cell: float = 1.0) -> DataFrame:
-    """points (point_id, lon, lat) joined to the areas (area_id, rings) that hold them; the least area_id of several.
-
-    Grid cells make the spatial join an equi-join: an area offers its id to the cells of its box, a point looks in its
-    own. A point in a cell that lies wholly inside an area is told without its rings; the rings are joined by the
-    area's id to the other points only, and are never copied into cells.
-    """
-    box = bbox(F.col("rings")[0])
-    cells = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    a = areas.select("area_id", "rings", box.alias("b"))
-    a = a.withColumn("_x", F.explode(cells(F.col("b.west"), F.col("b.east")))).withColumn("_y", F.explode(cells(F.col("b.south"), F.col("b.north"))))
-    a = a.select("area_id", "_x", "_y", _inner(F.col("rings"), F.col("_x"), F.col("_y"), cell).alias("_inner"))
-    a = a.groupBy("area_id", "_x", "_y").agg(F.max("_inner").alias("_inner"))
-    p = points.withColumn("_x", F.floor(F.col("lon") / cell)).withColumn("_y", F.floor(F.col("lat") / cell))
-    near = p.join(a, ["_x", "_y"]).select("point_id", "lon", "lat", "area_id", "_inner")
-    tested = near.where("not _inner").join(areas.select("area_id", "rings"), "area_id").where(in_polygon(F.col("rings"), F.col("lon"), F.col("lat")))
-    hit = near.where("_inner").select("point_id", "area_id").unionByName(tested.select("point_id", "area_id"))
-    return hit.groupBy("point_id").agg(F.min("area_id").alias("area_id"))
-
-
 def nearest_area(points: DataFrame, areas: DataFrame, within: float = 5.0) -> DataFrame:
     """(point_id, area_id): the area whose vertex mean is nearest in degrees, closer than `within`; the least id of equals.
 
@@ -192,44 +160,8 @@ def simplify(areas: DataFrame, tolerance: float, how: str = "close") -> DataFram
     return areas.mapInPandas(run, areas.schema)
 
 
-def stitch(lines: list[list], near: float = 1e-9) -> list[list]:
-    """Closed rings from line pieces that meet at their ends, in either direction."""
-    left, rings = [[tuple(p) for p in line] for line in lines if len(line) > 1], []
-    meets = lambda a, b: abs(a[0] - b[0]) <= near and abs(a[1] - b[1]) <= near
-    while left:
-        ring, grown = left.pop(0), True
-        while grown and not meets(ring[0], ring[-1]):
-            grown = False
-            for i, other in enumerate(left):
-                for piece in (other, other[::-1]):
-                    if meets(ring[-1], piece[0]):
-                        ring, grown = ring + piece[1:], True
-                        break
-                    if meets(ring[0], piece[-1]):
-                        ring, grown = piece[:-1] + ring, True
-                        break
-                if grown:
-                    left.pop(i)
-                    break
-        if not meets(ring[0], ring[-1]):
-            ring = [*ring, ring[0]]
-        if len(ring) >= 4:
-            rings.append([list(p) for p in ring])
-    return rings
-
-
-def stitch_relations(pieces: DataFrame) -> DataFrame:
-    """pieces (relation_id, role, line) -> (relation_id, role, n, ring): the rings of each relation's pieces, numbered from 0."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = [(pdf["relation_id"].iloc[0], role, n, ring) for role, part in pdf.groupby("role", sort=True) for n, ring in enumerate(stitch(part["line"].tolist()))]
-        return pd.DataFrame(r, columns=["relation_id", "role", "n", "ring"])
-
-    return pieces.groupBy("relation_id").applyInPandas(run, "relation_id long, role string, n int, ring array<array<double>>")
-
-
 def assemble(rings: DataFrame) -> DataFrame:
-    """Rings of stitch_relations -> (relation_id, n, rings), a polygon a row: a hole goes to the first outer ring around its first corner.
+    """Rings of relations.stitch_relations -> (relation_id, n, rings), a polygon a row: a hole goes to the first outer ring around its first corner.
 
     Holes in no outer ring go, a relation without outer rings has no row.
     """

@@ -9,6 +9,7 @@ from ..functions import names as N
 from ..operators import geo as G
 from ..operators import history as Hi
 from ..operators import records as R
+from ..operators.relations import stitch_relations
 
 #: Squares on a grid, one with a hole; the points derived from customers fall in and between them.
 AREAS = [(i + 1, f"area{i + 1}", x, y) for i, (x, y) in enumerate((x, y) for x in range(-160, 160, 40) for y in range(-60, 60, 30))]
@@ -187,7 +188,7 @@ def ring_stitch(spark, sf_dir):
     lines = (F.array(corner(0, 0), corner(1, 0)), F.array(corner(1, 1), corner(1, 0)), F.array(corner(1, 1), corner(0, 1), corner(0, 0)))
     pieces = p.select(F.col("point_id").alias("relation_id"), F.explode(F.array(*lines)).alias("line")).select("relation_id", F.when(F.col("relation_id") % 2 == 0, "outer").otherwise("inner").alias("role"), "line")
     ring = F.col("ring")
-    return G.stitch_relations(pieces).select("relation_id", "role", "n", F.size(ring).alias("points"), _total(ring, 0).alias("lon"), _total(ring, 1).alias("lat"))
+    return stitch_relations(pieces).select("relation_id", "role", "n", F.size(ring).alias("points"), _total(ring, 0).alias("lon"), _total(ring, 1).alias("lat"))
 
 
 def _total(ring, i):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from polyglyph.functions.urls import normalize_url
-from polyglyph.operators import classify, geo, records
+from polyglyph.operators import classify, geo, records, relations
 from polyglyph.sources.languages import load_packs
 
 PACKS = load_packs()
@@ -39,6 +39,6 @@ def test_classify_script(spark):
 
 
 def test_stitch_and_simplify():
-    ring = geo.stitch([[[0, 0], [1, 0]], [[1, 1], [1, 0]], [[1, 1], [0, 1], [0, 0]]])[0]
+    ring = relations.stitched([[[0, 0], [1, 0]], [[1, 1], [1, 0]], [[1, 1], [0, 1], [0, 0]]])[0][1]
     assert ring[0] == ring[-1] and len(ring) == 5
     assert geo.simplify_ring([[0, 0], [1, 0.00001], [2, 0], [2, 2], [0, 2], [0, 0]], 0.005) == [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
