@@ -127,7 +127,7 @@ def area_index(countries: DataFrame, admin1: DataFrame) -> DataFrame:
     by_id = c.groupBy(F.col("osm_id").alias("parent_osm_id")).agg(F.max("name").alias("_b"))
     named = a.join(by_iso, "parent_iso", "left").join(by_id, "parent_osm_id", "left").withColumn("parent_name", F.coalesce("_a", "_b", F.lit(""))).drop("_a", "_b")
     rows = named.unionByName(c, allowMissingColumns=True)
-    return rows.withColumn("key", plain_key(F.col("name"))).withColumn("iso_key", plain_key(F.col("iso")))
+    return rows.withColumn("key", folded_key(F.col("name"))).withColumn("iso_key", folded_key(F.col("iso")))
 
 
 def search_rank(key: Column, iso_key: Column, query: str) -> Column:
@@ -138,7 +138,7 @@ def search_rank(key: Column, iso_key: Column, query: str) -> Column:
 
 
 def search_areas(index: DataFrame, remote: DataFrame, query: str, most: int = MOST_HITS) -> DataFrame:
-    """The best areas for a query (a plain key): the index's own if the best of them is equal or a prefix, else with the remote ones.
+    """The best areas for a query (a folded key): the index's own if the best of them is equal or a prefix, else with the remote ones.
 
     remote: rows of the index's columns that another search found. An area found by both is the index's. Both sides are
     cut to the `most` best before they are compared, which is all that a search shows.

@@ -256,7 +256,7 @@ def primary_language(pages: DataFrame, packs: list[Pack], key: str = "id", html:
 
 
 #: Words that a page must have for its label to count in a history.
-MIN_WORDS_FOR_LABEL = 12
+MIN_WORDS_FOR_LABEL = 25
 
 
 def usable(words: Column, available: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_url
+from .classify import label_state
+
 
 def month_index(text: Column) -> Column:
     """year * 12 + month - 1 of yyyy-mm, yyyymm or a longer stamp of either form."""
@@ -25,20 +28,27 @@ def month_stamp(index: Column) -> Column:
 
 #: Rows of a key from which on its rows are dealt to ranges of time, and the most ranges.
 HOT_ROWS, MOST_RANGES = 1_000_000, 500
+#: Values that are sampled for each range.
+SAMPLED = 200
 
 
 def _ranges(df: DataFrame, key: list[str], at: str, hot_rows: int) -> Column | None:
-    """The range of `at` (a number, a time or a stamp) that a row is in, of about hot_rows rows of the large keys; None without such keys."""
+    """The range of `at` (of any type that has an order) that a row is in, of about hot_rows rows of the large keys; None without such keys.
+
+    Ranges are cut at values of a sample, by the order of the column's own type; a null is in the first.
+    """
     large = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    most = large.agg(F.max("_n")).first()[0]
+    most, total = large.agg(F.max("_n"), F.sum("_n")).first()
     if most is None:
         return None
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
     theirs = df.join(large.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]), same, "left_semi")
     n = min(MOST_RANGES, most // hot_rows + 1)
-    cuts = theirs.select(F.col(at).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.25 / n)
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
-    return F.aggregate(bounds, F.lit(0), lambda k, c: k + F.coalesce(c < F.col(at).cast("double"), F.lit(False)).cast("int"))
+    share = min(1.0, n * SAMPLED / total)
+    values = sorted(r[0] for r in theirs.where(F.col(at).isNotNull()).select(at).sample(share, 7).collect())  # about n * SAMPLED
+    cuts = sorted({values[len(values) * i // n] for i in range(1, n)}) if values else []
+    bounds = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{df.schema[at].dataType.simpleString()}>")
+    return F.aggregate(bounds, F.lit(0), lambda k, c: k + F.coalesce(c < F.col(at), F.lit(False)).cast("int"))
 
 
 def runs(df: DataFrame, key: list[str], order: list[str], state: list[str], *, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -68,16 +78,18 @@ def runs(df: DataFrame, key: list[str], order: list[str], state: list[str], *, h
     return local.join(carried, same).select(*df.columns, (F.col("_before") + F.col("_in")).cast("int").alias("run"))
 
 
-def intervals(df: DataFrame, key: list[str], order: list[str], state: str, at: str, *, available: str | None = None, path: str | None = None) -> DataFrame:
+def intervals(df: DataFrame, key: list[str], order: list[str], state: str, at: str, *, available: str | None = None, path: str | None = None, primary: str | None = None) -> DataFrame:
     """One row per run: key, run, from, to, primary, observations; with the union of `available` and the modal `path`.
 
+    A run is of equal `state`; primary is the column of that name if one is given (a part of the state), else the state.
+
     Rows without anything available are left out before runs are formed, so a state goes on across them. Of equally
     frequent paths the one seen first in the run wins.
     """
     if available:
         df = df.where(F.size(available) > 0)
     with_runs = runs(df, key, order, [state])
-    aggs = [F.min(at).alias("from"), F.max(at).alias("to"), F.first(state).alias("primary"), F.count(F.lit(1)).alias("observations")]
+    aggs = [F.min(at).alias("from"), F.max(at).alias("to"), F.first(primary or state).alias("primary"), F.count(F.lit(1)).alias("observations")]
     if available:
         aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set(available)))).alias("available"))
     out = with_runs.groupBy(*key, "run").agg(*aggs)
@@ -86,23 +98,59 @@ def intervals(df: DataFrame, key: list[str], order: list[str], state: str, at: s
     return out
 
 
-def with_histories(records: DataFrame, spans: DataFrame, url: str, key: str = "url") -> DataFrame:
-    """records with lang_history, the list of their URL's intervals in order; null for a URL without any.
+def landing_path(url: Column) -> Column:
+    """The path of a URL without parameters; `/` for none."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.coalesce(F.nullif(F.regexp_replace(path, ";[^/]*$", ""), F.lit("")), F.lit("/"))
+
 
-    spans: intervals() by `key`. A history is as long as its changes, so the list is short.
+def label_histories(observations: DataFrame, track: str = "primary", key: str = "url") -> DataFrame:
+    """The intervals of each key over its observations (snapshot, date, final_url, primary, available), in whatever order they came.
+
+    A state is the primary language, or with track `available` that and the list; primary stays the language in both.
     """
+    state = label_state(F.col("primary"), F.col("available"), track)
+    df = observations.withColumn("_state", state).withColumn("_path", landing_path(F.col("final_url")))
+    return intervals(df, [key], ["snapshot"], "_state", "date", available="available", path="_path", primary="primary")
+
+
+def listed(spans: DataFrame, key: str = "url") -> DataFrame:
+    """(key, lang_history): each key's intervals in order. A history is as long as its changes, so the list is short."""
     fields = [c for c in ("from", "to", "primary", "observations", "available", "landing_path") if c in spans.columns]
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("run", *fields))), lambda r: F.struct(*[r[c].alias(c) for c in fields]))
-    histories = spans.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_url")).agg(listed.alias("lang_history"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("run", *fields))), lambda r: F.struct(*[r[c].alias(c) for c in fields]))
+    return spans.where(F.col(key).isNotNull()).groupBy(key).agg(rows.alias("lang_history"))
+
+
+def with_histories(records: DataFrame, spans: DataFrame, url: str, key: str = "url") -> DataFrame:
+    """records with lang_history, the list of their URL's intervals; null for a URL without any. spans: intervals() by `key`."""
+    histories = listed(spans, key).withColumnRenamed(key, "_url")
     return records.drop("lang_history").join(histories, F.col(url) == F.col("_url"), "left").drop("_url")
 
 
+def annotate_histories(records: DataFrame, observations: DataFrame, website: str = "website", track: str = "primary") -> DataFrame:
+    """records with lang_history and history_state, from their websites and an observation log.
+
+    A website is normalised and looked up among the observations' URLs. history_state is no_history without observations,
+    no_usable_label if none of them names a language, else with_history; only then is an older lang_history replaced.
+    """
+    kept = F.col("lang_history") if "lang_history" in records.columns else None
+    seen = observations.where(F.col("url").isNotNull()).groupBy(F.col("url").alias("_url")).agg(F.lit(True).alias("_seen"))
+    new = listed(label_histories(observations, track)).select(F.col("url").alias("_key"), F.col("lang_history").alias("_new"))
+    rows = records.withColumn("_site", normalize_url(F.col(website))).join(seen, F.col("_site") == F.col("_url"), "left").join(new, F.col("_site") == F.col("_key"), "left")
+    said = F.when(F.col("_seen").isNull(), "no_history").when(F.col("_new").isNull(), "no_usable_label").otherwise("with_history")
+    history = F.col("_new") if kept is None else F.coalesce("_new", kept)
+    others = [c for c in records.columns if c not in ("lang_history", "history_state")]
+    return rows.select(*others, history.alias("lang_history"), said.alias("history_state"))
+
+
 def history_counts(records: DataFrame) -> DataFrame:
-    """(state, n): records without a history, with one, with several intervals, and with several on one landing path."""
+    """(state, n): records by history_state; of those with a history, the ones of several intervals, on one landing path or not, and `first -> last`."""
     h = F.col("lang_history")
-    several = F.size(h) > 1
+    several = (F.col("history_state") == "with_history") & (F.size(h) > 1)
     paths = F.size(F.array_distinct(F.transform(h, lambda r: r["landing_path"]))) == 1
-    said = F.array_compact(F.array(F.when(h.isNull(), "no_history").otherwise("with_history"), F.when(several, "changed"), F.when(several & paths, "changed_same_landing_path"), F.when(several & ~paths, "changed_and_moved")))
+    first, last = h[0]["primary"], F.element_at(h, -1)["primary"]
+    turn = F.when(several & ~first.eqNullSafe(last), F.concat(F.coalesce(first, F.lit("None")), F.lit(" -> "), F.coalesce(last, F.lit("None"))))
+    said = F.array_compact(F.array(F.col("history_state"), F.when(several, "changed"), F.when(several & paths, "changed_same_landing_path"), F.when(several & ~paths, "changed_with_landing_path_move"), turn))
     return records.select(F.explode(said).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -79,12 +79,39 @@ def shard(urls: DataFrame, k: int, n: int, order: str = "first_row") -> DataFram
     return local.join(F.broadcast(before), "_part").withColumn("position", position.cast("long")).where(F.col("position") % n == k).drop("_part", "_at", "_before")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], sticky: list[str]) -> DataFrame:
-    """Rows of new over rows of old by key; a sticky column keeps its old value where there was one."""
-    rest = [c for c in old.columns if c not in key]
-    o = old.select(*key, F.lit(True).alias("_old"), *[F.col(c).alias(f"_o_{c}") for c in rest])
-    n = new.select(*key, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in rest])
-    pick = lambda c: F.coalesce(F.col(f"_o_{c}"), F.col(f"_n_{c}")) if c in sticky else F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))
+def _says(df: DataFrame, column: str) -> Column:
+    """Whether a value says something: not null, empty, zero or false."""
+    kind, c = df.schema[column].dataType.simpleString(), F.col(column)
+    if kind.startswith(("array", "map")):
+        return c.isNotNull() & (F.size(c) > 0)
+    if kind == "string":
+        return c.isNotNull() & (c != "")
+    if kind == "boolean" or kind.startswith("struct"):
+        return F.coalesce(c, F.lit(False)) if kind == "boolean" else c.isNotNull()
+    return c.isNotNull() & (c != F.lit(0).cast(kind)) if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) else c.isNotNull()
+
+
+def _one_row(df: DataFrame, key: list[str], sticky: list[str], order: str | None, name: str) -> DataFrame:
+    """One row a key: the last by `order`, with the first sticky values that say something."""
+    rest = [c for c in df.columns if c not in (*key, order)]
+    at = F.col(order) if order and order in df.columns else F.struct(*rest)
+    firsts = [F.min(F.when(_says(df, c), F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"{name}{c}") for c in sticky if c in rest]
+    last = F.max_by(F.struct(*rest), at).alias("_last")
+    done = df.groupBy(*key).agg(last, *firsts)
+    pick = lambda c: F.col(f"{name}{c}.v") if c in sticky else F.col(f"_last.{c}")
+    return done.select(*key, F.lit(True).alias(name), *[pick(c).alias(f"{name}{c}") for c in rest])
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], sticky: list[str], order: str | None = None) -> DataFrame:
+    """Rows of new over rows of old by key; a sticky column keeps its old value where that says something.
+
+    Nulls, empty lists and texts, zeros and false say nothing. Of rows of one side that share a key the last by `order`
+    (a column of that side that is not kept, or the greatest row where there is none) counts, with the first of their
+    sticky values that says something.
+    """
+    rest = [c for c in old.columns if c not in (*key, order)]
+    o, n = _one_row(old, key, sticky, order, "_o_"), _one_row(new, key, sticky, order, "_n_")
+    pick = lambda c: F.coalesce(F.col(f"_o_{c}"), F.col(f"_n_{c}")) if c in sticky else F.when(F.col("_n_"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))
     return o.join(n, key, "full_outer").select(*key, *[pick(c).alias(c) for c in rest])
 
 

@@ -117,7 +117,7 @@ def overseas_areas(spark, sf_dir):
 
 def _index(spark, sf_dir):
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    countries = r.select((F.col("r_regionkey") + 1).cast("long").alias("osm_id"), F.col("r_name").alias("name"), F.concat(F.lit("r"), "r_regionkey").alias("iso"), F.lit("").alias("admin_level"))
+    countries = r.select((F.col("r_regionkey") + 1).cast("long").alias("osm_id"), F.when(F.col("r_regionkey") == 0, F.concat(F.lit("Québec Á "), "r_name")).otherwise(F.col("r_name")).alias("name"), F.concat(F.lit("r"), "r_regionkey").alias("iso"), F.lit("").alias("admin_level"))
     k = F.col("n_nationkey")
     admin1 = n.select((k + 100).cast("long").alias("osm_id"), F.col("n_name").alias("name"), F.concat(F.lit("R"), "n_regionkey", F.lit("-"), k).alias("iso"), F.lit("4").alias("admin_level"), F.when(k % 2 == 0, F.concat(F.lit("R"), "n_regionkey")).alias("parent_iso"), (F.col("n_regionkey") + 1).cast("long").alias("parent_osm_id"))
     return B.area_index(countries, admin1)
@@ -127,7 +127,7 @@ def area_rows(spark, sf_dir):
     return _index(spark, sf_dir).select("osm_id", "name", "kind", "key", "iso_key", "parent_iso", "parent_name")
 
 
-SEARCHES = ("nation1", "america", "r2", "ca")
+SEARCHES = ("nation1", "america", "r2", "ca", "quebec", "beca")
 
 
 def area_search(spark, sf_dir):
@@ -160,10 +160,10 @@ _PROVINCES = _values([(str(i), _q(c), _q(B.CENSUS_PROVINCES[c])) for i, c in enu
 _AREAS_SQL = """a AS (SELECT p_partkey AS shape_id, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey + 1000 END AS osm_id, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN 'AB-' || p_partkey % 100 ELSE '' END AS iso,
   p_partkey % 25 AS parent_osm_id, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE p_size % 4 + 3 END AS lv FROM part)"""
 _LABELS_SQL = _PAGE_LANGS_SQL + """, l AS (SELECT langs.page_id, url, array_to_string(languages, ',') AS available, len(words)::INT AS words, len(languages) > 0 AS labelled FROM langs JOIN w ON w.page_id = langs.page_id),
-  counted AS (SELECT *, words >= 12 AND labelled AS usable FROM l)"""
-_INDEX_SQL = """i AS (SELECT r_regionkey::BIGINT + 1 AS osm_id, r_name AS name, 'R' || r_regionkey AS iso, 'country' AS kind, NULL AS parent_iso, NULL AS parent_name FROM region
-  UNION ALL SELECT n_nationkey + 100, n_name, 'R' || n_regionkey || '-' || n_nationkey, 'subdivision_1', CASE WHEN n_nationkey % 2 = 0 THEN 'R' || n_regionkey ELSE '' END, r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
-  x AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, regexp_replace(lower(iso), '[^a-z0-9]+', '', 'g') AS iso_key FROM i)"""
+  counted AS (SELECT *, words >= 25 AND labelled AS usable FROM l)"""
+_INDEX_SQL = """i AS (SELECT r_regionkey::BIGINT + 1 AS osm_id, CASE WHEN r_regionkey = 0 THEN 'Québec Á ' ELSE '' END || r_name AS name, 'R' || r_regionkey AS iso, 'country' AS kind, NULL AS parent_iso, NULL AS parent_name FROM region
+  UNION ALL SELECT n_nationkey + 100, n_name, 'R' || n_regionkey || '-' || n_nationkey, 'subdivision_1', CASE WHEN n_nationkey % 2 = 0 THEN 'R' || n_regionkey ELSE '' END, CASE WHEN r_regionkey = 0 THEN 'Québec Á ' ELSE '' END || r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
+  x AS (SELECT *, regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '', 'g') AS key, regexp_replace(lower(iso), '[^a-z0-9]+', '', 'g') AS iso_key FROM i)"""
 
 ORACLE_SQL = {
     "page_labels": _LABELS_SQL + " SELECT page_id, available, labelled, words, usable FROM counted",

@@ -72,6 +72,35 @@ def event_transitions(spark, sf_dir):
     return Hi.transitions(_spans(spark, sf_dir), ["user_id"])
 
 
+def event_annotation(spark, sf_dir):
+    """Customers as records and events as an observation log of their websites: the history of each, by both tracks."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    url = F.concat(F.lit("http://u"), "user_id")
+    both = F.when(k % 11 == 0, F.array().cast("array<string>")).when(k % 3 == 0, F.array(F.col("event_type"), F.lit("x"))).otherwise(F.array("event_type"))
+    path = F.when(k % 4 == 0, "").when(k % 4 == 1, "/").when(k % 4 == 2, "/a?q").otherwise("/b;p")
+    log = e.select(
+        url.alias("url"), F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lpad(k.cast("string"), 12, "0")).alias("snapshot"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.concat(url, path).alias("final_url"), F.col("event_type").alias("primary"), both.alias("available"),
+    )
+    c = F.col("c_custkey")
+    records = table(spark, sf_dir, "customer").select(c, F.when(c % 3 == 0, F.concat(F.lit(" u"), c, F.lit(" "))).when(c % 3 == 1, F.concat(F.lit("http://u"), c)).otherwise(F.concat(F.lit("mailto:u"), c)).alias("website"))
+    said = lambda h: F.array_join(F.transform(h, lambda i: F.concat_ws(":", i["from"], i["to"], i["primary"], i["observations"], F.array_join(i["available"], ","), i["landing_path"])), ";")
+    one, two = (Hi.annotate_histories(records, log, track=t) for t in ("primary", "available"))
+    two = two.select("c_custkey", said(F.col("lang_history")).alias("by_list"))
+    return one.select("c_custkey", "history_state", said(F.col("lang_history")).alias("by_primary")).join(two, "c_custkey")
+
+
+def event_annotation_counts(spark, sf_dir):
+    """How many of those records have a history, and changed, and from what to what."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    log = e.select(
+        F.concat(F.lit("http://u"), "user_id").alias("url"), F.lpad(k.cast("string"), 12, "0").alias("snapshot"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.when(k % 2 == 0, "http://x").otherwise("http://x/").alias("final_url"), F.col("event_type").alias("primary"), F.array("event_type").alias("available"),
+    )
+    records = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("website"))
+    return Hi.history_counts(Hi.annotate_histories(records, log))
+
+
 def interval_modal(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return Hi.modal(e, ["user_id"], "event_type", ["ts", "event_id"])
@@ -144,7 +173,7 @@ def area_bbox(spark, sf_dir):
 def place_search(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("area_id"), F.col("n_name").alias("name"), F.lit("country").alias("kind"))
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("area_id"), F.col("r_name").alias("name"), F.lit("subdivision_1").alias("kind"))
-    areas = n.unionByName(r).withColumn("key", A.plain_key(F.col("name")))
+    areas = n.unionByName(r).withColumn("key", A.folded_key(F.col("name")))
     return G.top_areas(areas, "key", "america", A.name_rank(F.col("key"), "america")).unionByName(G.top_areas(areas, "key", "nation1", A.name_rank(F.col("key"), "nation1")))
 
 
@@ -198,7 +227,7 @@ def _total(ring, i):
 
 QUERIES = {
     f.__name__: f
-    for f in (pending_urls, known_urls, label_merge, upsert_merge, event_intervals, event_transitions, interval_modal, nearest_snapshot, month_timeline, month_functions, name_pair_classify, tile_grid, point_in_polygon, nearest_centroid, area_share, way_centroid, area_bbox, place_search, best_extract, area_codes, mojibake, ring_simplify, ring_stitch)
+    for f in (pending_urls, known_urls, label_merge, upsert_merge, event_intervals, event_transitions, event_annotation, event_annotation_counts, interval_modal, nearest_snapshot, month_timeline, month_functions, name_pair_classify, tile_grid, point_in_polygon, nearest_centroid, area_share, way_centroid, area_bbox, place_search, best_extract, area_codes, mojibake, ring_simplify, ring_stitch)
 }
 
 _RUNS_SQL = """
@@ -222,6 +251,23 @@ ORACLE_SQL = {
       SELECT coalesce(a.k, b.k) AS k, coalesce(a.language, b.language) AS language, CASE WHEN b.k IS NOT NULL THEN b.name ELSE a.name END AS name FROM a FULL JOIN b ON a.k = b.k""",
     "event_intervals": _EVENTS_SQL + "SELECT k AS user_id, run, first_day, last_day, state AS primary, observations FROM spans",
     "event_transitions": _EVENTS_SQL + ", t AS (SELECT k, arg_min(state, run) AS from_state, arg_max(state, run) AS to_state, max(run) AS runs FROM spans GROUP BY k) SELECT from_state, to_state, count(*) AS n FROM t WHERE runs > 1 AND from_state <> to_state GROUP BY ALL",
+    "event_annotation": """WITH e AS (SELECT user_id AS k, strftime(ts, '%Y%m%d%H%M%S') || lpad(event_id::VARCHAR, 12, '0') AS snap, strftime(ts, '%Y-%m-%d') AS day, event_type AS p, CASE WHEN event_id % 3 = 0 THEN [event_type, 'x'] ELSE [event_type] END AS a,
+        CASE event_id % 4 WHEN 2 THEN '/a' WHEN 3 THEN '/b' ELSE '/' END AS path FROM events WHERE event_id % 11 <> 0),
+      t AS (SELECT *, unnest([p, array_to_string(a, ' ')]) AS state, unnest(['p', 'l']) AS track FROM e),
+      x AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY track, k ORDER BY snap)),
+      y AS (SELECT *, sum(new) OVER (PARTITION BY track, k ORDER BY snap) AS run FROM x),
+      paths AS (SELECT track, k, run, path, count(*) AS n, min(snap) AS f FROM y GROUP BY ALL),
+      best AS (SELECT track, k, run, first(path ORDER BY n DESC, f) AS path FROM paths GROUP BY ALL),
+      lists AS (SELECT track, k, run, array_to_string(list_sort(list_distinct(flatten(list(a)))), ',') AS a, min(day) AS d, max(day) AS u, any_value(p) AS p, count(*) AS n FROM y GROUP BY ALL),
+      h AS (SELECT track, k, string_agg(d || ':' || u || ':' || p || ':' || n || ':' || a || ':' || path, ';' ORDER BY run) AS said FROM lists JOIN best USING (track, k, run) GROUP BY ALL)
+      SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 OR c_custkey NOT IN (SELECT user_id FROM events) THEN 'no_history' WHEN a.said IS NULL THEN 'no_usable_label' ELSE 'with_history' END AS history_state,
+        CASE WHEN c_custkey % 3 < 2 THEN a.said END AS by_primary, CASE WHEN c_custkey % 3 < 2 THEN b.said END AS by_list
+      FROM customer LEFT JOIN h a ON a.k = c_custkey AND a.track = 'p' LEFT JOIN h b ON b.k = c_custkey AND b.track = 'l'""",
+    "event_annotation_counts": """WITH x AS (SELECT user_id AS k, event_id AS snap, event_type AS p, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM events WHERE user_id IN (SELECT c_custkey FROM customer)),
+      h AS (SELECT k, sum(new) AS runs, arg_min(p, snap) AS a, arg_max(p, snap) AS b FROM x GROUP BY k),
+      s AS (SELECT unnest(['with_history', CASE WHEN runs > 1 THEN 'changed' END, CASE WHEN runs > 1 THEN 'changed_same_landing_path' END, CASE WHEN runs > 1 AND a <> b THEN a || ' -> ' || b END]) AS state FROM h
+        UNION ALL SELECT 'no_history' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events))
+      SELECT state, count(*) AS n FROM s WHERE state IS NOT NULL GROUP BY 1""",
     "interval_modal": "WITH c AS (SELECT user_id, event_type, count(*) AS n, min((ts, event_id)) AS f FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS rn FROM c) SELECT user_id, event_type FROM r WHERE rn = 1",
     "nearest_snapshot": f"""WITH s AS (SELECT DISTINCT o_custkey AS site, {_MONTH.format('o_orderdate')} AS seen FROM orders), w AS (SELECT c_custkey AS site, unnest(range(23904, 23977, 6))::INT AS month FROM customer),
       r AS (SELECT site, month, seen, row_number() OVER (PARTITION BY site, month ORDER BY abs(seen - month), seen) AS rn FROM w JOIN s USING (site) WHERE abs(seen - month) <= 9) SELECT site, month, seen FROM r WHERE rn = 1""",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import intervals
+from ..operators.history import label_histories
 from ..sources.records import OBSERVATION, split_log
 
 KEY = ["url", "snapshot"]
@@ -63,8 +63,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, *, di
 
 def histories(observations: DataFrame, track: str = "primary") -> DataFrame:
     """The intervals of each URL over all that is stored, in whatever order it arrived."""
-    path = F.regexp_extract("final_url", r"^https?://[^/?#]*([^?#]*)", 1)
-    return intervals(observations.withColumn("path", path), ["url"], ["snapshot"], track, "date", available="available", path="path")
+    return label_histories(observations, track)
 
 
 def pending(urls: DataFrame, markers: DataFrame) -> DataFrame:

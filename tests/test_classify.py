@@ -183,7 +183,7 @@ def test_a_language_is_added_by_a_file(spark, tmp_path):
 
 
 def test_usable_and_state(spark):
-    df = spark.createDataFrame([(12, ["a"], "a"), (11, ["a"], "a"), (12, [], None)], "words int, available array<string>, primary string")
+    df = spark.createDataFrame([(25, ["a"], "a"), (24, ["a"], "a"), (25, [], None)], "words int, available array<string>, primary string")
     assert [r.u for r in df.select(C.usable(F.col("words"), F.col("available")).alias("u")).collect()] == [True, False, False]
     row = df.select(C.label_state(F.col("primary"), F.col("available")).alias("p"), C.label_state(F.col("primary"), F.col("available"), "available").alias("a")).first()
     assert row.p == ("a",) and row.a == ("a", ["a"])

@@ -53,7 +53,6 @@ def test_histories_in_records(spark):
     got = {r.id: r.lang_history and [(h["from"], h["to"], h["primary"], h["observations"], h["landing_path"]) for h in r.lang_history] for r in done.collect()}
     a = [("2019-01-01", "2019-02-01", "uk", 2, "/"), ("2019-03-01", "2019-03-01", "ru", 1, "/ru"), ("2019-04-01", "2019-04-01", "uk", 1, "/")]
     assert got == {1: a, 2: a, 3: [("2020-01-01", "2020-01-01", "ru", 1, "/")], 4: None, 5: None}
-    assert {r.state: r.n for r in Hi.history_counts(done).collect()} == {"no_history": 2, "with_history": 3, "changed": 2, "changed_and_moved": 2}
     assert {r.url: r.moved for r in Hi.moved(spans, ["url"]).collect()} == {"a": True}
 
 
