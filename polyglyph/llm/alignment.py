@@ -3,13 +3,16 @@
 The spans of a text's B tokens are a static interval index; the span of each A token stabs it by bisection and gets the
 B tokens it overlaps. Offsets at which tokens of both end, the gaps that no token spans, bound the groups.
 
-Documents are aligned in blocks of bounded bytes. A block's links are counted by id pair before anything is shuffled,
-pairs are summed over all blocks by key, and the sums return to the blocks that asked for them, not to every link.
+Neither tokenizer joins text across a single space between words, so a word with the space before it is aligned once and
+kept; a text with other white space is one such unit as a whole. Documents are taken in blocks of bounded bytes. A
+block's links are counted by unit and id pair before anything is shuffled, pairs are summed over all blocks by key, and
+the sums return to the blocks that asked for them, not to every link.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,14 +24,16 @@ from pyspark.sql import functions as F
 from . import packing, sentencepieces
 from .common import materialize, table
 
-#: Bytes of text of a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
-#: Documents of a block.
-BLOCK_DOCS = 20_000
+#: Characters of text of a block; a longer text is a block of its own. Documents of a block.
+BLOCK_SIZE, BLOCK_DOCS = 4 << 20, 20_000
+#: Units, and characters of them, that a worker keeps from one block to the next.
+CACHE_UNITS, CACHE_CHARACTERS = 400_000, 16 << 20
+#: New units that are aligned together, and those of them that are encoded as one string.
+TOGETHER, STRING = 20_000, 100
 #: A pair of ids (a, b) is the number a * PAIR + b.
 PAIR = 1 << 32
 
-ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, pairs array<long>, counts array<long>"
+ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, sizes binary, places binary, pairs array<long>, counts array<long>"
 SCORES = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -47,50 +52,88 @@ def align(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.
     return first, last, np.searchsorted(gaps, ends_a), np.searchsorted(gaps, ends_b)
 
 
-class SpacedEncoder(packing.Encoder):
-    """Ids of a space and a text after it; strings of special tokens are plain text."""
-
-    def spaced(self, text: str) -> np.ndarray:
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return np.frombuffer(self.whole(" " + text), "<u4")
-        out, get = [], self.known.get
-        for n, line in enumerate(text.split("\n")):
-            head, *rest = line.split(" ")
-            out.append(self.word("\n" + head) if n else self.word(head, " "))
-            ids = list(map(get, rest))
-            out += [self.word(w, " ") if i is None else i for i, w in zip(ids, rest)] if None in ids else ids
-        return np.frombuffer(b"".join(out), "<u4")
-
-
 class Tokenizers:
-    """The two tokenizers of a Python worker, with the length of every token's bytes."""
+    """The two tokenizers of a Python worker and the units it has aligned.
+
+    A unit is a number: its place in `texts`, which are its groups, and in numbers().
+    """
 
     def __init__(self, a: str, b: str):
-        self.a, self.b = SpacedEncoder(a), sentencepieces.encoder(b)
+        self.a, self.b = packing.encoder(a), sentencepieces.encoder(b)
         self.lengths_a = np.array([len(self.a.bpe.decode_single_token_bytes(i)) for i in range(self.a.bpe.n_vocab)], np.int64)
         self.lengths_b = self.b.lengths
         #: An id as text before another of its list, before the other list, and at its group's end.
         self.words = [f"{i}{sign}" for sign in ",|;" for i in range(max(len(self.lengths_a), len(self.lengths_b)))]
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of space + text by A and of text by B; none where the bytes of either are not those of space + text.
-
-        A's tokens always give back their text; B's give back the normalised text, with spaces for its signs.
-        """
-        none, spaced = np.zeros(0, "<u4"), " " + text
-        normal = self.b.normalize(text)[0]
-        if not text or normal != spaced:
-            return none, none
-        return self.a.spaced(text), self.b.normalized(normal)
-
-    def groups_text(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-        """`a1,a2|b1;a3|b2,b3`: the ids of each group in order."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.texts: list[str] = []
+        self._pairs: list[np.ndarray] = []
+        self._numbers: list[np.ndarray] = []
+        self.size = 0
+
+    def numbers(self) -> np.ndarray:
+        """For each unit its tokens of A and of B, groups and links."""
+        self._numbers = [np.concatenate([np.zeros((0, 4), np.int64), *self._numbers])]
+        return self._numbers[0]
+
+    def pairs(self) -> np.ndarray:
+        """The links of all units, one unit after the other."""
+        self._pairs = [np.concatenate([np.zeros(0, np.int64), *self._pairs])]
+        return self._pairs[0]
+
+    def align_units(self, units: list[str], strings: list[str]) -> None:
+        """Aligns units, each a text with the space before it, and keeps them; `strings` are the same text, cut as it is to be encoded."""
+        ids_a, ids_b = map(self.a.bpe.encode_ordinary, strings), self.b.words.encode(strings, num_threads=1)
+        a, b = (np.concatenate([np.array(i, np.int64) for i in x]) for x in (ids_a, ids_b))
+        lengths_a, lengths_b = self.lengths_a[a], self.lengths_b[b]
+        first, last, group_a, group_b = align(lengths_a, lengths_b)
+        n = last - first
+        ends = np.concatenate([[0], np.cumsum(n)])
+        self._pairs.append(np.repeat(a, n) * PAIR + b[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])])
+        borders = np.cumsum([0, *[len(u.encode()) for u in units]])
+        cuts_a, cuts_b = (np.searchsorted(np.concatenate([[0], np.cumsum(x)]), borders) for x in (lengths_a, lengths_b))
+        groups = np.append(group_a, group_a[-1] + 1)[cuts_a]
+        self._numbers.append(np.diff(np.stack([cuts_a, cuts_b, groups, ends[cuts_a]], axis=1), axis=0))
+        words, cuts = self.group_words(a, b, group_a, group_b), (cuts_a + cuts_b).tolist()
+        self.known.update(zip(units, range(len(self.texts), len(self.texts) + len(units))))
+        self.texts += ["".join(words[i:j]) for i, j in zip(cuts, cuts[1:])]
+        self.size += int(borders[-1])
+
+    def group_words(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
+        """The ids of each group in order, A's before B's, each with the sign that comes after it."""
         n, groups = len(self.words) // 3, np.arange(group_a[-1] + 1)
         words = np.empty(len(a) + len(b), np.int64)
         sign = lambda g, last: np.append(g[1:] != g[:-1], True) * (last * n)
         words[np.arange(len(a)) + np.searchsorted(group_b, groups)[group_a]] = a + sign(group_a, 1)
         words[np.arange(len(b)) + np.searchsorted(group_a, groups, "right")[group_b]] = b + sign(group_b, 2)
-        return "".join(map(self.words.__getitem__, words.tolist()))[:-1]
+        return list(map(self.words.__getitem__, words.tolist()))
+
+    def units(self, texts: list[str]) -> list[list[int]]:
+        """The units of space + text, for each text; none where A's or B's tokens do not give back its bytes.
+
+        A's tokens always give back their text; B's give back the normalised text, with spaces for its signs.
+        """
+        words, new, odd = [], {}, {}
+        for text in texts:
+            if not text or self.b.normalize(text)[0] != " " + text:
+                words.append([])
+            elif " ".join(text.split()) == text.replace("\n", " "):
+                mine = [" " + w for w in text.split(" ")]
+                new.update((w, None) for w in mine if w not in self.known)
+                words.append(mine)
+            else:
+                odd[" " + text] = None
+                words.append([" " + text])
+        fresh = list(new)
+        for k in range(0, len(fresh), TOGETHER):
+            part = fresh[k : k + TOGETHER]
+            self.align_units(part, ["".join(part[i : i + STRING]) for i in range(0, len(part), STRING)])
+        for text in odd:
+            if text not in self.known:
+                self.align_units([text], [text])
+        return [list(map(self.known.__getitem__, w)) for w in words]
 
 
 _tokenizers: dict[tuple[str, str], Tokenizers] = {}
@@ -103,42 +146,45 @@ def tokenizers(a: str, b: str) -> Tokenizers:
     return _tokenizers[a, b]
 
 
-def align_block(ids: list, texts: list[str], code: Tokenizers) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Per document (doc_id, n_a, n_b, n_groups, n_links, digest, links), and the block's pairs, most frequent first, with their counts.
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as compressed little-endian unsigned 32-bit ones."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").tobytes())
+
 
-    A document's links are places in the block's pairs, sorted, as compressed little-endian unsigned 32-bit numbers.
+def _expanded(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if data else b"", "<u4")
+
+
+def align_block(ids: list, texts: list[str], code: Tokenizers) -> tuple[list[tuple], tuple]:
+    """Per document (doc_id, n_a, n_b, n_groups, n_links, digest, units), and the block's (sizes, places, pairs, counts).
+
+    A document's units are sorted places among the block's units; `sizes` are these units' numbers of links and `places`
+    the links' places among the block's pairs, which `counts` has how many links of.
     """
-    rows, keys, sizes = [], [], []
-    for text in texts:
-        a, b = code.tokens(text)
-        if not len(a):
-            rows.append((0, 0, 0, 0, ""))
-            sizes.append(0)
-            continue
-        first, last, group_a, group_b = align(code.lengths_a[a], code.lengths_b[b])
-        n = last - first
-        total = int(n.sum())
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-        keys.append(np.repeat(a.astype(np.int64), n) * PAIR + b[at])
-        sizes.append(total)
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        rows.append((len(a), len(b), int(group_a[-1]) + 1, total, hashlib.sha256(code.groups_text(a, b, group_a, group_b).encode()).hexdigest()))
-    pairs, where, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    links = np.sort((np.repeat(np.arange(len(texts)), sizes) << 32) + rank[where])  # by document, then by place
-    links = (links & 0xFFFFFFFF).astype("<u4")
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    out = [(i, *row, squeeze(links[cuts[k] : cuts[k + 1]].tobytes()) if row[3] else b"") for k, (i, row) in enumerate(zip(ids, rows))]
-    return out, pairs[order], counts[order]
-
-
-def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document (pairs null) and one per block (pairs and counts)."""
+    found = code.units(texts)
+    lengths = np.array([len(f) for f in found], np.int64)
+    used, where, often = np.unique(np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), return_inverse=True, return_counts=True)
+    every = code.numbers()
+    numbers = every[used]
+    cuts = np.concatenate([[0], np.cumsum(lengths)])
+    running = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[where], axis=0)])
+    totals = (running[cuts[1:]] - running[cuts[:-1]]).tolist()
+    sorted_ = np.sort((np.repeat(np.arange(len(texts)), lengths) << 32) + where) & 0xFFFFFFFF
+    digest = lambda f: hashlib.sha256("".join(map(code.texts.__getitem__, f))[:-1].encode()).hexdigest() if f else ""
+    rows = [(i, *totals[k], digest(f), _squeezed(sorted_[cuts[k] : cuts[k + 1]])) for k, (i, f) in enumerate(zip(ids, found))]
+    sizes = numbers[:, 3]
+    starts = np.concatenate([[0], np.cumsum(every[:, 3])])[used]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    links = code.pairs()[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+    pairs, places = np.unique(links, return_inverse=True)
+    counts = np.bincount(places, np.repeat(often, sizes), len(pairs)).astype(np.int64)
+    return rows, (_squeezed(sizes), _squeezed(places), pairs, counts)
+
+
+def aligned(docs: DataFrame, a: str, b: str, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """A row per document (pairs null) and one per block (doc_id null; its pairs and what its units are)."""
     names = [x.split()[0] for x in ALIGNED.split(", ")]
-    kinds = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * 3 + [pa.list_(pa.int64())] * 2
 
     def run(batches):
         from pyspark import TaskContext
@@ -146,8 +192,10 @@ def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = BLOCK_BYTES) ->
         code, block = tokenizers(a, b), TaskContext.get().partitionId() << 33
 
         def send(ids, texts):
-            done, pairs, counts = align_block(ids, texts, code)
-            rows = [(block, *r, None, None) for r in done] + [(block, *[None] * 7, pairs, counts)]
+            done, whole = align_block(ids, texts, code)
+            rows = [(block, *r, None, None, None, None) for r in done] + [(block, *[None] * 7, *whole)]
+            if len(code.texts) > CACHE_UNITS or code.size > CACHE_CHARACTERS:
+                code.forget()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
         held: tuple[list, list] = ([], [])
@@ -155,7 +203,7 @@ def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = BLOCK_BYTES) ->
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py() or ""
-                if held[0] and (size + len(text) > block_bytes or len(held[0]) >= BLOCK_DOCS):
+                if held[0] and (size + len(text) > block_size or len(held[0]) >= BLOCK_DOCS):
                     yield send(*held)
                     held, size, block = ([], []), 0, block + 1
                 held[0].append(doc_id)
@@ -167,21 +215,25 @@ def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = BLOCK_BYTES) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ALIGNED)
 
 
-def _score(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _score(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """A block's documents with the corpus-wide counts of the block's pairs."""
     names = [x.split()[0] for x in SCORES.split(", ")]
-    if not len(docs):
+    own = rows["sizes"].notna()
+    if not own.any():
         return pd.DataFrame(columns=names)
+    sizes, places = (_expanded(rows.loc[own, c].iloc[0]).astype(np.int64) for c in ("sizes", "places"))
+    unit = np.repeat(np.arange(len(sizes)), sizes)
     at = known["place"].to_numpy()
-    count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    count[at], best[at] = known["count"].to_numpy(), known["best"].to_numpy()
-    expand = zstandard.ZstdDecompressor().decompress
-    n_best, total = [], []
-    for links in docs["links"]:
-        places = np.frombuffer(expand(links) if links else b"", "<u4")
-        n_best.append(int(best[places].sum()))
-        total.append(int(count[places].sum()))
-    return docs.assign(n_best=n_best, count_sum=total)[names]
+    sums = []
+    for c in ("best", "count"):
+        of = np.zeros(len(at), np.int64)
+        of[at] = known[c].to_numpy()
+        total = np.zeros(len(sizes), np.int64)
+        np.add.at(total, unit, of[places])
+        sums.append(total)
+    docs = rows[~own]
+    mine = [_expanded(u) for u in docs["units"]]
+    return docs.assign(n_best=[int(sums[0][u].sum()) for u in mine], count_sum=[int(sums[1][u].sum()) for u in mine])[names]
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -195,18 +247,18 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(most), b_id == F.col("b_id")).select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
 
 
-def cross_tokenizer(docs: DataFrame, a: str = packing.TOKENIZER, b: str = sentencepieces.MODEL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def cross_tokenizer(docs: DataFrame, a: str = packing.TOKENIZER, b: str = sentencepieces.MODEL, block_size: int = BLOCK_SIZE) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document.
 
     A text that is null or empty, or that a tokenizer does not give back byte by byte, has zeros and the digest ''. A
     null doc_id stays null; repeated rows are rows of their own and count as often; an empty table gives none. Ties for
     a B id's highest count are all best. Only doc_id and text are read, so other columns cannot clash.
     """
-    rows = materialize(aligned(docs, a, b, block_bytes), "aligned")
+    rows = materialize(aligned(docs, a, b, block_size), "aligned")
     blocks = rows.where(F.col("pairs").isNotNull()).select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "p"))
     blocks = blocks.select("block", "place", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
     known = blocks.select("block", "place", "pair").join(pair_counts(blocks), "pair").select(F.col("block").alias("home"), "place", "count", "best")
-    mine = rows.where(F.col("pairs").isNull()).select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
+    mine = rows.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "sizes", "places")
     return mine.groupBy("block").cogroup(known.groupBy("home")).applyInPandas(_score, SCORES)
 
 

@@ -134,8 +134,8 @@ def test_alignment_by_loops(spark, odd, library, texts):
     rows = ODD[:8] + ODD[9:] + short
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     want = [(i, *r) for i, r in enumerate(plain_alignment(rows, library))]
-    for block_bytes in (alignment.BLOCK_BYTES, 2000):  # links of few and of many blocks
-        assert sorted(map(tuple, alignment.cross_tokenizer(docs, block_bytes=block_bytes).collect())) == want
+    for block_size in (alignment.BLOCK_SIZE, 2000):  # links of few and of many blocks
+        assert sorted(map(tuple, alignment.cross_tokenizer(docs, block_size=block_size).collect())) == want
     got = alignment.cross_tokenizer(odd)
     assert got.count() == len(ODD) and got.where("doc_id is null").count() == 4
     assert got.where("n_a = 0 and n_links = 0 and groups_sha256 = ''").count() == 4  # null, empty, and two with space signs
