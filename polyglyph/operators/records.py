@@ -98,8 +98,8 @@ def _one_row(df: DataFrame, key: list[str], sticky: list[str], order: str | None
     firsts = [F.min(F.when(_says(df, c), F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"{name}{c}") for c in sticky if c in rest]
     last = F.max_by(F.struct(*rest), at).alias("_last")
     done = df.groupBy(*key).agg(last, *firsts)
-    pick = lambda c: F.col(f"{name}{c}.v") if c in sticky else F.col(f"_last.{c}")
-    return done.select(*key, F.lit(True).alias(name), *[pick(c).alias(f"{name}{c}") for c in rest])
+    said = [F.col(f"{name}{c}.v").alias(f"{name}said_{c}") for c in sticky if c in rest]
+    return done.select(*key, F.lit(True).alias(name), *said, *[F.col(f"_last.{c}").alias(f"{name}{c}") for c in rest])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], sticky: list[str], order: str | None = None) -> DataFrame:
@@ -111,7 +111,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], sticky: list[str], or
     """
     rest = [c for c in old.columns if c not in (*key, order)]
     o, n = _one_row(old, key, sticky, order, "_o_"), _one_row(new, key, sticky, order, "_n_")
-    pick = lambda c: F.coalesce(F.col(f"_o_{c}"), F.col(f"_n_{c}")) if c in sticky else F.when(F.col("_n_"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))
+
+    def pick(c: str) -> Column:
+        own = F.when(F.col("_n_"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))
+        return F.coalesce(F.col(f"_o_said_{c}"), F.col(f"_n_said_{c}"), own) if c in sticky else own
+
     return o.join(n, key, "full_outer").select(*key, *[pick(c).alias(c) for c in rest])
 
 
