@@ -19,6 +19,7 @@ LINK = r"(?is)<link\b[^>]*>"
 HREFLANG = r"""(?is)hreflang=["']([^"']+)["']"""
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 HREF = r"""(?is)href=["']([^"']+)["']"""
+LINK_HREF = r"""(?is)[^a-z]href=["'][^"']+["']"""
 PATH_CODE = r"(?:^|/)([a-z]{2,3})(?:/|$|\?)"
 
 
@@ -48,5 +49,5 @@ def html_lang(html: Column) -> Column:
 
 def link_langs(html: Column) -> Column:
     """Codes of <link> tags that have both hreflang and href, in either order."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: t.rlike(HREFLANG) & t.rlike(r"""(?is)[^a-z]href=["'][^"']+["']"""))
+    tags = F.filter(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: t.rlike(HREFLANG) & t.rlike(LINK_HREF))
     return F.transform(tags, lambda t: F.regexp_extract(t, HREFLANG, 1))

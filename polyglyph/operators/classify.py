@@ -1,8 +1,8 @@
 """The languages of a page: language switchers, distinctive words and writing systems, united.
 
 A page is a row with an id and its html or words; packs are an argument. Everything is told from the row itself: no
-shuffle, no join, and rows that share an id, or have none, have answers of their own. A page's words are first cut down
-to those that any pack lists, so that the packs are compared with a few words only.
+shuffle, no join, and rows that share an id, or have none, have answers of their own. Whole tables are told by one index
+of all packs (operators.index); the column expressions here say the same where a page's prefixes are tried in turn.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from ..functions.hold import hold, let
 from ..functions.scripts import letter_class, letter_hits, ranges, script_chars, script_of
 from ..functions.urls import AMBIGUOUS_PATH_CODES, path_code
 from ..sources.languages import Pack, code_map, label_map
+from .index import page_says, text_says, words_say
 
 MIN_WORDS, MIN_RATIO, MIN_SCRIPT_CHARS = 4, 0.35, 40
 LONGEST_LABEL = 48
@@ -160,16 +161,23 @@ def languages_of_scores(scores: Column) -> Column:
     return F.transform(F.filter(scores, lambda s: (s["n"] >= MIN_WORDS) & (s["n"] >= top * MIN_RATIO)), lambda s: s["language"])
 
 
-def word_scores(pages: DataFrame, packs: list[Pack], key: str = "id") -> DataFrame:
-    """pages (key, words) -> (key, language, n): the distinct words of a page that a pack lists, for each row by itself."""
-    scores = hold(pages.select(key, "words"), _scores=scores_of(F.col("words"), F.array_join("words", " "), packs))
-    return scores.select(key, F.explode("_scores").alias("s")).select(key, "s.language", "s.n")
+def _say(rows: DataFrame, packs: list[Pack], most: int | None) -> Column:
+    """WORDS_SAY of rows with `words`, else with `text`."""
+    return words_say(F.col("words"), packs) if "words" in rows.columns else text_says(F.col("text"), packs, most)
 
 
-def word_languages(pages: DataFrame, packs: list[Pack], key: str = "id") -> DataFrame:
-    """pages (key, words) -> (key, by_words), of pages with any score: see languages_of_scores()."""
-    scores = hold(pages.select(key, "words"), _scores=scores_of(F.col("words"), F.array_join("words", " "), packs))
-    return scores.where(F.size("_scores") > 0).select(key, languages_of_scores(F.col("_scores")).alias("by_words"))
+def word_scores(rows: DataFrame, packs: list[Pack], key: str = "id", most: int | None = None) -> DataFrame:
+    """rows (key, words or text) -> (key, language, n): the distinct words of a row that a pack lists, for each row by itself.
+
+    Of a text the first `most` words if given.
+    """
+    return rows.select(key, _say(rows, packs, most).alias("s")).select(key, F.explode("s.scores").alias("s")).select(key, "s.language", "s.n")
+
+
+def word_languages(rows: DataFrame, packs: list[Pack], key: str = "id", most: int | None = None) -> DataFrame:
+    """rows as of word_scores() -> (key, by_words), of rows with any score: see languages_of_scores()."""
+    said = rows.select(key, _say(rows, packs, most).alias("s"))
+    return said.where(F.size("s.scores") > 0).select(key, "s.by_words")
 
 
 def content_languages(words: Column, packs: list[Pack]) -> Column:
@@ -187,14 +195,7 @@ def content_languages(words: Column, packs: list[Pack]) -> Column:
 
 def classify_words(words: Column, packs: list[Pack]) -> Column:
     """The sorted languages of a list of words, without switchers."""
-    return F.array_sort(F.array_distinct(content_languages(words, packs)["content"]))
-
-
-def _read(pages: DataFrame, packs: list[Pack], html: str) -> DataFrame:
-    """pages with _html, _words, _switch and _content."""
-    df = pages.withColumn("_html", F.coalesce(F.col(html), F.lit("")))
-    df = hold(df, _words=H.visible_words(F.col("_html")), _switch=switch_languages(F.col("_html"), packs))
-    return hold(df, _content=content_languages(F.col("_words"), packs))
+    return _tidy(words_say(words, packs)["content"])
 
 
 def _tidy(c: Column) -> Column:
@@ -203,39 +204,8 @@ def _tidy(c: Column) -> Column:
 
 def classify(pages: DataFrame, packs: list[Pack], key: str = "id", html: str = "html") -> DataFrame:
     """(key, languages, by_switch, by_words, by_script): sorted lists of each row; nothing found is the empty list."""
-    read = _read(pages.select(F.col(key), F.col(html)), packs, html)
-    all_ = F.array_union("_switch", "_content.content")
-    return read.select(key, _tidy(all_).alias("languages"), _tidy(F.col("_switch")).alias("by_switch"), _tidy(F.col("_content.by_words")).alias("by_words"), _tidy(F.col("_content.by_script")).alias("by_script"))
-
-
-def letter_scores(text: Column, packs: list[Pack]) -> Column:
-    """array<struct<language, n>>: the letters that only this language uses, where there are enough of them."""
-
-    def one(p: Pack) -> Column:
-        return let(
-            F.struct(letter_hits(text, p.exclusive.letters).alias("h"), script_chars(text, p.exclusive.script).alias("t")),
-            lambda x: F.when((x["t"] >= MIN_SCRIPT_CHARS) & (x["h"] >= p.exclusive.min_hits) & (x["h"] >= x["t"] * p.exclusive.min_share), F.struct(F.lit(p.name).alias("language"), x["h"].cast("long").alias("n"))),
-        )
-
-    marked = [one(p) for p in packs if p.exclusive]
-    return F.array_compact(F.array(*marked)) if marked else F.array().cast("array<struct<language:string,n:bigint>>")
-
-
-def _primary(read: DataFrame, packs: list[Pack], url: str) -> Column:
-    """The primary language of rows of _read() with `_available` and `_letters`."""
-    order = F.create_map(*[x for p in packs for x in (F.lit(p.name), F.lit(p.order))])
-    by_words, by_letters = F.col("_content.scores"), F.col("_letters")
-    of = lambda scores, k: F.coalesce(F.get(F.transform(F.filter(scores, lambda s: s["language"] == k), lambda s: s["n"]), F.lit(0)), F.lit(0))
-    names = F.array_union(F.transform(by_words, lambda s: s["language"]), F.transform(by_letters, lambda s: s["language"]))
-    ranked = F.transform(
-        names,
-        lambda k: F.struct((of(by_words, k) + of(by_letters, k)).alias("n"), F.array_contains("_available", k).alias("there"), (of(by_words, k) > 0).cast("int").alias("w"), (-F.try_element_at(order, k)).alias("o"), k.alias("k")),
-    )
-    best = F.when(F.size(names) > 0, F.array_max(ranked)["k"])
-    path_lang, declared = code_language(path_code(F.col(url)), packs), code_language(H.html_lang(F.col("_html")), packs)
-    trusted = lambda c: F.when(F.array_contains("_available", c) & F.array_contains(names, c), c)
-    several = F.coalesce(trusted(path_lang), trusted(declared), best, declared, path_lang, F.get("_available", F.lit(0)))
-    return F.when(F.size("_available") == 1, F.get("_available", F.lit(0))).when(F.size("_available") > 1, several)
+    said = pages.select(F.col(key), page_says(F.col(html), F.lit(None).cast("string"), packs).alias("s"))
+    return said.select(key, "s.languages", "s.by_switch", "s.by_words", "s.by_script")
 
 
 def classify_snapshots(pages: DataFrame, packs: list[Pack], html: str = "html", url: str = "url") -> DataFrame:
@@ -245,9 +215,9 @@ def classify_snapshots(pages: DataFrame, packs: list[Pack], html: str = "html",
     available and scored; else the best score, available ones first on ties, then pack order, languages scored by
     letters alone last. A null html has no label; columns of these names are replaced, others pass.
     """
-    df = _read(pages.drop("primary", "available", "words"), packs, html)
-    df = hold(df, _available=_tidy(F.array_union("_switch", "_content.content")), _letters=letter_scores(F.col("_content.text"), packs))
-    return df.select(*[c for c in pages.columns if c not in ("primary", "available", "words")], _primary(df, packs, url).alias("primary"), F.col("_available").alias("available"), F.size("_words").alias("words"))
+    others = [c for c in pages.columns if c not in ("primary", "available", "words")]
+    said = pages.select(*others, page_says(F.col(html), path_code(F.col(url)), packs).alias("_s"))
+    return said.select(*others, F.col("_s.primary").alias("primary"), F.col("_s.languages").alias("available"), F.col("_s.words").alias("words"))
 
 
 def primary_language(pages: DataFrame, packs: list[Pack], key: str = "id", html: str = "html", url: str = "url") -> DataFrame:

@@ -147,28 +147,30 @@ def presence_counts(spark, sf_dir):
     return R.presence_counts(C.classify(_pages(spark, sf_dir), PACKS, "page_id"), "languages")
 
 
-def _doc_words(spark, sf_dir, most=MOST_WORDS):
-    return hold(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), words=H.words_of(F.col("text"), most)).drop("text")
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _languages(found):
+    return found.select("doc_id", F.array_join(F.array_sort("by_words"), ",").alias("languages"))
 
 
 def doc_word_scores(spark, sf_dir):
-    return C.word_scores(_doc_words(spark, sf_dir), PACKS, "doc_id").withColumn("n", F.col("n").cast("long"))
+    return C.word_scores(_docs(spark, sf_dir), PACKS, "doc_id", MOST_WORDS)
 
 
 def doc_word_languages(spark, sf_dir):
-    found = C.word_languages(_doc_words(spark, sf_dir), PACKS, "doc_id")
-    return found.select("doc_id", F.array_join(F.array_sort("by_words"), ",").alias("languages"))
+    return _languages(C.word_languages(_docs(spark, sf_dir), PACKS, "doc_id", MOST_WORDS))
 
 
 def doc_whole_word_scores(spark, sf_dir):
     """As doc_word_scores, whose SQL reads 200 words, over all words."""
-    return C.word_scores(_doc_words(spark, sf_dir, None), PACKS, "doc_id").withColumn("n", F.col("n").cast("long"))
+    return C.word_scores(_docs(spark, sf_dir), PACKS, "doc_id")
 
 
 def doc_whole_word_languages(spark, sf_dir):
     """As doc_word_languages, whose SQL reads 200 words, over all words."""
-    found = C.word_languages(_doc_words(spark, sf_dir, None), PACKS, "doc_id")
-    return found.select("doc_id", F.array_join(F.array_sort("by_words"), ",").alias("languages"))
+    return _languages(C.word_languages(_docs(spark, sf_dir), PACKS, "doc_id"))
 
 
 def doc_script_totals(spark, sf_dir):

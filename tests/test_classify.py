@@ -8,6 +8,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from polyglyph.functions import html as H
 from polyglyph.functions.scripts import BLOCKS, letter_hits, script_chars
 from polyglyph.operators import classify as C
 from polyglyph.sources.languages import CyrillicSign, Pack, code_map, label_map, load_packs
@@ -124,7 +125,7 @@ def test_rows_that_share_an_id_answer_for_themselves(spark):
 def test_primary_by_recomputation(spark):
     rows = [r for r in made_pages() if r[0] is not None and r[2]]
     df = spark.createDataFrame([(i, url, html) for i, (_, url, html) in enumerate(rows)], "id long, url string, html string")
-    words = {r.id: r for r in C._read(df, PACKS, "html").select("id", "_words", "_switch").collect()}
+    words = {r.id: r for r in df.select("id", H.visible_words(F.col("html")).alias("_words"), C.switch_languages(F.col("html"), PACKS).alias("_switch")).collect()}
     codes, order = code_map(PACKS), {p.name: p.order for p in PACKS}
     for r in C.classify_snapshots(df, PACKS).collect():
         w, available = words[r.id]._words, sorted(set(words[r.id]._switch) | content(words[r.id]._words, PACKS))
@@ -156,7 +157,7 @@ def test_early_languages_by_prefixes(spark):
     got = {r.id: (r.n_chars, r.languages) for r in C.early_languages(df, PACKS, step=250).collect()}
     cut = [(i, n, (h or "")[: 250 * n]) for i, h in rows for n in range(1, max(1, -(-len(h or "") // 250)) + 1)]
     each = spark.createDataFrame([(k, h) for k, (_, _, h) in enumerate(cut)], "id long, html string")
-    words = {r.id: len(r._words) for r in C._read(each, PACKS, "html").select("id", "_words").collect()}
+    words = {r.id: len(r._words) for r in each.select("id", H.visible_words(F.col("html")).alias("_words")).collect()}
     want = {}
     for r in sorted(C.classify(each, PACKS).collect(), key=lambda r: r.id):
         i, n, h = cut[r.id]
