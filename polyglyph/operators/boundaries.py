@@ -155,11 +155,11 @@ def search_areas(index: DataFrame, remote: DataFrame, query: str, most: int = MO
     return hits(shown.orderBy(*order).limit(most))
 
 
-def hits(rows: DataFrame) -> DataFrame:
-    """What a search shows of areas: empty optional values are null, a missing kind is told from the level."""
+def hits(rows: DataFrame, *more: str) -> DataFrame:
+    """What a search shows of areas, after the columns `more`: empty optional values are null, a missing kind is told from the level."""
     kind = F.coalesce("kind", area_kind(F.col("admin_level")))
     optional = [F.nullif(c, F.lit("")).alias(c) for c in ("iso", "parent_name", "parent_iso")]
-    return rows.select("name", "osm_id", "admin_level", kind.alias("kind"), _lookup(KIND_LABELS, kind).alias("kind_label"), *optional, "parent_osm_id")
+    return rows.select(*more, "name", "osm_id", "admin_level", kind.alias("kind"), _lookup(KIND_LABELS, kind).alias("kind_label"), *optional, "parent_osm_id")
 
 
 def subdivisions(wanted: DataFrame, children: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import boundaries as B
 from ..operators import classify as C
 from ..operators import history as Hi
 from ..operators import records as R
+from ..operators import search as S
 from .page_plans import _PAGE_LANGS_SQL, PACKS, _q, _values, table
 
 NAMES = [p.name for p in PACKS]
@@ -135,11 +136,20 @@ def area_search(spark, sf_dir):
     segments = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").alias("k"))
     remote = segments.select((F.col("k") + 5000).alias("osm_id"), F.concat(F.col("c_mktsegment"), F.lit(" America")).alias("name"), F.lit("subdivision_2").alias("kind"), F.lit("6").alias("admin_level"))
     remote = remote.withColumn("key", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "")).withColumn("iso_key", F.lit(""))
-    index, out = _index(spark, sf_dir), None
-    for q in SEARCHES:
-        found = B.search_areas(index, remote, q).select(F.lit(q).alias("query"), "osm_id", "name", "kind_label", "parent_name")
-        out = found if out is None else out.unionByName(found)
-    return out
+    queries = spark.createDataFrame([(q,) for q in SEARCHES], "query string")
+    remote = remote.withColumn("query", F.explode(F.array(*map(F.lit, SEARCHES))))
+    return S.search_all(_index(spark, sf_dir), queries, remote).select("query", "osm_id", "name", "kind_label", "parent_name")
+
+
+def part_search(spark, sf_dir):
+    """All parts searched for five letters of every part's name, and for its first letters and its last six."""
+    key = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "")
+    p, k = table(spark, sf_dir, "part").withColumn("key", key), F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "country").when(k % 4 == 1, "subdivision_1").when(k % 4 == 2, "subdivision_2")
+    index = p.select(k.alias("osm_id"), F.col("p_name").alias("name"), "key", F.concat(F.lit("p"), k).alias("iso_key"), kind.alias("kind"), F.lit("6").alias("admin_level"), F.lit("").alias("iso"), F.lit("").alias("parent_name"), F.lit("").alias("parent_iso"), F.lit(0).cast("long").alias("parent_osm_id"))
+    asked = F.array(F.substring("key", 3, 5), F.substring(F.col("key"), F.lit(1), (k % 4 + 1).cast("int")), F.substring("key", -6, 6), F.concat(F.lit("p"), k))
+    found = S.search_all(index, p.select(F.explode(asked).alias("query")))
+    return found.select("query", "place", "osm_id", "kind")
 
 
 def area_subdivisions(spark, sf_dir):
@@ -151,7 +161,7 @@ def area_subdivisions(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_labels, page_words_only, page_histories, migrated_languages, area_fill_ids, area_too_deep, parents_ready, feature_country, census_children, children_worth_showing, promoted_areas, overseas_areas, area_rows, area_search, area_subdivisions)
+    for f in (page_labels, page_words_only, page_histories, migrated_languages, area_fill_ids, area_too_deep, parents_ready, feature_country, census_children, children_worth_showing, promoted_areas, overseas_areas, area_rows, area_search, part_search, area_subdivisions)
 }
 
 _NUMBER = "('0x' || substr(sha1({0}), 1, 8))::BIGINT % 900000000 + 100000000"
@@ -204,6 +214,11 @@ ORACLE_SQL = {
       f AS (SELECT *, min(rank) FILTER (WHERE origin = 0) OVER (PARTITION BY query) AS best FROM k WHERE origin = 1 AND length(query) >= 3 OR origin = 0 AND rank < 4),
       r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, kr, length(key), name, osm_id) AS rn FROM f WHERE origin = 0 OR best IS NULL OR best > 1)
       SELECT query, osm_id, name, CASE kind WHEN 'country' THEN 'Country' WHEN 'subdivision_1' THEN 'Subdivision 1' ELSE 'Subdivision 2' END AS kind_label, parent_name FROM r WHERE rn <= 10""",
+    "part_search": f"""WITH x AS (SELECT p_partkey AS id, p_name AS name, {_KEY.format('p_name')} AS key, 'p' || p_partkey AS iso, p_partkey % 4 AS kr FROM part),
+      q AS (SELECT DISTINCT unnest([substr(key, 3, 5), substr(key, 1, (id % 4 + 1)::INT), right(key, 6), iso]) AS query FROM x),
+      r AS (SELECT *, CASE WHEN key = query OR iso = query THEN 0 WHEN starts_with(key, query) OR starts_with(iso, query) THEN 1 WHEN length(query) >= 4 AND ends_with(key, query) THEN 2 WHEN length(query) >= 5 AND contains(key, query) THEN 3 END AS rank FROM x JOIN q ON query <> '' AND (contains(key, query) OR starts_with(iso, query))),
+      n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, CASE WHEN kr = 3 THEN 9 ELSE kr END, length(key), name, id)::INT AS place FROM r WHERE rank IS NOT NULL)
+      SELECT query, place, id AS osm_id, CASE kr WHEN 0 THEN 'country' WHEN 1 THEN 'subdivision_1' ELSE 'subdivision_2' END AS kind FROM n WHERE place <= 10""",
     "area_subdivisions": """WITH c AS (SELECT p_partkey % 20 AS p, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1)
       SELECT n_nationkey::BIGINT AS osm_id, 'subdivision_2' AS kind, coalesce(n, 0)::INT AS n, coalesce(ids, '') AS ids FROM nation LEFT JOIN c ON p = n_nationkey""",
 }
