@@ -12,7 +12,7 @@ from ..operators import history as Hi
 from ..operators import places as P
 from ..operators import records as R
 from .page_plans import PACKS, table
-from .record_plans import _AREAS_SQL, _CENTRE, _LOCATE_SQL, _RUNS_SQL, _areas, _points
+from .record_plans import _AREAS_SQL, _CENTRE, _LOCATE_SQL, _POINTS_SQL, _RUNS_SQL, _areas, _points, _squares
 
 FIRST_MONTH, LAST_MONTH = 1992 * 12, 1998 * 12 + 11
 
@@ -122,8 +122,8 @@ def page_early_languages(spark, sf_dir):
 
 
 def ring_assemble(spark, sf_dir):
-    """The squares with holes, taken apart into rings and put together again."""
-    r = _areas(spark).select(F.col("area_id").alias("relation_id"), F.posexplode("rings").alias("i", "ring"))
+    """A square at every customer's point, some with holes, taken apart into rings and put together again."""
+    r = _squares(spark, sf_dir).select(F.col("area_id").alias("relation_id"), F.posexplode("rings").alias("i", "ring"))
     rings = r.select("relation_id", F.when(F.col("i") == 0, "outer").otherwise("inner").alias("role"), F.when(F.col("i") == 0, 0).otherwise(F.col("i") - 1).alias("n"), "ring")
     made = G.assemble(rings)
     return made.select("relation_id", "n", F.size("rings").alias("n_rings"), F.col("rings")[0][0][0].alias("west"), F.col("rings")[0][0][1].alias("south"))
@@ -232,7 +232,7 @@ ORACLE_SQL = {
       SELECT point_id AS child_id, area_id AS parent_id FROM l UNION ALL SELECT point_id, area_id FROM r WHERE rn = 1""",
     "event_name_intervals": "WITH e AS (SELECT user_id AS k, ts, event_id AS id, strftime(ts, '%Y-%m-%d') AS day, {'p': CASE WHEN event_id % 4 <> 0 THEN event_type END, 'a': CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END} AS state FROM events WHERE event_id % 4 <> 0 OR event_id % 3 = 0), "
     + _RUNS_SQL + " SELECT k AS user_id, run, first_day, last_day, state.p AS primary, state.a AS available, observations FROM spans",
-    "ring_assemble": f"WITH {_AREAS_SQL} SELECT area_id AS relation_id, 0 AS n, CASE WHEN area_id % 2 = 1 THEN 2 ELSE 1 END AS n_rings, x AS west, y AS south FROM areas",
+    "ring_assemble": f"WITH {_POINTS_SQL} SELECT point_id AS relation_id, 0 AS n, CASE WHEN point_id % 2 = 1 THEN 2 ELSE 1 END AS n_rings, lon AS west, lat AS south FROM p",
     "extract_resolve": """WITH e AS (SELECT 'x/' || lower(n_name) AS extract, lower(n_name) AS leaf, NULL AS c, 'P' || n_nationkey AS p, 2 AS depth, n_nationkey + 10 AS ord FROM nation UNION ALL SELECT lower(r_name), lower(r_name), 'C' || r_regionkey, NULL, 1, r_regionkey FROM region),
       s AS (SELECT n_nationkey::BIGINT AS id, extract, ord, CASE WHEN n_nationkey % 5 = 0 AND p = 'P' || n_nationkey THEN 400 + depth WHEN n_nationkey % 3 = 0 AND regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') = regexp_replace(leaf, '[^a-z0-9]', '', 'g') THEN 350 + depth
        WHEN n_nationkey % 3 = 1 AND regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') = regexp_replace(leaf, '[^a-z0-9]', '', 'g') THEN 320 + depth WHEN c = 'C' || n_regionkey THEN 200 + depth END::INT AS score FROM nation, e),

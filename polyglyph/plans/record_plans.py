@@ -138,8 +138,11 @@ def name_pair_classify(spark, sf_dir):
 
 
 def tile_grid(spark, sf_dir):
-    boxes = spark.createDataFrame([(0.0, 0.0, 2.5, 1.0), (-10.0, 5.0, -7.25, 9.5)], "south double, west double, north double, east double")
-    return G.tile_grid(boxes, 1.0)
+    """The tiles of a box for every supplier."""
+    k = F.col("s_suppkey")
+    south, west = (k % 60).cast("double"), (k * 7 % 170).cast("double")
+    boxes = table(spark, sf_dir, "supplier").select(k.alias("k"), south.alias("south"), west.alias("west"), (south + 0.5 + k % 5 * 0.75).alias("north"), (west + 1.0 + k % 3 * 0.25).alias("east"))
+    return G.tile_grid(boxes.drop("k"), 1.0)
 
 
 def point_in_polygon(spark, sf_dir):
@@ -166,8 +169,15 @@ def way_centroid(spark, sf_dir):
     return G.way_centroids(ways, nodes).select("way_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+def _squares(spark, sf_dir):
+    k, x, y = F.col("point_id"), F.col("lon"), F.col("lat")
+    square = lambda at, n: F.array(*[F.array(x + at + a * n, y + at + b * n) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    return _points(spark, sf_dir).select(k.alias("area_id"), F.when(k % 2 == 1, F.array(square(0, 4), square(1, 1))).otherwise(F.array(square(0, 4))).alias("rings"))
+
+
 def area_bbox(spark, sf_dir):
-    return _areas(spark).select("area_id", G.bbox(F.col("rings")[0]).alias("b"), G.vertex_mean(F.col("rings")).alias("c")).select("area_id", "b.*", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
+    """Boxes and means of a square at every customer's point, every other one with a hole."""
+    return _squares(spark, sf_dir).select("area_id", G.bbox(F.col("rings")[0]).alias("b"), G.vertex_mean(F.col("rings")).alias("c")).select("area_id", "b.*", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
 
 
 def place_search(spark, sf_dir):
@@ -275,14 +285,14 @@ ORACLE_SQL = {
     "month_functions": f"SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m, {_MONTH.format('o_orderdate')} AS month_index, strftime(o_orderdate, '%Y-%m') AS back, strftime(o_orderdate, '%Y%m') || '15000000' AS stamp FROM orders",
     "name_pair_classify": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ukrainian' WHEN 1 THEN 'russian' WHEN 2 THEN 'ukrainian' WHEN 3 THEN 'ukrainian' WHEN 4 THEN 'russian' END AS "primary",
       CASE p_partkey % 6 WHEN 0 THEN 'ukrainian' WHEN 1 THEN 'russian' WHEN 2 THEN 'russian,ukrainian' WHEN 3 THEN 'ukrainian' WHEN 4 THEN 'russian' ELSE 'ukrainian' END AS available FROM part""",
-    "tile_grid": "WITH b(s, w, n, e) AS (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 2.5::DOUBLE, 1.0::DOUBLE), (-10.0, 5.0, -7.25, 9.5)), i AS (SELECT *, unnest(range(0, ceil(n - s)::INT)) AS i FROM b), j AS (SELECT *, unnest(range(0, ceil(e - w)::INT)) AS j FROM i) SELECT s + i AS tile_south, w + j AS tile_west, least(s + i + 1, n) AS tile_north, least(w + j + 1, e) AS tile_east FROM j",
+    "tile_grid": "WITH b AS (SELECT (s_suppkey % 60)::DOUBLE AS s, (s_suppkey * 7 % 170)::DOUBLE AS w, s + 0.5 + s_suppkey % 5 * 0.75 AS n, w + 1.0 + s_suppkey % 3 * 0.25 AS e FROM supplier), i AS (SELECT *, unnest(range(0, ceil(n - s)::INT)) AS i FROM b), j AS (SELECT *, unnest(range(0, ceil(e - w)::INT)) AS j FROM i) SELECT s + i AS tile_south, w + j AS tile_west, least(s + i + 1, n)::DOUBLE AS tile_north, least(w + j + 1, e)::DOUBLE AS tile_east FROM j",
     "point_in_polygon": _LOCATE_SQL + " SELECT point_id, area_id FROM l",
     "nearest_centroid": f"WITH {_AREAS_SQL}, {_POINTS_SQL}, c AS (SELECT area_id, {_CENTRE.format('x')} AS cx, {_CENTRE.format('y')} AS cy FROM areas), d AS (SELECT point_id, area_id, (lon - cx) * (lon - cx) + (lat - cy) * (lat - cy) AS d FROM p, c), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, area_id) AS rn FROM d WHERE d < 144) SELECT point_id, area_id FROM r WHERE rn = 1",
     "area_share": _LOCATE_SQL + """, t AS (SELECT area_id, list_filter([CASE WHEN c_nationkey % 2 = 0 THEN 'english' END, CASE WHEN c_nationkey % 3 = 0 THEN 'welsh' END], lambda z: z IS NOT NULL) AS g FROM l JOIN p USING (point_id)),
       a AS (SELECT area_id, count(*) FILTER (WHERE len(g) > 0) AS c, count(*) FILTER (WHERE len(g) > 1) AS m FROM t GROUP BY 1), u AS (SELECT area_id, unnest(g) AS language FROM t)
       SELECT area_id, language, count(*) AS sites, round(count(*) / any_value(c), 6) AS share, round(any_value(m) / any_value(c), 6) AS multilingual_share FROM u JOIN a USING (area_id) GROUP BY area_id, language""",
     "way_centroid": "SELECT l_orderkey AS way_id, round(avg(l_suppkey * 1.0::DOUBLE), 6) AS lat, round(avg(l_suppkey * 2.0::DOUBLE), 6) AS lon FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1",
-    "area_bbox": f"WITH {_AREAS_SQL} SELECT area_id, x AS west, y AS south, x + 20 AS east, y + 20 AS north, round({_CENTRE.format('x')}, 6) AS lon, round({_CENTRE.format('y')}, 6) AS lat FROM areas",
+    "area_bbox": f"WITH {_POINTS_SQL} SELECT point_id AS area_id, lon AS west, lat AS south, lon + 4 AS east, lat + 4 AS north, round(CASE WHEN point_id % 2 = 1 THEN (10 * lon + 15) / 10 ELSE (5 * lon + 8) / 5 END, 6)::DOUBLE AS lon, round(CASE WHEN point_id % 2 = 1 THEN (10 * lat + 15) / 10 ELSE (5 * lat + 8) / 5 END, 6)::DOUBLE AS lat FROM p",
     "place_search": """WITH a AS (SELECT (n_nationkey + 100)::BIGINT AS area_id, n_name AS name, 'country' AS kind, 0 AS kr FROM nation UNION ALL SELECT r_regionkey::BIGINT, r_name, 'subdivision_1', 1 FROM region),
       k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, q FROM a, (VALUES ('america'), ('nation1')) AS v(q)),
       r AS (SELECT *, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 WHEN ends_with(key, q) THEN 2 WHEN contains(key, q) THEN 3 END::INT AS rank FROM k),

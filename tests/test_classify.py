@@ -188,3 +188,11 @@ def test_usable_and_state(spark):
     assert [r.u for r in df.select(C.usable(F.col("words"), F.col("available")).alias("u")).collect()] == [True, False, False]
     row = df.select(C.label_state(F.col("primary"), F.col("available")).alias("p"), C.label_state(F.col("primary"), F.col("available"), "available").alias("a")).first()
     assert row.p == ("a",) and row.a == ("a", ["a"])
+
+
+def test_codes_of_three_letters(spark):
+    codes = code_map(PACKS)
+    typed = {"cym": "welsh", "eng": "english", "deu": "german", "ger": "german", "fra": "french", "fre": "french", "ces": "czech", "nob": "norwegian", "crh": "crimean tatar", "zho": "chinese"}
+    assert {c: codes[c] for c in typed} == typed and len(codes) == 177 and all({len(c) for c in p.codes} >= ({3} if p.name == "crimean tatar" else {2, 3}) for p in PACKS)
+    df = spark.createDataFrame([(1, '<html lang="cym">'), (2, '<link hreflang="deu-AT" href="/x">'), (3, '<a href="/fra/">Français</a>')], "id long, html string")
+    assert {r.id: r.languages for r in C.classify(df, PACKS).collect()} == {1: ["welsh"], 2: ["german"], 3: ["french"]}
