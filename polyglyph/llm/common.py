@@ -75,13 +75,17 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def bounded_sample(df: DataFrame, by: list[str], most: int, key: str = "doc_id") -> DataFrame:
-    """About `most` rows of each group at most, the same ones at every run: those whose key hashes below most / size.
+def bounded_sample(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """About `most` different rows of each group at most, the same ones at every run: those whose hash lies below most / number.
 
-    The group sizes are counted over all rows and broadcast if they are few, so that df stays where it is.
+    All columns are hashed, so rows that share an id, or have none, are drawn each for itself; rows that are alike in
+    all columns are one. Different rows are counted over the whole table, by their hashes, and the numbers are broadcast
+    if they are few, so that df stays where it is; what is drawn is shuffled once.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], "_n")
+    marked = df.withColumn("_h", F.xxhash64(*df.columns, F.lit("sample")))
+    sizes = marked.select(*by, "_h").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], "_n")
     sizes = few(materialize(sizes, "group_sizes"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    share = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(sizes, on).where(share * F.col("_n") < most).select(*[df[c] for c in df.columns])
+    share = F.pmod(F.col("_h"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = marked.join(sizes, on).where(share * F.col("_n") < most).select("_h", F.struct(*[F.col(c) for c in df.columns]).alias("_r"))
+    return drawn.groupBy("_h").agg(F.first("_r").alias("_r")).select("_r.*")

@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, segments
     rows = materialize(training_rows(docs, labels, "quality", per_class).withColumn("use", use), "quality_rows")
     begins = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(SEGMENT))
     cut = rows.where("use").select("doc_id", "y", "text", F.explode(begins).alias("at")).select("y", F.substring("text", F.col("at"), F.lit(SEGMENT)).alias("part"), F.xxhash64("doc_id", "at").alias("segment"))
-    got = sorted(bounded_sample(cut, ["y"], segments, "segment").collect(), key=lambda r: (r.segment, r.part))
+    got = sorted(bounded_sample(cut, ["y"], segments).collect(), key=lambda r: (r.segment, r.part))
     parts = [_dictionary([r.part.encode() for r in got if r.y == y], dictionary) if any(r.y == y for r in got) else b"" for y in (1, 0)]
     if not all(parts):
         return QualityModel(*parts, (0.0,) * 3)
