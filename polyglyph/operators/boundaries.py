@@ -62,7 +62,7 @@ def assign_by_code(children: DataFrame, parents: DataFrame, codes: dict[str, str
 
 
 def child_areas(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Rows of second subdivisions: children (shape_id, name, parent_osm_id) below parents (osm_id, name, iso).
+    """Rows of second subdivisions: children (shape_id, name, parent_osm_id, maybe polygons) below parents (osm_id, name, iso).
 
     Names are repaired, ids are stable numbers; a child without a name goes. Of several parents with one id the least
     name and code count.
@@ -71,7 +71,7 @@ def child_areas(children: DataFrame, parents: DataFrame) -> DataFrame:
     name = fix_mojibake(F.col("name"))
     named = children.withColumn("name", name).where("name <> ''").join(of, "parent_osm_id")
     number = stable_id(F.coalesce(F.nullif("shape_id", F.lit("")), F.col("name")))
-    return named.select(F.lit("relation").alias("osm_type"), number.alias("osm_id"), "name", F.lit("6").alias("admin_level"), F.lit("subdivision_2").alias("kind"), "parent_osm_id", F.coalesce("parent_name", F.lit("")).alias("parent_name"), "parent_iso")
+    return named.select(F.lit("relation").alias("osm_type"), number.alias("osm_id"), "name", F.lit("6").alias("admin_level"), F.lit("subdivision_2").alias("kind"), "parent_osm_id", F.coalesce("parent_name", F.lit("")).alias("parent_name"), "parent_iso", *[c for c in children.columns if c == "polygons"])
 
 
 def worth_showing(children: DataFrame, level: str, parent: str = "parent_osm_id", most: int = MOST_AREAS, least: int = LEAST_AREAS) -> DataFrame:

@@ -217,7 +217,12 @@ def _few(df: DataFrame) -> DataFrame | None:
 
 
 def locate(points: DataFrame, areas: DataFrame, cell: float = 1.0, *, hot_points: int = HOT_POINTS, hot_edges: int = HOT_EDGES) -> DataFrame:
-    """points (point_id, lon, lat) joined to the areas (area_id, rings) that hold them; the least area_id of several.
+    """(point_id, area_id): of the areas that held() says hold a point the least; points in none have no row."""
+    return held(points, areas, cell, hot_points=hot_points, hot_edges=hot_edges).groupBy("point_id").agg(F.min("area_id").alias("area_id"))
+
+
+def held(points: DataFrame, areas: DataFrame, cell: float = 1.0, *, hot_points: int = HOT_POINTS, hot_edges: int = HOT_EDGES) -> DataFrame:
+    """(point_id, area_id): points (point_id, lon, lat) with each of the areas (area_id, rings) that hold them, once a polygon.
 
     A point is inside a polygon if it is inside its outer ring and in none of its holes, by the even-odd rule. Points and
     cells meet in one equi-join, of a point's cell. Cells with more than hot_points points or hot_edges edges are
@@ -234,5 +239,4 @@ def locate(points: DataFrame, areas: DataFrame, cell: float = 1.0, *, hot_points
         p = p.select("point_id", "lon", "lat", "level", tile_of(F.col("lon"), cell, F.col("level")).alias("x"), tile_of(F.col("lat"), cell, F.col("level")).alias("y"))
     inside = lambda r: odd(r, F.col("lon"), F.col("lat"))
     holes = F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0)))
-    hit = p.join(index, ["level", "x", "y"]).where(inside(F.col("rings")[0]) & ~F.exists(holes, inside))
-    return hit.groupBy("point_id").agg(F.min("area_id").alias("area_id"))
+    return p.join(index, ["level", "x", "y"]).where(inside(F.col("rings")[0]) & ~F.exists(holes, inside)).select("point_id", "area_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.areas import in_box
-from ..functions.names import Region
+from ..functions.names import REGIONS, Region
 from ..sources.extracts import read_extract, scan_wanted
 from .geo import way_centroids
 from .places import sites_of
@@ -16,7 +16,7 @@ from .places import sites_of
 WEBSITE_TAGS = ("website", "contact:website")
 
 
-def extract_sites(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, region: Region | None = None, **options) -> DataFrame:
+def extract_sites(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, region: Region | None = REGIONS["ukraine"], **options) -> DataFrame:
     """Site records of an extract's nodes and ways that have a website; relations are left out.
 
     One pass makes only elements with a website, a second one only the nodes of those ways; a way lies at the mean of its

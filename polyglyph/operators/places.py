@@ -7,17 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.areas import child_levels, folded_key, iso_candidates, plain_key
-from ..functions.names import Region, site_languages
+from ..functions.names import REGIONS, Region, site_languages
 
 # Tags that name what a place is, the first that is there wins.
 CATEGORY_TAGS = ("shop", "amenity", "office", "craft", "tourism", "leisure", "healthcare", "government", "religion", "historic", "natural", "man_made", "landuse", "building")
 LEAST_PART = 5
 
 
-def sites_of(elements: DataFrame, region: Region | None = None) -> DataFrame:
+def sites_of(elements: DataFrame, region: Region | None = REGIONS["ukraine"]) -> DataFrame:
     """Site records of elements (type, id, tags, lat, lon) that have a website and a place.
 
-    With a region, language holds what the name tags say.
+    language holds what the name tags say by a region's rule, wherever the place is; without a region nothing.
     """
     tags = F.col("tags")
     tag = lambda k: F.try_element_at(tags, F.lit(k))

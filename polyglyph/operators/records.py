@@ -130,6 +130,12 @@ def presence_counts(df: DataFrame, languages: str) -> DataFrame:
     return df.select(F.explode(some).alias("language")).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_common(counts: DataFrame, key: str, most: int, n: str = "n") -> DataFrame:
+    """The `most` greatest counts (key, n) with their place, the least key first of equals: a report, so it is cut."""
+    top = counts.orderBy(F.desc(n), key).limit(most)
+    return top.select(key, n, F.row_number().over(W.orderBy(F.desc(n), key)).alias("place"))  # `most` rows
+
+
 def unlabelled(languages: Column) -> Column:
     """Whether a list says nothing: null, empty, or only labels of failures."""
     said = F.filter(languages, lambda v: ~F.lower(F.trim(v)).isin(*UNLABELLED))

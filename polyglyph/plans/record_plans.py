@@ -201,6 +201,12 @@ def area_codes(spark, sf_dir):
     return p.select("p_partkey", A.iso_code(code).alias("iso"), A.stable_id(F.col("p_name")).alias("stable_id"), A.area_kind((F.col("p_size") % 9).cast("string")).alias("kind"), F.array_join(A.child_levels(F.col("p_size") % 11).cast("array<string>"), ",").alias("levels"), A.plain_key(F.col("p_name")).alias("key"))
 
 
+def common_nations(spark, sf_dir):
+    """The seven nations with most customers."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    return R.most_common(counts, "nation", 7)
+
+
 def mojibake(spark, sf_dir):
     """Part names with accents, a third of them UTF-8 read as Latin-1, a third of them damaged."""
     k = F.col("p_partkey")
@@ -237,7 +243,7 @@ def _total(ring, i):
 
 QUERIES = {
     f.__name__: f
-    for f in (pending_urls, known_urls, label_merge, upsert_merge, event_intervals, event_transitions, event_annotation, event_annotation_counts, interval_modal, nearest_snapshot, month_timeline, month_functions, name_pair_classify, tile_grid, point_in_polygon, nearest_centroid, area_share, way_centroid, area_bbox, place_search, best_extract, area_codes, mojibake, ring_simplify, ring_stitch)
+    for f in (pending_urls, known_urls, label_merge, upsert_merge, event_intervals, event_transitions, event_annotation, event_annotation_counts, interval_modal, nearest_snapshot, month_timeline, month_functions, name_pair_classify, tile_grid, point_in_polygon, nearest_centroid, area_share, way_centroid, area_bbox, place_search, best_extract, area_codes, common_nations, mojibake, ring_simplify, ring_stitch)
 }
 
 _RUNS_SQL = """
@@ -303,6 +309,7 @@ ORACLE_SQL = {
       b AS (SELECT *, CASE WHEN pl <= 3 THEN 4 WHEN pl <= 5 THEN 6 ELSE 8 END AS best FROM c)
       SELECT p_partkey, CASE WHEN regexp_full_match(code, '[A-Z]{2}-[A-Z0-9]{1,3}') THEN code ELSE '' END AS iso, ('0x' || substr(sha1(p_name), 1, 8))::BIGINT % 900000000 + 100000000 AS stable_id,
       CASE WHEN lv <= 2 THEN 'country' WHEN lv <= 4 THEN 'subdivision_1' ELSE 'subdivision_2' END AS kind, array_to_string(list_filter([best, best + 2, best - 1, best + 1], lambda v: v >= 3 AND v <= 10 AND v > pl), ',') AS levels, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM b""",
+    "common_nations": "SELECT c_nationkey::VARCHAR AS nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey::VARCHAR)::INT AS place FROM customer GROUP BY 1 ORDER BY n DESC, nation LIMIT 7",
     "mojibake": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'Québec ' || p_name WHEN p_partkey % 5 > 0 THEN 'Ãx€' || p_name END AS name FROM part",
     "ring_simplify": "SELECT c_custkey AS area_id, 1 AS n_rings, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 6 END AS n, round(c_custkey * 37 % 340 - 169.75 + CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END, 2)::DOUBLE AS lon, round(c_custkey * 53 % 140 - 69.75 + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 0.5 END, 2)::DOUBLE AS lat FROM customer",
     "ring_stitch": "SELECT c_custkey AS relation_id, CASE WHEN c_custkey % 2 = 0 THEN 'outer' ELSE 'inner' END AS role, 0 AS n, 5 AS points, round(4 * (c_custkey * 37 % 340 - 169.75) + 2, 4)::DOUBLE AS lon, round(4 * (c_custkey * 53 % 140 - 69.75) + 2, 4)::DOUBLE AS lat FROM customer",

@@ -30,8 +30,18 @@ def read_sites(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SITE).withColumn("language", language_list(F.col("language")))
-    whole = F.coalesce(F.col(CORRUPT), F.substring(F.coalesce("name", F.lit("")), 1, 0)) == ""  # Spark refuses to read the corrupt column alone
-    return rows.where(whole).drop(CORRUPT).withColumn("language", language_list(F.col("language")))
+    return rows.where(_whole() == "").drop(CORRUPT).withColumn("language", language_list(F.col("language")))
+
+
+def _whole() -> Column:
+    """Empty for a row of a file that is JSON. Spark refuses to read the corrupt column alone, so a name is read with it."""
+    return F.coalesce(F.col(CORRUPT), F.substring(F.coalesce("name", F.lit("")), 1, 0))
+
+
+def damaged_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file): the files of site records that read_sites reads as empty since they are no JSON. They are left where they are."""
+    rows = _json(spark, path, SITE)
+    return rows.where(_whole() != "").select(F.col("_metadata.file_path").alias("file")).distinct()
 
 
 def write_sites(sites: DataFrame, path: str) -> None:

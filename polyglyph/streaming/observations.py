@@ -11,12 +11,13 @@ from ..operators.history import label_histories
 from ..sources.records import OBSERVATION, split_log
 
 KEY = ["url", "snapshot"]
-#: Folders of a batch, by the hash of the URL: a batch is compared with those of its own URLs only.
-BUCKETS = 64
+#: Months of a batch up to which only those months' observations are looked through for repeats.
+MOST_MONTHS = 1000
 
 
-def bucket(url: Column) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
+def month(snapshot: Column) -> Column:
+    """The folder of a snapshot's month; a row without one is in a folder of its own."""
+    return F.concat(F.lit("m"), F.coalesce(F.substring(snapshot, 1, 6), F.lit("")))
 
 
 def log_stream(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
@@ -34,28 +35,38 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def best_of_repeats(seen: DataFrame) -> DataFrame:
+    """Of the rows of a (url, snapshot) the one with most words, ties by landing URL and language."""
+    rest = [c for c in seen.columns if c not in KEY]
+    order = F.struct(F.coalesce("words", F.lit(-1)), F.coalesce("final_url", F.lit("")), F.coalesce("primary", F.lit("")))
+    return seen.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*KEY, "_r.*")
+
+
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, *, distinct: bool = True, files_a_batch: int = 1000) -> StreamingQuery:
     """Stores what is new in `source` under target/observations and target/markers, then ends; run it again for more.
 
     A batch overwrites its own folder, so a batch that is run again after a failure stores nothing twice. Repeats of
-    (url, snapshot) are found against the stored table rather than in state, which would grow without bound. Of repeats
-    within a batch the one with most words stays, ties by landing URL.
+    (url, snapshot) are found against what is stored of the batch's months rather than in state, which would grow without
+    bound: a month that is new costs no look, however much is stored. Of repeats within a batch the one with most words
+    stays. Files are ranges of month and URL, so a month that is large is in several and small ones share one task.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        seen, done = split_log(batch)
-        if distinct:
-            rest = [c for c in seen.columns if c not in KEY]
-            order = F.struct(F.coalesce("words", F.lit(-1)), F.coalesce("final_url", F.lit("")), F.coalesce("primary", F.lit("")))
-            seen = seen.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*KEY, "_r.*")
-            before = stored(batch.sparkSession, f"{target}/observations")
+        batch.persist()
+        try:
+            seen, done = split_log(batch)
+            seen = (best_of_repeats(seen) if distinct else seen).withColumn("month", month(F.col("snapshot")))
+            before = stored(batch.sparkSession, f"{target}/observations") if distinct else None
             if before is not None:
-                own = [r[0] for r in seen.select(bucket(F.col("url"))).distinct().collect()]  # BUCKETS numbers at most
-                there = before.where((F.col("batch") != number) & F.col("bucket").isin(*own)).select("bucket", *KEY)
-                seen = seen.withColumn("bucket", bucket(F.col("url"))).join(there, ["bucket", *KEY], "left_anti").drop("bucket")
-        seen = seen.withColumn("bucket", bucket(F.col("url")))
-        seen.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/observations/batch={number}")
-        done.write.mode("overwrite").parquet(f"{target}/markers/batch={number}")
+                there = before.where(F.col("batch") != number)
+                own = [r[0] for r in seen.select("month").distinct().limit(MOST_MONTHS + 1).collect()]
+                if len(own) <= MOST_MONTHS:
+                    there = there.where(F.col("month").isin(*own))
+                seen = seen.join(there.select("month", *KEY), ["month", *KEY], "left_anti")
+            seen.repartitionByRange("month", "url").write.mode("overwrite").partitionBy("month").parquet(f"{target}/observations/batch={number}")
+            done.write.mode("overwrite").parquet(f"{target}/markers/batch={number}")
+        finally:
+            batch.unpersist()
 
     stream = log_stream(spark, source, files_a_batch)
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -120,3 +120,20 @@ def test_month_runs_split_and_join():
     assert runs(seen) == [("uk", "2019-01-01", "2019-01-01", 1), ("ru", "2019-01-03", "2019-01-03", 1), ("uk", "2019-01-05", "2019-01-05", 1)]
     seen["3"] = one("uk", 3)
     assert runs(seen) == [("uk", "2019-01-01", "2019-01-05", 3)]
+
+
+def test_the_log_looks_only_at_the_months_that_come(spark, tmp_path):
+    from polyglyph.streaming import observations as O
+
+    (tmp_path / "log").mkdir()
+    run = lambda: O.ingest(spark, str(tmp_path / "log"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    row = lambda u, s, w: {"url": u, "snapshot": s, "date": s[:4], "final_url": u, "primary": "uk", "available": ["uk"], "words": w}
+    (tmp_path / "log/1.json").write_text("\n".join(map(json.dumps, [row("a", "20190101", 30), row("a", "20190101", 50), row("b", "20190301", 30), {"url": "a", "complete": True, "status": "ok"}])))
+    run()
+    (tmp_path / "log/2.json").write_text("\n".join(map(json.dumps, [row("a", "20190101", 90), row("a", "20190102", 30), row("c", "20200101", 30)])))
+    run()
+    kept = O.stored(spark, str(tmp_path / "t/observations"))
+    assert sorted((r.url, r.snapshot, r.words, r.month, r.batch) for r in kept.collect()) == [("a", "20190101", 50, "m201901", 0), ("a", "20190102", 30, "m201901", 1), ("b", "20190301", 30, "m201903", 0), ("c", "20200101", 30, "m202001", 1)]
+    pruned = kept.where(F.col("month").isin("m202001"))
+    assert "PartitionFilters: [" in pruned._jdf.queryExecution().executedPlan().toString() and len(pruned.inputFiles()) >= 1
+    assert [r.url for r in O.stored(spark, str(tmp_path / "t/markers")).collect()] == ["a"]
