@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.areas import in_box
 from ..functions.names import REGIONS, Region
 from ..sources.extracts import read_extract, scan_wanted
+from ..sources.scratch import written
 from .geo import way_centroids
 from .places import sites_of
 
@@ -22,7 +23,7 @@ def extract_sites(spark: SparkSession, path: str, box: tuple[float, float, float
     One pass makes only elements with a website, a second one only the nodes of those ways; a way lies at the mean of its
     nodes that are found, and goes if none is. With a box (south, west, north, east) only sites inside it stay.
     """
-    ways = read_extract(spark, path, WEBSITE_TAGS, kinds=("way",), **options).select(F.col("id").alias("way_id"), "tags", F.col("nodes").alias("node_ids"))
+    ways = written(read_extract(spark, path, WEBSITE_TAGS, kinds=("way",), **options).select(F.col("id").alias("way_id"), "tags", F.col("nodes").alias("node_ids")), "ways")
     wanted = ways.select(F.explode("node_ids").alias("id")).select(F.lit("node").alias("type"), "id")
     nodes = scan_wanted(spark, path, wanted, **options).select(F.col("id").alias("node_id"), "lat", "lon")
     placed = ways.drop("node_ids").join(way_centroids(ways, nodes), "way_id").select(F.lit("way").alias("type"), F.col("way_id").alias("id"), "tags", "lat", "lon")

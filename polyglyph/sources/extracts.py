@@ -33,6 +33,8 @@ _MEMBER = pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.str
 ARROW = pa.schema([("type", pa.string()), ("id", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("lat", pa.float64()), ("lon", pa.float64()), ("nodes", pa.list_(pa.int64())), ("members", pa.list_(_MEMBER))])
 #: Bytes of a range, elements of a block that is written, ids that are sent to the reader, rows of a batch.
 RANGE_BYTES, BLOCK_ELEMENTS, MOST_IDS, BATCH_ROWS = 32 << 20, 8000, 1_000_000, 20_000
+#: Numbers or bytes below which a run is read or written one by one.
+SHORT = 64
 # Fixed values of the format: how a block's header begins, the most bytes of a header and of a block, units of a degree.
 MARK, MOST_HEADER, MOST_BLOCK, UNITS = b"\x0a\x07OSMData", 64 << 10, 64 << 20, 1_000_000_000
 
@@ -42,6 +44,12 @@ MARK, MOST_HEADER, MOST_BLOCK, UNITS = b"\x0a\x07OSMData", 64 << 10, 64 << 20, 1
 
 def varints(data: bytes) -> np.ndarray:
     """The numbers of a run of variable length: seven bits a byte, the low ones first, the high bit where more follow."""
+    if len(data) < SHORT:  # whole arrays pay for long runs only
+        out, at = [], 0
+        while at < len(data):
+            n, at = _number(data, at)
+            out.append(n)
+        return np.array(out, np.uint64)
     b = np.frombuffer(data, np.uint8)
     last = np.flatnonzero(b < 128)
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
@@ -52,7 +60,18 @@ def varints(data: bytes) -> np.ndarray:
     return out
 
 
+def _put_number(n: int) -> bytes:
+    n, out = int(n) & (1 << 64) - 1, bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
 def put_varints(numbers) -> bytes:
+    if len(numbers) < SHORT:
+        return b"".join(map(_put_number, numbers))
     left = np.asarray(numbers).astype(np.int64).astype(np.uint64)
     columns, on = [], np.ones(len(left), bool)
     while on.any():
@@ -80,6 +99,9 @@ def deltas(data: bytes) -> np.ndarray:
 
 
 def put_deltas(numbers) -> bytes:
+    if len(numbers) < SHORT:
+        steps = [b - a for a, b in zip([0, *numbers], numbers)]
+        return b"".join(_put_number((n << 1) ^ (n >> 63)) for n in map(int, steps))
     return put_varints(zigzag(np.diff(np.asarray(numbers, np.int64), prepend=0)))
 
 
@@ -117,8 +139,8 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 def put(number: int, value: int | bytes) -> bytes:
     if isinstance(value, int):
-        return put_varints([number << 3]) + put_varints([value])
-    return put_varints([number << 3 | 2, len(value)]) + value
+        return _put_number(number << 3) + _put_number(value)
+    return _put_number(number << 3 | 2) + _put_number(len(value)) + value
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------------
