@@ -171,13 +171,14 @@ def transitions(spans: DataFrame, key: list[str]) -> DataFrame:
 def nearest(wanted: DataFrame, snapshots: DataFrame, key: str, month: str, *, drift: int = 9) -> DataFrame:
     """Each (key, month) of wanted with the nearest snapshot's month within the drift; the earlier of equals.
 
-    The range condition becomes an equi-join: a snapshot is offered to the blocks of months its drift reaches.
+    The range condition becomes an equi-join: a snapshot is offered to the blocks of months its drift reaches. Rows that
+    come of an explode are many more than the planner takes them for, so the join is told not to broadcast them.
     """
     width = 2 * drift + 1
     w = wanted.withColumn("_block", F.floor(F.col(month) / width))
     reach = F.explode(F.sequence(F.floor((F.col("seen") - drift) / width), F.floor((F.col("seen") + drift) / width)))
     s = snapshots.select(key, F.col(month).alias("seen")).distinct().withColumn("_block", reach)
-    near = w.join(s, [key, "_block"]).withColumn("_d", F.abs(F.col("seen") - F.col(month))).where(F.col("_d") <= drift)
+    near = w.join(s.hint("merge"), [key, "_block"]).withColumn("_d", F.abs(F.col("seen") - F.col(month))).where(F.col("_d") <= drift)
     return near.groupBy(key, month).agg(F.min_by("seen", F.struct("_d", "seen")).alias("seen"))
 
 

@@ -83,3 +83,10 @@ def test_accents_are_folded_in_searches(spark):
     names = lambda q: [r.name for r in B.search_areas(index, index.limit(0), q).collect()]
     assert names("quebec") == ["Québec"] and names("etienne") == ["Saint-Étienne"] and names("ala") == ["Åland"]
     assert spark.range(1).select(A.folded_key(F.lit("Ångström")).alias("k")).first().k == "angstrom"
+
+
+def test_nearest_does_not_broadcast_what_explodes(spark):
+    from polyglyph.plans import record_plans
+
+    plan = record_plans.nearest_snapshot(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
