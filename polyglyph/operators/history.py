@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.urls import normalize_url
 from .classify import label_state
@@ -228,8 +231,21 @@ def moved(spans: DataFrame, key: list[str]) -> DataFrame:
     return each.where("runs > 1").select(*key, ((F.col("a") != F.col("b")) | ((F.col("none") > 0) & F.col("b").isNotNull())).alias("moved"))
 
 
-def _visited(months: dict[int, tuple[str, str | None]], first: int, last: int, coarse: int, deepest: int = 8) -> set[str]:
-    """Snapshots that a change-point search looks at. months: month -> (its nearest snapshot, its state, None if unusable).
+class _Nearest:
+    """The snapshot nearest each month, of a history's snapshots (seen, snapshot, state) by month; looked up as it is asked for."""
+
+    def __init__(self, seen: list[int], at: list[tuple[str, str | None]], drift: int):
+        self.seen, self.at, self.drift = seen, at, drift
+
+    def get(self, month: int) -> tuple[str | None, str | None]:
+        i = bisect_left(self.seen, month)
+        near = [(abs(self.seen[j] - month), j) for j in (i - 1, i) if 0 <= j < len(self.seen)]
+        d, j = min(near, default=(self.drift + 1, 0))
+        return self.at[j] if d <= self.drift else (None, None)
+
+
+def _visited(months: _Nearest, first: int, last: int, coarse: int, deepest: int = 8) -> set[str]:
+    """Snapshots that a change-point search looks at.
 
     A coarse grid first. Only spans with different states at their ends are halved, down to single months; a midpoint
     without a usable snapshot lets both halves be tried for the first three levels.
@@ -237,7 +253,7 @@ def _visited(months: dict[int, tuple[str, str | None]], first: int, last: int, c
     seen: set[str] = set()
 
     def state(m: int) -> str | None:
-        at, s = months.get(m, (None, None))
+        at, s = months.get(m)
         if at is not None:
             seen.add(at)
         return s
@@ -247,7 +263,7 @@ def _visited(months: dict[int, tuple[str, str | None]], first: int, last: int, c
     open_spans = [(a, b, s, t, 0) for a, b, s, t in zip(grid, grid[1:], states, states[1:]) if s is not None and t is not None and s != t]
     while open_spans:
         a, b, s, t, depth = open_spans.pop()
-        if b - a <= 1 or depth > deepest or (a in months and b in months and months[a][0] == months[b][0]):
+        if b - a <= 1 or depth > deepest or months.get(a)[0] == months.get(b)[0] is not None:
             continue
         mid = (a + b) // 2
         m = state(mid)
@@ -262,42 +278,40 @@ def _visited(months: dict[int, tuple[str, str | None]], first: int, last: int, c
 def search_changes(snapshots: DataFrame, key: str, first: int, last: int, *, coarse: int = 84, drift: int = 9) -> DataFrame:
     """(key, snapshot): the snapshots that a change-point search of each history looks at; none without a usable grid point.
 
-    snapshots: key, snapshot (stamp), state (null where unusable). A history is cut down to the snapshot nearest each
-    month before it is searched, so that a group has no more rows than there are months.
+    snapshots: key, snapshot (stamp), state (null where unusable). A history is cut down to the first snapshot of each
+    month before it is searched, so that a group has no more rows than there are months; which of them is nearest a month
+    is looked up where the search asks, so no snapshot is handed to all the months it may be nearest to.
     """
     if first > last or coarse < 1:
         raise ValueError("the months must be in order and the step positive")
     stamped = snapshots.where(F.col("snapshot").isNotNull()).groupBy(key, "snapshot").agg(F.max("state").alias("state"))
     stamped = stamped.withColumn("seen", month_index(F.col("snapshot"))).groupBy(key, "seen").agg(F.min(F.struct("snapshot", "state")).alias("at"))
-    reach = F.sequence(F.greatest(F.col("seen") - drift, F.lit(first)), F.least(F.col("seen") + drift, F.lit(last)))
     inside = stamped.where((F.col("seen") + drift >= first) & (F.col("seen") - drift <= last))
-    near = inside.withColumn("month", F.explode(reach)).groupBy(key, "month").agg(F.min_by("at", F.struct(F.abs(F.col("seen") - F.col("month")), "seen")).alias("at"))
-
-    def found(key_value, months: dict) -> pd.DataFrame:
-        at = sorted(_visited(months, first, last, coarse))
-        return pd.DataFrame({key: [key_value] * len(at), "snapshot": at})
-
-    def run(frames):
-        held, months = None, {}
-        for pdf in frames:
-            out = []
-            states = pdf["state"].astype(object).where(pdf["state"].notna(), None)
-            for k, m, s, t in zip(pdf[key].tolist(), pdf["month"].tolist(), pdf["snapshot"].tolist(), states.tolist()):
-                if months and k != held:
-                    out.append(found(held, months))
-                    months = {}
+    flat = inside.where(F.col(key).isNotNull()).select(key, "seen", "at.snapshot", "at.state")
+    schema = flat.select(key, "snapshot").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        held, seen, at, keys, out = None, [], [], [], []
+
+        def found() -> None:
+            new = sorted(_visited(_Nearest(seen, at, drift), first, last, coarse))
+            keys.extend([held] * len(new))
+            out.extend(new)
+
+        for batch in batches:
+            for k, m, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if seen and k != held:
+                    found()
+                    seen, at = [], []
                 held = k
-                months[int(m)] = (s, t)
-            yield from _joined(out)
-        if months:
-            yield found(held, months)
+                seen.append(m)
+                at.append((s, t))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow.field(0).type), pa.array(out, arrow.field(1).type)], schema=arrow)
+            keys, out = [], []
+        if seen:
+            found()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow.field(0).type), pa.array(out, arrow.field(1).type)], schema=arrow)
 
-    flat = near.where(F.col(key).isNotNull()).select(key, "month", "at.snapshot", "at.state")
     # a history's months lie one after the other in one partition, many histories to a batch
-    return flat.repartition(key).sortWithinPartitions(key, "month").mapInPandas(run, flat.select(key, "snapshot").schema)
-
-
-def _joined(frames: list[pd.DataFrame]):
-    some = [f for f in frames if len(f)]
-    if some:
-        yield pd.concat(some, ignore_index=True)
+    return flat.repartition(key).sortWithinPartitions(key, "seen").mapInArrow(run, schema)

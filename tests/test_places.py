@@ -199,3 +199,10 @@ def test_record_helpers(spark):
 def test_area_number_refuses_nodes(spark):
     with pytest.raises(Exception, match="no area for node"):
         one(spark, places.area_number(F.lit("node"), F.lit(5)))
+
+
+def test_change_search_hands_no_snapshot_to_many_months(spark):
+    rows = [(1, "202001", "a"), (1, "202012", "b"), (2, "202005", "a"), (None, "202005", "a")]
+    df = history.search_changes(spark.createDataFrame([(s, f"{m}15000000", t) for s, m, t in rows], "site long, snapshot string, state string"), "site", 24240, 24251, coarse=6)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == [(1, "20200115000000"), (1, "20201215000000"), (2, "20200515000000")]
