@@ -74,10 +74,12 @@ def child_areas(children: DataFrame, parents: DataFrame) -> DataFrame:
     return named.select(F.lit("relation").alias("osm_type"), number.alias("osm_id"), "name", F.lit("6").alias("admin_level"), F.lit("subdivision_2").alias("kind"), "parent_osm_id", F.coalesce("parent_name", F.lit("")).alias("parent_name"), "parent_iso", *[c for c in children.columns if c == "polygons"])
 
 
-def worth_showing(children: DataFrame, level: str, parent: str = "parent_osm_id", most: int = MOST_AREAS, least: int = LEAST_AREAS) -> DataFrame:
-    """children without the levels (one value of `level` each) of more than `most` areas and the parents with fewer than `least`."""
-    per_level = children.groupBy(F.col(level).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("_l")
-    kept = children.join(per_level, F.col(level).eqNullSafe(F.col("_l"))).drop("_l")
+def worth_showing(children: DataFrame, level: str, parent: str = "parent_osm_id", most: int | None = MOST_AREAS, least: int = LEAST_AREAS) -> DataFrame:
+    """children without the levels (one value of `level` each) of more than `most` areas (None: all levels stay) and the parents with fewer than `least`."""
+    kept = children
+    if most is not None:
+        per_level = children.groupBy(F.col(level).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("_l")
+        kept = children.join(per_level, F.col(level).eqNullSafe(F.col("_l"))).drop("_l")
     per_parent = kept.groupBy(F.col(parent).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_p")
     return kept.join(per_parent, F.col(parent) == F.col("_p")).drop("_p")
 

@@ -110,3 +110,8 @@ def test_runs_of_large_keys(spark):
     want = sorted(map(str, Hi.runs(df, ["k"], ["t", "i"], ["s"]).collect()))
     assert sorted(map(str, Hi.runs(df, ["k"], ["t", "i"], ["s"], hot_rows=100).collect())) == want
     assert sorted(map(str, Hi.runs(df.withColumn("t", F.timestamp_seconds("t")), ["k"], ["t", "i"], ["s"], hot_rows=100).select("k", F.unix_timestamp("t").cast("int").alias("t"), "i", "s", "run").collect())) == want
+
+
+def test_levels_stay_without_a_bound(spark):
+    df = spark.createDataFrame([("ADM2", 1)] * 3 + [("ADM2", 2)] + [("ADM3", 1)] * 6, "level string, parent_osm_id long")
+    assert sorted(map(tuple, B.worth_showing(df, "level", most=None).collect())) == [("ADM2", 1)] * 3 + [("ADM3", 1)] * 6
