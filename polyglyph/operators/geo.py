@@ -167,11 +167,11 @@ def assemble(rings: DataFrame) -> DataFrame:
     """
     outer = rings.where("role = 'outer'").select("relation_id", "n", F.col("ring").alias("outer"))
     inner = rings.where("role = 'inner'").select("relation_id", F.col("n").alias("hole_n"), F.col("ring").alias("hole"))
-    inside = outer.join(inner, "relation_id").where(in_ring(F.col("outer"), F.col("hole")[0][0], F.col("hole")[0][1]))
+    inside = outer.join(inner.hint("merge"), "relation_id").where(in_ring(F.col("outer"), F.col("hole")[0][0], F.col("hole")[0][1]))
     homes = inside.groupBy("relation_id", "hole_n").agg(F.min("n").alias("n"), F.first("hole").alias("hole"))
     holes = homes.groupBy("relation_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole_n", "hole"))), lambda h: h["hole"]).alias("holes"))
     none = F.array().cast("array<array<array<double>>>")
-    return outer.join(holes, ["relation_id", "n"], "left").select("relation_id", "n", F.concat(F.array("outer"), F.coalesce("holes", none)).alias("rings"))
+    return outer.join(holes.hint("merge"), ["relation_id", "n"], "left").select("relation_id", "n", F.concat(F.array("outer"), F.coalesce("holes", none)).alias("rings"))
 
 
 def move_by_box(areas: DataFrame, giver: str, taker: str, box: tuple[float, float, float, float], key: str = "iso") -> DataFrame:

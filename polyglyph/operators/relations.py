@@ -14,6 +14,8 @@ from .geo import assemble, simplify
 MEMBERS = "array<struct<type: string, ref: long, role: string>>"
 #: Lines of a relation's role up to which one task stitches them, and the part of a degree within which ends meet.
 LOCAL_LINES, NEAR = 5000, 1e-9
+#: How tables that grow with the map are joined. Lines, tags and rows of an explode are far more in memory than their files say, so the planner would broadcast them.
+_BIG = "merge"
 _RING = "relation_id long, role string, first long, ring array<array<double>>"
 
 
@@ -31,7 +33,7 @@ def nested_links(relations: DataFrame) -> DataFrame:
     m = m.select("parent", F.col("m.ref").alias("child"), _role(F.col("m.role")).alias("role")).where(F.col("role").isin("inner", "outer", ""))
     administrative = F.coalesce(F.try_element_at("tags", F.lit("boundary")) == "administrative", F.lit(False))
     known = relations.groupBy(F.col("id").alias("child")).agg(F.max(administrative).alias("area"))
-    return m.join(known, "child").where("not area or role <> ''").select("parent", "child").distinct()
+    return m.join(known.hint(_BIG), "child").where("not area or role <> ''").select("parent", "child").distinct()
 
 
 def followed(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -44,15 +46,15 @@ def followed(links: DataFrame, roots: DataFrame) -> DataFrame:
     start = roots.where("id is not null").select(F.col("id").alias("root"), F.col("id").cast("long").alias("id")).distinct()
     found = Rounds(start, "followed")
     while not found.last.isEmpty():
-        step = found.last.join(links, F.col("id") == F.col("parent")).select("root", F.col("child").alias("id")).distinct()
-        found.add(step.join(found.all(), ["root", "id"], "left_anti"))
+        step = found.last.join(links.hint(_BIG), F.col("id") == F.col("parent")).select("root", F.col("child").alias("id")).distinct()
+        found.add(step.join(found.all().hint(_BIG), ["root", "id"], "left_anti"))
     return found.all()
 
 
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(way_id, line): the places of a way's nodes in order. ways: way_id, node_ids; nodes: node_id, lon, lat. Nodes that are not there are left out; fewer than two make no line."""
     each = ways.select("way_id", F.posexplode("node_ids").alias("_at", "node_id"))
-    found = each.join(nodes.select("node_id", "lon", "lat"), "node_id").groupBy("way_id")
+    found = each.join(nodes.select("node_id", "lon", "lat").hint(_BIG), "node_id").groupBy("way_id")
     lines = found.agg(F.array_sort(F.collect_list(F.struct("_at", "lon", "lat"))).alias("_l"))
     return lines.where(F.size("_l") > 1).select("way_id", F.transform("_l", lambda p: F.array(p["lon"], p["lat"])).alias("line"))
 
@@ -66,8 +68,8 @@ def relation_pieces(relations: DataFrame, ways: DataFrame, roots: DataFrame | No
     reached = followed(nested_links(relations), relations.select("id") if roots is None else roots)
     m = relations.select("id", F.explode("members").alias("m")).where("m.type = 'way'")
     m = m.select("id", F.col("m.ref").alias("way_id"), F.when(_role(F.col("m.role")) == "inner", "inner").otherwise("outer").alias("role"))
-    lines = m.join(ways.where(F.size("line") > 1).select("way_id", "line"), "way_id")
-    return reached.join(lines, "id").select(F.col("root").alias("relation_id"), "role", "line")
+    lines = m.join(ways.where(F.size("line") > 1).select("way_id", "line").hint(_BIG), "way_id")
+    return reached.join(lines.hint(_BIG), "id").select(F.col("root").alias("relation_id"), "role", "line")
 
 
 def stitched(lines: list[list]) -> list[tuple[int, list]]:
@@ -135,7 +137,7 @@ def _arcs(lines: DataFrame) -> DataFrame:
     # who arrives at end 1 of a line has gone along it; who leaves from end 1 goes against it
     turns = pairs.select((F.col("p.at.line_id") * 2 + 1 - F.col("p.at.end")).alias("arc"), (F.col("p.to.line_id") * 2 + F.col("p.to.end")).alias("nxt"))
     arcs = lines.select(F.explode(F.array(F.col("line_id") * 2, F.col("line_id") * 2 + 1)).alias("arc"))
-    return arcs.join(turns, "arc", "left")
+    return arcs.join(turns.hint(_BIG), "arc", "left")
 
 
 def ranked(arcs: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def ranked(arcs: DataFrame) -> DataFrame:
         ahead = now.select(*[F.col(c).alias(f"_{c}") for c in now.columns])
         more = F.col("_arc").isNotNull()
         better = more & (F.col("_best") < F.col("best"))
-        step = now.join(ahead, F.col("nxt") == F.col("_arc"), "left").select(
+        step = now.join(ahead.hint(_BIG), F.col("nxt") == F.col("_arc"), "left").select(
             "arc", F.when(more, F.col("_nxt")).alias("nxt"), F.coalesce("_last", "last").alias("last"), F.when(more, F.col("_far") + span).otherwise(F.col("far")).alias("far"),
             F.when(better, F.col("_best")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("_at") + span).otherwise(F.col("at")).alias("at"),
             (more & (better | F.col("_nxt").isNull())).alias("changed"),
@@ -171,9 +173,9 @@ def chains(lines: DataFrame) -> DataFrame:
     """
     order = ranked(_arcs(lines))
     least = order.groupBy("open", "chain").agg(F.min("best").alias("first")).where("first % 2 = 0")
-    mine = order.join(least, ["open", "chain"]).select(F.shiftright("arc", 1).alias("line_id"), (F.col("arc") % 2 == 1).alias("back"), "open", "first", "place")
+    mine = order.join(least.hint(_BIG), ["open", "chain"]).select(F.shiftright("arc", 1).alias("line_id"), (F.col("arc") % 2 == 1).alias("back"), "open", "first", "place")
     each = F.struct("place", F.when(F.col("back"), F.reverse("line")).otherwise(F.col("line")).alias("line"))
-    grouped = lines.join(mine, "line_id").groupBy("relation_id", "role", "first", "open").agg(F.array_sort(F.collect_list(each)).alias("l"))
+    grouped = lines.join(mine.hint(_BIG), "line_id").groupBy("relation_id", "role", "first", "open").agg(F.array_sort(F.collect_list(each)).alias("l"))
     rest = F.flatten(F.transform("l", lambda x: F.slice(x["line"], 2, F.size(x["line"]) - 1)))
     return grouped.select("relation_id", "role", F.shiftright("first", 1).alias("first"), "open", F.concat(F.slice(F.col("l")[0]["line"], 1, 1), rest).alias("line"))
 
@@ -219,5 +221,5 @@ def relation_features(relations: DataFrame, ways: DataFrame, roots: DataFrame |
     polygons = simple.groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("n", "rings"))).alias("p"))
     tag = lambda k: F.nullif(F.try_element_at("tags", F.lit(k)), F.lit(""))
     named = relations.select("id", F.coalesce(tag("name:en"), tag("name"), F.concat(F.lit("relation/"), "id")).alias("name"), F.try_element_at("tags", F.lit("admin_level")).alias("admin_level"))
-    rows = polygons.join(named, F.col("relation_id") == F.col("id"))
+    rows = polygons.join(named.hint(_BIG), F.col("relation_id") == F.col("id"))
     return rows.select(F.lit("relation").alias("osm_type"), F.col("relation_id").alias("osm_id"), "name", "admin_level", area_kind(F.col("admin_level")).alias("kind"), F.transform("p", lambda x: x["rings"]).alias("polygons"))

@@ -267,3 +267,10 @@ def test_tiles_of_the_last_level_have_the_keys_of_the_sql(spark, tmp_path):
     got = sorted(map(tuple, geometry_plans.customer_tiles(spark, str(tmp_path)).collect()))
     want = duckdb.sql("with customer as (from '" + f"{tmp_path}/customer.parquet/*.parquet" + "') select * from (" + geometry_plans.ORACLE_SQL["customer_tiles"] + ")").fetchall()
     assert got == sorted(want) and max(r[0] for r in got) == 6
+
+
+def test_relations_are_not_broadcast(spark):
+    from polyglyph.plans import geometry_plans
+
+    plan = geometry_plans.nested_areas(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
