@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ MEMBERS = "array<struct<type: string, ref: long, role: string>>"
 LOCAL_LINES, NEAR = 5000, 1e-9
 #: How tables that grow with the map are joined. Lines, tags and rows of an explode are far more in memory than their files say, so the planner would broadcast them.
 _BIG = "merge"
-_RING = "relation_id long, role string, first long, ring array<array<double>>"
+_RING = "relation_id long, role string, first long, n int, ring array<array<double>>"
+_ARROW = pa.schema([("relation_id", pa.int64()), ("role", pa.string()), ("first", pa.int64()), ("n", pa.int32()), ("ring", pa.list_(pa.list_(pa.float64())))])
 
 
 def _role(role: Column) -> Column:
@@ -180,11 +181,40 @@ def chains(lines: DataFrame) -> DataFrame:
     return grouped.select("relation_id", "role", F.shiftright("first", 1).alias("first"), "open", F.concat(F.slice(F.col("l")[0]["line"], 1, 1), rest).alias("line"))
 
 
-def _stitch_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("line_id", kind="stable")
-    ids = pdf["line_id"].tolist()
-    rows = [(pdf["relation_id"].iloc[0], pdf["role"].iloc[0], ids[i], ring) for i, ring in stitched([[tuple(p) for p in line] for line in pdf["line"]])]
-    return pd.DataFrame(rows, columns=["relation_id", "role", "first", "ring"])
+def _stitched_groups(lines: DataFrame) -> DataFrame:
+    """(relation_id, role, first, n, ring) of lines (relation_id, role, line_id, line): each relation's role stitched by itself, its rings numbered from 0.
+
+    The lines of a role lie one after the other in one partition, and a batch holds many roles.
+    """
+
+    def run(batches):
+        held, ids, own, out = None, [], [], []
+
+        def close() -> None:
+            out.extend((*held, ids[i], n, ring) for n, (i, ring) in enumerate(stitched(own)))
+
+        for batch in batches:
+            for relation, role, line_id, line in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held != (relation, role):
+                    if own:
+                        close()
+                    held, ids, own = (relation, role), [], []
+                ids.append(line_id)
+                own.append(line)
+            if out:
+                yield _rings(out)
+                out = []
+        if own:
+            close()
+        if out:
+            yield _rings(out)
+
+    sorted_ = lines.select("relation_id", "role", "line_id", "line").repartition("relation_id", "role").sortWithinPartitions("relation_id", "role", "line_id")
+    return sorted_.mapInArrow(run, _RING)
+
+
+def _rings(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def stitch_relations(pieces: DataFrame, local_lines: int = LOCAL_LINES) -> DataFrame:
@@ -198,16 +228,15 @@ def stitch_relations(pieces: DataFrame, local_lines: int = LOCAL_LINES) -> DataF
     lines = written(pieces.where(F.size("line") > 1).select("relation_id", "role", "line", F.monotonically_increasing_id().alias("line_id")), "lines")
     large = lines.groupBy("relation_id", "role").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > local_lines).drop("_n")
     if large.isEmpty():
-        rings = lines.groupBy("relation_id", "role").applyInPandas(_stitch_group, _RING)
-    else:
-        large = written(large, "large")
-        joined = written(chains(lines.join(large, ["relation_id", "role"], "left_semi")), "chains")
-        open_ = joined.where("open").select("relation_id", "role", "line", F.col("first").alias("line_id"))
-        small = lines.join(large, ["relation_id", "role"], "left_anti").unionByName(open_)
-        closed = joined.where(~F.col("open") & (F.size("line") >= 4)).select("relation_id", "role", "first", F.col("line").alias("ring"))
-        rings = small.groupBy("relation_id", "role").applyInPandas(_stitch_group, _RING).unionByName(closed)
+        return _stitched_groups(lines).select("relation_id", "role", "n", "ring")
+    large = written(large, "large")
+    joined = written(chains(lines.join(large, ["relation_id", "role"], "left_semi")), "chains")
+    open_ = joined.where("open").select("relation_id", "role", "line", F.col("first").alias("line_id"))
+    small = lines.join(large, ["relation_id", "role"], "left_anti")
+    closed = joined.where(~F.col("open") & (F.size("line") >= 4)).select("relation_id", "role", "first", F.col("line").alias("ring"))
+    rest = _stitched_groups(open_).drop("n").unionByName(closed)
     n = F.row_number().over(W.partitionBy("relation_id", "role").orderBy("first")) - 1
-    return rings.select("relation_id", "role", n.alias("n"), "ring")
+    return _stitched_groups(small).select("relation_id", "role", "n", "ring").unionByName(rest.select("relation_id", "role", n.alias("n"), "ring"))
 
 
 def relation_features(relations: DataFrame, ways: DataFrame, roots: DataFrame | None = None, tolerance: float = 0.003) -> DataFrame:

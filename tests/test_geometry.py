@@ -274,3 +274,18 @@ def test_relations_are_not_broadcast(spark):
 
     plan = geometry_plans.nested_areas(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_many_small_relations_are_stitched_in_one_pass(spark):
+    rows = [(i, "outer" if j % 2 else None, [[float(a), float(i)], [float(b), float(j)]]) for i in range(30) for j in range(2) for a, b in ((0, 1), (1, 2), (2, 3))]
+    rows = [(i, role, [[p[0], 0.0], [q[0], 0.0]]) for i, role, (p, q) in rows]
+    df = spark.createDataFrame(rows, "relation_id long, role string, line array<array<double>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # roles go on over batches
+    try:
+        made = relations.stitch_relations(df)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got = sorted(((r.relation_id, r.role or "", r.n, len(r.ring)) for r in made.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert got == sorted((i, role, 0, 5) for i in range(30) for role in ("", "outer"))
