@@ -40,11 +40,17 @@ def nested_links(relations: DataFrame) -> DataFrame:
 def followed(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id): every root (id) with itself and all it reaches by links (parent, child), each once, cycles or not.
 
-    A round joins only what the last one found; what a root has already reached is found by an anti join, so cycles end
-    and a relation reached twice counts once. There are as many rounds as the deepest nesting. Null ids go.
+    What a root has already reached is found by an anti join, so cycles end and a relation reached twice counts once.
+    Where all that have links are roots, a round doubles the distance that is known: what lies up to twice as far is what
+    is reached from those just at it. There are as many rounds as the deepest nesting has binary digits. Where only some
+    are roots, a round joins what the last one found, and there are as many as the deepest nesting. Null ids go.
     """
     links = written(links.where("parent is not null and child is not null"), "links")
     start = roots.where("id is not null").select(F.col("id").alias("root"), F.col("id").cast("long").alias("id")).distinct()
+    start = written(start, "roots")
+    others = links.join(start.select(F.col("id").alias("parent")).hint(_BIG), "parent", "left_anti")
+    if others.limit(1).isEmpty():
+        return _doubled(start, links)
     found = Rounds(start, "followed")
     while not found.last.isEmpty():
         step = found.last.join(links.hint(_BIG), F.col("id") == F.col("parent")).select("root", F.col("child").alias("id")).distinct()
@@ -52,6 +58,22 @@ def followed(links: DataFrame, roots: DataFrame) -> DataFrame:
     return found.all()
 
 
+def _doubled(start: DataFrame, links: DataFrame) -> DataFrame:
+    """followed() where every parent is a root, with `far`, the least number of links that lead there, while it goes on."""
+    far = lambda n: F.lit(n).cast("long").alias("far")
+    one = start.join(links.hint(_BIG), F.col("id") == F.col("parent")).where("id <> child").select("root", F.col("child").alias("id"), far(1)).distinct()
+    found = Rounds(start.select("root", "id", far(0)), "followed")
+    found.add(one)
+    span = 1
+    while not found.last.where(F.col("far") == span).limit(1).isEmpty():
+        at = found.last.where(F.col("far") == span).select("root", F.col("id").alias("_mid"))
+        on = found.all().where("far > 0").select(F.col("root").cast("long").alias("_mid"), "id", (F.col("far") + span).alias("far"))
+        step = at.join(on.hint(_BIG), "_mid").groupBy("root", "id").agg(F.min("far").alias("far"))
+        found.add(step.join(found.all().select("root", "id").hint(_BIG), ["root", "id"], "left_anti"))
+        span *= 2
+    return found.all().drop("far")
+
+
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(way_id, line): the places of a way's nodes in order. ways: way_id, node_ids; nodes: node_id, lon, lat. Nodes that are not there are left out; fewer than two make no line."""
     each = ways.select("way_id", F.posexplode("node_ids").alias("_at", "node_id"))

@@ -289,3 +289,15 @@ def test_many_small_relations_are_stitched_in_one_pass(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
     assert got == sorted((i, role, 0, 5) for i in range(30) for role in ("", "outer"))
+
+
+def test_nesting_is_followed_in_few_rounds(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(40)] + [(40, 0), (5, 5), (100, 101), (100, 102), (101, 103), (102, 103)]
+    rounds = []
+    add = relations.Rounds.add
+    monkeypatch.setattr(relations.Rounds, "add", lambda self, df: rounds.append(1) or add(self, df))
+    roots = sorted({n for link in links for n in link})
+    got = sorted(map(tuple, relations.followed(spark.createDataFrame(links, "parent long, child long"), spark.createDataFrame([(n,) for n in roots], "id long")).collect()))
+    circle = [(i, j) for i in range(41) for j in range(41)]
+    assert got == sorted(circle + [(100, n) for n in (100, 101, 102, 103)] + [(101, 101), (101, 103), (102, 102), (102, 103), (103, 103)])
+    assert len(rounds) <= 9
