@@ -1,4 +1,4 @@
-"""Searches for areas by name, a whole table of queries at once: postings of letter triples, joined by each query's rarest."""
+"""Searches for areas by name, a whole table of queries at once: the parts of keys that a query may equal, joined by the query itself."""
 
 from __future__ import annotations
 
@@ -53,6 +53,27 @@ def query_rank(key: Column, iso_key: Column, query: Column) -> Column:
     )
 
 
+def parts(key: Column, lengths: list[int], inside: bool) -> Column:
+    """[(query, rank)]: all that a query of one of the lengths may be of a key, each once with its best rank (see query_rank()).
+
+    inside: ends of four letters and parts of five count too, as in `key`; in a code only its beginning does.
+    """
+    n = F.length(key)
+    one = lambda q, rank: F.struct(q.alias("query"), F.lit(rank).cast("int").alias("rank"))
+    none = F.array().cast("array<struct<query: string, rank: int>>")
+
+    def of(size: Column) -> Column:
+        start, end = F.substring(key, F.lit(1), size), F.substring(key, n - size + 1, size)
+        found = F.array(F.struct(start.alias("query"), F.when(n == size, 0).otherwise(1).alias("rank")))
+        if inside:
+            within = F.array_except(F.transform(F.sequence(F.lit(2), F.greatest(n - size, F.lit(2))), lambda i: F.substring(key, i, size)), F.array(start, end))
+            ends = F.when((size >= 4) & (n > size) & (end != start), F.array(one(end, 2))).otherwise(none)
+            found = F.concat(found, ends, F.when((size >= 5) & (n > size + 1), F.transform(within, lambda q: one(q, 3))).otherwise(none))
+        return F.when(n >= size, found).otherwise(none)
+
+    return F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), of))
+
+
 def search_all(index: DataFrame, queries: DataFrame, remote: DataFrame | None = None, most: int = MOST_HITS) -> DataFrame:
     """The best areas for each query (a folded key), with `query` and `place` from 1: as boundaries.search_areas() for one.
 
@@ -65,15 +86,21 @@ def search_all(index: DataFrame, queries: DataFrame, remote: DataFrame | None =
     kinds = F.when(F.col("kind") == "country", 0).when(F.col("kind") == "subdivision_1", 1).when(F.col("kind") == "subdivision_2", 2).otherwise(9)
     ranked = lambda df: df.withColumn("rank", query_rank(F.col("key"), iso, F.col("query"))).withColumn("kind_rank", kinds)
     order = [F.col("rank"), F.col("kind_rank"), F.length("key"), F.col("name"), F.col("osm_id")]
-    first = lambda df, n: df.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("_n") <= n).drop("_n")
-    # what the keys say is joined, not what all columns say; the ids of the best are joined to their rows
+    first = lambda df, n, by=("query",), order=order: df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    asked_ = queries.where("query <> ''").select("query").distinct()
+    lengths = sorted(r[0] for r in asked_.select(F.length("query")).distinct().collect())  # as many numbers as lengths
     keyed = numbered.select("_row", "osm_id", "key", "iso_key", "name", "kind")
-    found = candidates(queries, postings(numbered, "_row"), "_row").join(keyed, "_row")
-    own = first(ranked(found).where("rank < 4"), most).select("query", "_row", "rank", "kind_rank")
-    own = own.join(numbered, "_row").drop("_row").withColumn("origin", F.lit(0))
+    # of rows with one key a query finds the same first ones, so no more than `most` of them say what is in the key
+    alike = first(keyed.where("key <> ''").withColumn("kind_rank", kinds), most, ("key",), ["kind_rank", "name", "osm_id"])
+    said = alike.select("*", F.inline(parts(F.col("key"), lengths, True))).drop("iso_key")
+    coded = keyed.where("iso_key <> ''").withColumn("kind_rank", kinds).select("*", F.inline(parts(F.col("iso_key"), lengths, False))).drop("iso_key")
+    found = said.unionByName(coded).join(asked_.hint("merge"), "query")
+    # a row that both its key and its code offer counts once, by the better; of twice `most` offers as many rows are left at least
+    once = first(first(found, 2 * most), 1, ("query", "_row"), [F.col("rank")])
+    own = first(once, most).select("query", "_row", "rank", "kind_rank")
+    own = own.join(numbered.hint("merge"), "_row").drop("_row").withColumn("origin", F.lit(0))
     if remote is not None:
-        asked_ = queries.select("query").distinct()
-        other = first(ranked(remote.where(F.length("query") >= 3).join(asked_, "query", "left_semi")), most).withColumn("origin", F.lit(1))
+        other = first(ranked(remote.where(F.length("query") >= 3).join(asked_.hint("merge"), "query", "left_semi")), most).withColumn("origin", F.lit(1))
         own = own.unionByName(other, allowMissingColumns=True)  # twice `most` rows of a query at most
     best = F.min(F.when(F.col("origin") == 0, F.col("rank"))).over(W.partitionBy("query"))
     one = F.row_number().over(W.partitionBy("query", "osm_id").orderBy("origin", *order))

@@ -36,3 +36,24 @@ def test_the_rarest_gram_is_joined(spark):
     for r in S.candidates(queries, S.postings(index)).collect():
         found.setdefault(r.query, []).append(r.osm_id)
     assert found["commonrare"] == [7] and "nowhere" not in found and len(found["co"]) == 50
+
+
+def test_parts_are_all_that_queries_find(spark):
+    draw = random.Random(3)
+    keys = ["".join(draw.choice("ab") for _ in range(draw.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(k, k[:4]) for k in keys], "key string, iso_key string")
+    sizes = [1, 3, 4, 5, 7]
+    said = {(r.key, r.query): r.rank for r in df.select("key", F.inline(S.parts(F.col("key"), sizes, True))).collect()}
+    queries = {k[i : i + n] for k in keys for n in sizes for i in range(len(k) - n + 1)}
+    pairs = spark.createDataFrame([(k, q) for k in set(keys) for q in queries], "key string, query string")
+    ranks = {(r.key, r.query): r.rank for r in pairs.withColumn("rank", S.query_rank(F.col("key"), F.lit(""), F.col("query"))).where("rank < 4").collect()}
+    assert said == ranks
+    codes = [r.query for r in df.limit(1).select(F.inline(S.parts(F.lit("p12345"), sizes, False))).collect()]
+    assert codes == ["p", "p12", "p123", "p1234"] and df.select(F.inline(S.parts(F.col("key"), [], True))).count() == 0
+
+
+def test_searches_do_not_broadcast(spark):
+    from polyglyph.plans import boundary_plans
+
+    plan = boundary_plans.part_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
