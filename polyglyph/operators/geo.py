@@ -44,12 +44,13 @@ def vertex_mean(rings: Column) -> Column:
 def nearest_area(points: DataFrame, areas: DataFrame, within: float = 5.0) -> DataFrame:
     """(point_id, area_id): the area whose vertex mean is nearest in degrees, closer than `within`; the least id of equals.
 
-    Means lie in cells as wide as the reach, so a point looks at nine cells and not at all areas.
+    Means lie in cells as wide as the reach, and an area is offered to the nine around its own, so a point meets what may
+    be near it and not all areas. Areas are dealt out and not points, of which there are many more.
     """
     c = areas.select("area_id", vertex_mean(F.col("rings")).alias("c")).select("area_id", F.col("c.lon").alias("_lon"), F.col("c.lat").alias("_lat"))
-    c = c.withColumn("_x", F.floor(F.col("_lon") / within)).withColumn("_y", F.floor(F.col("_lat") / within))
-    around = F.array(*[F.struct((F.floor(F.col("lon") / within) + dx).alias("_x"), (F.floor(F.col("lat") / within) + dy).alias("_y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    p = points.withColumn("_c", F.explode(around)).select("point_id", "lon", "lat", "_c._x", "_c._y")
+    around = F.array(*[F.struct((F.floor(F.col("_lon") / within) + dx).alias("_x"), (F.floor(F.col("_lat") / within) + dy).alias("_y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    c = c.withColumn("_c", F.explode(around)).select("area_id", "_lon", "_lat", "_c._x", "_c._y")
+    p = points.select("point_id", "lon", "lat", F.floor(F.col("lon") / within).alias("_x"), F.floor(F.col("lat") / within).alias("_y"))
     d = F.pow(F.col("lon") - F.col("_lon"), 2) + F.pow(F.col("lat") - F.col("_lat"), 2)
     near = p.join(c, ["_x", "_y"]).withColumn("_d", d).where(F.col("_d") < within * within)
     return near.groupBy("point_id").agg(F.min_by("area_id", F.struct("_d", "area_id")).alias("area_id"))

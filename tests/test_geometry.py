@@ -301,3 +301,14 @@ def test_nesting_is_followed_in_few_rounds(spark, monkeypatch):
     circle = [(i, j) for i in range(41) for j in range(41)]
     assert got == sorted(circle + [(100, n) for n in (100, 101, 102, 103)] + [(101, 101), (101, 103), (102, 102), (102, 103), (103, 103)])
     assert len(rounds) <= 9
+
+
+def test_nearest_area_deals_out_areas_and_not_points(spark):
+    from polyglyph.operators import geo
+
+    areas = spark.createDataFrame([(2, [[[0.0, 0.0], [0.0, 2.0], [2.0, 2.0], [2.0, 0.0]]]), (1, [[[4.0, 0.0], [4.0, 2.0], [6.0, 2.0], [6.0, 0.0]]])], "area_id long, rings array<array<array<double>>>")
+    points = spark.createDataFrame([(1, 3.0, 1.0), (2, -2.0, 1.0), (3, 9.9, 1.0), (4, 10.0, 1.0), (5, None, 1.0), (6, -3.9, 1.0)], "point_id long, lon double, lat double")
+    found = geo.nearest_area(points, areas, within=5.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "point_id" not in plan[plan.index("Generate explode") :]
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 2), (3, 1), (6, 2)]
