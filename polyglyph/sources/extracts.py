@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 SCHEMA = "type string, id long, tags map<string,string>, lat double, lon double, nodes array<long>, members array<struct<type: string, ref: long, role: string>>"
 KINDS = ("node", "way", "relation")
+#: Kinds of the elements that have a field of their own, by its number.
+SINGLE = {1: "node", 3: "way", 4: "relation"}
 _MEMBER = pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())])
 ARROW = pa.schema([("type", pa.string()), ("id", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("lat", pa.float64()), ("lon", pa.float64()), ("nodes", pa.list_(pa.int64())), ("members", pa.list_(_MEMBER))])
 #: Bytes of a range, elements of a block that is written, ids that are sent to the reader, rows of a batch.
@@ -60,7 +63,13 @@ def varints(data: bytes) -> np.ndarray:
     return out
 
 
+#: The numbers of one byte.
+_ONE = [bytes([n]) for n in range(128)]
+
+
 def _put_number(n: int) -> bytes:
+    if 0 <= n < 128:
+        return _ONE[n]
     n, out = int(n) & (1 << 64) - 1, bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -105,6 +114,28 @@ def put_deltas(numbers) -> bytes:
     return put_varints(zigzag(np.diff(np.asarray(numbers, np.int64), prepend=0)))
 
 
+def _few(data: bytes) -> list[int]:
+    """varints() of a run as a list, which most runs of a way are too short to make arrays of."""
+    if len(data) >= SHORT:
+        return varints(data).tolist()
+    out, value, shift = [], 0, 0
+    for byte in data:
+        value |= (byte & 127) << shift
+        if byte < 128:
+            out.append(value)
+            value = shift = 0
+        else:
+            shift += 7
+    return out
+
+
+def _few_deltas(data: bytes) -> list[int]:
+    """deltas() of a run as a list."""
+    if len(data) >= SHORT:
+        return deltas(data).tolist()
+    return list(accumulate((n >> 1) ^ -(n & 1) for n in _few(data)))
+
+
 def _number(data, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -219,6 +250,12 @@ class Wanted:
             return np.full(len(ids), self.ids is None)
         return self.ids[np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)] == ids
 
+    def has(self, ident: int) -> bool:
+        """Whether one element is asked for by its id."""
+        if self.ids is None or not len(self.ids):
+            return self.ids is None
+        return self.ids[min(int(self.ids.searchsorted(ident)), len(self.ids) - 1)] == ident
+
 
 def elements(block: bytes, wanted: Wanted) -> Iterator[tuple]:
     """Rows (of SCHEMA) of a block's elements."""
@@ -252,22 +289,22 @@ def elements(block: bytes, wanted: Wanted) -> Iterator[tuple]:
                     kv = said[starts[i] : ends[i]].tolist()
                     if not wanted.keys or keys.intersection(kv[::2]):
                         yield "node", int(ids[i]), tags(kv[::2], kv[1::2]), degrees(int(lat[i]), south), degrees(int(lon[i]), west), None, None
-            elif number in (1, 3, 4) and KINDS[{1: 0, 3: 1, 4: 2}[number]] in wanted.kinds:
-                kind = {1: "node", 3: "way", 4: "relation"}[number]
+            elif number in SINGLE and SINGLE[number] in wanted.kinds:
+                kind = SINGLE[number]
                 d = dict(fields(value))
-                ident = int(signed(np.array([d[1]], np.uint64))[0]) if kind == "node" else d[1] - (1 << 64) if d[1] >> 63 else d[1]
-                if not wanted.of(np.array([ident]))[0]:
+                ident = (d[1] >> 1) ^ -(d[1] & 1) if kind == "node" else d[1] - (1 << 64) if d[1] >> 63 else d[1]
+                if not wanted.has(ident):
                     continue
-                k, v = (varints(d.get(n, b"")).tolist() for n in (2, 3))
+                k, v = _few(d.get(2, b"")), _few(d.get(3, b""))
                 if wanted.keys and not keys.intersection(k):
                     continue
                 if kind == "node":
-                    lat, lon = (int(signed(np.array([d[n]], np.uint64))[0]) for n in (8, 9))
+                    lat, lon = ((d[n] >> 1) ^ -(d[n] & 1) for n in (8, 9))
                     yield kind, ident, tags(k, v), degrees(lat, south), degrees(lon, west), None, None
                 elif kind == "way":
-                    yield kind, ident, tags(k, v), None, None, deltas(d.get(8, b"")).tolist(), None
+                    yield kind, ident, tags(k, v), None, None, _few_deltas(d.get(8, b"")), None
                 else:
-                    roles, refs, types = varints(d.get(8, b"")).tolist(), deltas(d.get(9, b"")).tolist(), varints(d.get(10, b"")).tolist()
+                    roles, refs, types = _few(d.get(8, b"")), _few_deltas(d.get(9, b"")), _few(d.get(10, b""))
                     yield kind, ident, tags(k, v), None, None, None, [{"type": KINDS[t], "ref": r, "role": text[s]} for t, r, s in zip(types, refs, roles)]
 
 
@@ -285,7 +322,7 @@ def block_of(rows: list[tuple]) -> bytes:
         body = put(1, put_deltas([row[1] for row in rows])) + put(8, place(3)) + put(9, place(4)) + (put(10, said) if said else b"")
         group = put(2, body)
     else:
-        group = b""
+        parts = []  # joined once, as bytes that grow are copied each time
         for row, kv in zip(rows, pairs):
             one = put(1, row[1]) + put(2, put_varints([k for k, _ in kv])) + put(3, put_varints([v for _, v in kv]))
             if kind == "way":
@@ -293,7 +330,8 @@ def block_of(rows: list[tuple]) -> bytes:
             else:
                 m = row[6] or []
                 one += put(8, put_varints([number(x["role"]) for x in m])) + put(9, put_deltas([x["ref"] for x in m])) + put(10, put_varints([KINDS.index(x["type"]) for x in m]))
-            group += put(3 if kind == "way" else 4, one)
+            parts.append(put(3 if kind == "way" else 4, one))
+        group = b"".join(parts)
     table = b"".join(put(1, "".encode() if s == "\0empty" else s.encode()) for s in numbers)
     return put(1, table) + put(2, group)
 

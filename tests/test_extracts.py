@@ -127,3 +127,17 @@ def test_a_file_written_by_others(spark, tmp_path):
     got = sorted((r.id, dict(r.tags), r.lat, r.lon) for r in S.read_extract(spark, str(tmp_path / "o.pbf")).collect())
     assert got == [(5, {"name": "A"}, 5.00001, -5.000015), (6, {}, 5.000001, -4.999997), (8, {}, 5.000002, -5.000004)]
     assert zlib.decompress(zlib.compress(block)) == block and glob.glob(str(tmp_path / "*.pbf"))
+
+
+def test_a_block_of_ways_is_joined_once_and_read_without_arrays(monkeypatch):
+    from polyglyph.sources import extracts as S
+
+    ways = [("way", i - 3, [("a", "b")] if i % 7 == 0 else [], None, None, [i // 10, -i, i + 1_000_000, 1 << 40], None) for i in range(500)]
+    block = S.block_of(ways)
+    monkeypatch.setattr(S, "varints", lambda data: 1 / 0)  # arrays are for long runs
+    assert list(S.elements(block, S.Wanted())) == ways
+    monkeypatch.undo()
+    long = [("way", 1 << 40, [], None, None, list(range(0, 9000, 9))[::-1], None)]
+    assert list(S.elements(S.block_of(long), S.Wanted())) == long
+    some = S.Wanted(ids=S.np.array([-3, 4, 496]))
+    assert [r[1] for r in S.elements(block, some)] == [-3, 4, 496] and not list(S.elements(block, S.Wanted(ids=S.np.array([], int))))
