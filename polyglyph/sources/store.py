@@ -75,15 +75,16 @@ class Store:
         now = self.manifest()
         return None if now is None else self._read(now)
 
-    def merge(self, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    def merge(self, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], keys: DataFrame | None = None) -> int:
         """The version that how(old rows, new rows) makes of the buckets that `new` touches; of all others nothing is read.
 
-        how() sees the old rows of those buckets only and gives rows of the same columns and keys. `new` is read twice;
-        no rows make no new version. Raises Conflict where another run was faster: nothing has changed then.
+        how() sees the old rows of those buckets only and gives rows of the same columns and keys. `new` is read twice,
+        or once where `keys` gives its keys for less; no rows make no new version. Raises Conflict where another run was
+        faster: nothing has changed then.
         """
         now = self.manifest()
         buckets = now["buckets"] if now else self._buckets
-        touched = {r[0] for r in new.select(self.bucket(buckets)).distinct().collect()}  # as many numbers as buckets at most
+        touched = {r[0] for r in (new if keys is None else keys).select(self.bucket(buckets)).distinct().collect()}  # as many numbers as buckets at most
         if not touched:
             return now["version"] if now else 0
         old = self._read(now, touched) if now else self.spark.createDataFrame([], new.schema)

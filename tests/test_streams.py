@@ -111,6 +111,35 @@ def test_any_order_of_arrival_equals_the_batch(spark, tmp_path, track, seed):
     assert months.count() > 12 and len([w for w in want if w[0] == "http://c" and track == "primary"]) in (0, 1)
 
 
+def test_the_state_is_asked_for_months_not_for_observations(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    row = lambda u, d, i: {"url": u, "snapshot": f"201901{d:02}{i:06}", "date": f"2019-01-{d:02}", "final_url": u, "primary": "uk", "available": ["uk"], "words": 30}
+    for part, days in enumerate(((1, 3), (2, 3))):  # the third comes twice
+        (tmp_path / f"log/{part}.json").write_text("\n".join(json.dumps(row(u, d, i)) for u in ("http://a", "http://b") for d in days for i in range(20)))
+        stream = I.keep_histories(spark, str(tmp_path / "log"), str(tmp_path / "t"), str(tmp_path / "c"))
+        stream.awaitTermination()
+        state = [s for p in stream.recentProgress for s in p["stateOperators"]]
+        assert max(s["numRowsTotal"] for s in state) == 2 and sum(s["numRowsUpdated"] for s in state) == 2
+    assert said(I.histories_of_months(I.months_store(spark, str(tmp_path / "t")).read()).collect()) == [(u, 1, "2019-01-01", "2019-01-03", "uk", 60, ("uk",), "/") for u in ("http://a", "http://b")]
+
+
+def test_only_runs_that_go_on_are_joined(spark):
+    run = lambda first, state, n, *paths: (first, first, first, state, [state], n, [state], list(paths))
+    months = [
+        ("a", "201901", 3, [run("20190101", "uk", 1, ("/", 1)), run("20190102", "ru", 1, ("/x", 1)), run("20190103", "uk", 1, ("/y", 1))]),
+        ("a", "201902", 1, []),  # nothing that counts
+        ("a", "201903", 2, [run("20190301", "uk", 2, ("/z", 2))]),
+        ("a", "201904", 2, [run("20190401", "uk", 1, ("/y", 1)), run("20190402", "ru", 1, ("/", 1))]),
+        ("a", "201905", 1, [run("20190501", "de", 1, ("/", 1))]),
+        ("b", "201901", 1, [run("20190101", "de", 1, ("/", 1))]),
+    ]
+    got = [r[:6] + r[7:] for r in said(I.histories_of_months(spark.createDataFrame(months, I.MONTHS)).collect())]
+    assert got == [
+        ("a", 1, "20190101", "20190101", "uk", 1, "/"), ("a", 2, "20190102", "20190102", "ru", 1, "/x"), ("a", 3, "20190103", "20190401", "uk", 4, "/y"),
+        ("a", 4, "20190402", "20190402", "ru", 1, "/"), ("a", 5, "20190501", "20190501", "de", 1, "/"), ("b", 1, "20190101", "20190101", "de", 1, "/"),
+    ]
+
+
 def test_month_runs_split_and_join():
     one = lambda p, d: [f"2019-01-{d:02}", p, [p], "u", 1, "/"]
     runs = lambda seen: [(r["primary"], r["from"], r["to"], r["observations"]) for r in I.month_runs(seen, "primary")]
